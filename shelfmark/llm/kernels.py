@@ -61,6 +61,7 @@ class Words:
         buf = np.frombuffer(b" ".join(encoded) + b" ", dtype=np.uint8)
         self.n_docs, self.low = n, LOWER[buf]
         ends_at = np.cumsum(np.fromiter((len(x) + 1 for x in encoded), dtype=np.int64, count=n))
+        self.begins = np.concatenate(([0], ends_at[:-1]))
         inside = table[self.low]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if len(inside) and inside[0]:
