@@ -100,12 +100,12 @@ class Words:
         return run, doc
 
 
-def chunks(texts, size: int = CHUNK) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Consecutive texts (null: empty) as UTF-8, about ``size`` bytes at a time: first index, next index, bytes."""
+def chunks(texts, size: int = CHUNK, most: int = 4096) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Consecutive texts (null: empty) as UTF-8, about ``size`` bytes or ``most`` at a time: first index, next index, bytes."""
     held, total, first = [], 0, 0
     for i, t in enumerate(texts):
         x = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
-        if held and total + len(x) > size:
+        if held and (total + len(x) > size or len(held) >= most):
             yield first, i, held
             held, total, first = [], 0, i
         held.append(x)
@@ -114,8 +114,9 @@ def chunks(texts, size: int = CHUNK) -> Iterator[tuple[int, int, list[bytes]]]:
         yield first, first + len(held), held
 
 
-def words(texts, table: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, Words]]:
-    for first, _, encoded in chunks(texts, size):
+def words(texts, table: np.ndarray, size: int = CHUNK, most: int = 4096) -> Iterator[tuple[int, Words]]:
+    """The words of consecutive texts, with the index of the first; ``table`` says which bytes make words."""
+    for first, _, encoded in chunks(texts, size, most):
         with np.errstate(over="ignore"):
             yield first, Words(encoded, table)
 
