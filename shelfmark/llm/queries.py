@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, language, mixing, secret_scan
+from . import decontamination, fingerprints, language, mixing, secret_scan, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_read(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.round_trip(_read(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -36,11 +41,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_language_id": op3_language_id,
+    "op4_warc": op4_warc,
     "op7_decontamination": op7_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc": warc.ROUND_TRIP_SQL,
     "op7_decontamination": decontamination.FIND_SQL,
     "op10_mixing": mixing.MIX_SQL,
 }
