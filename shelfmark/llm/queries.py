@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, language, mixing, secret_scan, warc
+from . import decontamination, fingerprints, html_text, language, mixing, secret_scan, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
+    "op5_html_text": op5_html_text,
     "op7_decontamination": op7_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
