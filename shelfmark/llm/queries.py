@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, html_text, jaccard_join, language, mixing, secret_scan, warc
+from . import decontamination, fingerprints, html_text, jaccard_join, language, mixing, quality, secret_scan, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_read(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
     "op5_html_text": op5_html_text,
+    "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
