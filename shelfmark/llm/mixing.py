@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .shared import keep
 
 WEIGHTS, SHARE, CEILING, SEED = (3, 1, 2), 1.5, 2, "shelfmark-mix"
-#: A source's documents are ordered by size class, then by one of so many parts, so that no window holds a whole source.
+#: A source's documents are ordered by size class, then by one of so many parts. Running sums are taken over a class's
+#: parts and over a source's classes, so no window holds a source's documents, or even all its strata.
 PARTS_HEX = 2
 
 
@@ -58,9 +59,15 @@ def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: in
     targets = source_targets(sized, weights, share, ceiling).withColumn(
         "offset", F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
     )
-    earlier = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
-    strata = placed.groupBy("source", "class", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     same = lambda a, b, *on: F.expr(" AND ".join(f"{a}.{c} <=> {b}.{c}" for c in on))
+    earlier = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = keep(placed.groupBy("source", "class", "part").agg(F.count("*").alias("n")), "strata")
+    classes = parts.groupBy("source", "class").agg(F.sum("n").alias("n")).withColumn("before", earlier(["source"], "class"))
+    inside = parts.withColumn("inside", earlier(["source", "class"], "part"))
+    strata = (
+        inside.alias("p").join(classes.alias("c"), same("p", "c", "source", "class"))
+        .select("p.source", "p.class", "part", (F.col("before") + F.col("inside")).alias("before"))
+    )
     starts = (
         strata.alias("s").join(targets.alias("t"), same("s", "t", "source"))
         .select("s.source", "s.class", "s.part", "before", "source_size", "target", "offset")
