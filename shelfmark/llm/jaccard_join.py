@@ -5,7 +5,8 @@ A document's set holds the hashes of its distinct runs of four words. Equal sets
 counters over all documents), then by a hash of the order's own. Two sets that are similar enough must share a token
 within short prefixes under every order, whatever the sketch says: it only makes prefixes rare. The first order
 is indexed: each token's list of classes pairs those whose sizes and positions allow a link. Candidates must
-also share a prefix token under each further order; what is left is verified exactly.
+also share a prefix token under each further order, which is found from the prefixes alone; texts are fetched only
+for what is left, and verified exactly.
 
 Components need no list of all links. First each list's members are tested against the list's least edited one
 (the smallest position of the token); then only members of different components are tested, all of them. Tests run
@@ -33,6 +34,8 @@ SHINGLE, PERCENT, ORDERS = 4, 85, 3
 SKETCH_BITS, SKETCH_ROW = 20, 1 << 12
 #: Postings that a task holds before it hands them on; most pivots tried in a list before the rest is left for later.
 HELD, PIVOTS = 1 << 20, 32
+#: The bitmaps of documents to look at again have a fixed size (2 MB), sent in rows.
+BITMAP_BITS, BITMAP_ROW = 24, 1 << 15
 _U = np.uint64
 _SEEDS = [_U(0x9E3779B97F4A7C15 * (2 * i + 1) & (2**64 - 1)) for i in range(8)]
 
@@ -191,13 +194,105 @@ def _by_block(a: np.ndarray, b: np.ndarray, n_blocks: int) -> pd.DataFrame:
     return pd.DataFrame({"a": a[first], "at": block[first], "ids": pd.Series(np.split(b, first[1:]) if len(a) else [], dtype=object)})
 
 
+def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
+    """Bits of fixed number, set at the hashes of ``keys`` (one column): what is not among them is mostly told by one look."""
+
+    def told(bits: np.ndarray) -> pd.DataFrame:
+        rows = bits.reshape(-1, BITMAP_ROW)
+        some = np.flatnonzero(rows.any(axis=1))
+        return pd.DataFrame({"block": some.astype(np.int32), "bits": [rows[i].tobytes() for i in some]})
+
+    def mark(batches):
+        bits = np.zeros(1 << BITMAP_BITS, dtype=bool)
+        for b in batches:
+            bits[b["h"].to_numpy()] = True
+        yield told(np.packbits(bits))
+
+    def either(batches):
+        bits = np.zeros((1 << BITMAP_BITS - 3) // BITMAP_ROW * BITMAP_ROW, dtype=np.uint8).reshape(-1, BITMAP_ROW)
+        for b in batches:
+            for k, x in zip(b["block"], b["bits"], strict=True):
+                bits[k] |= np.frombuffer(x, dtype=np.uint8)
+        yield told(bits)
+
+    schema = "block int, bits binary"
+    marked = keys.select(_hashed(keys.columns[0]).alias("h")).mapInPandas(mark, schema).repartition(min(n, 16), "block").mapInPandas(either, schema)
+    out = np.zeros(((1 << BITMAP_BITS - 3) // BITMAP_ROW, BITMAP_ROW), dtype=np.uint8)
+    for k, x in marked.collect():
+        out[k] |= np.frombuffer(bytes(x), dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def _hashed(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS))
+
+
+def _of_classes(wanted: DataFrame, documents: DataFrame, classes: DataFrame, shingle: int, n: int, columns: str, make) -> DataFrame:
+    """One row for each class in ``wanted`` (sig): ``make`` of its set and text.
+
+    A bitmap of the classes' first documents spares most others; the join on the signature is exact.
+    """
+    wanted = keep(wanted.distinct().join(classes, "sig").select("sig", "first"), "wanted")
+    held = documents.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("first"), n))
+
+    @F.pandas_udf("boolean")
+    def near(h: pd.Series) -> pd.Series:
+        at = h.to_numpy()
+        return pd.Series((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for first, sets in _sets(b["text"], shingle):
+                rows += [(_signature(s), *make(s, b["text"].iat[first + i])) for i, s in enumerate(sets) if len(s)]
+            yield pd.DataFrame(rows, columns=["sig", *(c.split()[0] for c in columns.split(", "))])
+
+    found = documents.select("text", near(_hashed("doc_id")).alias("near")).filter("near").select("text").mapInPandas(run, f"sig bigint, {columns}")
+    return found.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+
+
+def _dealt(candidates: DataFrame, rows: DataFrame, n_blocks: int):
+    """``candidates`` (a, at, ids) with the row of ``a``, and ``rows`` (sig, ...) by block, to be brought together by block."""
+    asked = candidates.join(rows.toDF("a", *rows.columns[1:]), "a")
+    unsigned = F.pmod(F.col("sig"), F.lit(n_blocks)) + F.when(F.col("sig") < 0, F.lit((1 << 64) % n_blocks)).otherwise(F.lit(0))
+    there = rows.join(candidates.select(F.explode("ids").alias("sig")).distinct(), "sig", "left_semi").withColumn("at", F.pmod(unsigned, F.lit(n_blocks)).cast("int"))
+    return asked.groupBy("at").cogroup(there.groupBy("at"))
+
+
 def _links(candidates: DataFrame, documents: DataFrame, classes: DataFrame, heat, shingle: int, percent: int, n_blocks: int) -> DataFrame:
-    """Links (a, b) among ``candidates`` (a, at, ids): in each block enough of them to connect what is connected there."""
+    """Links (a, b) among ``candidates`` (a, at, ids): in each block enough of them to connect what is connected there.
+
+    First the prefixes under all further orders meet, without texts; texts are fetched for what those filters leave.
+    """
+    n = -(-n_blocks // 4)
+    both = lambda df: df.select(F.col("a").alias("sig")).union(df.select(F.explode("ids")))
+
+    def prefixes(s: np.ndarray, _) -> tuple:
+        most = prefix_size(len(s), percent)
+        return len(s), *((ordered(s, heat.value, o, most)[0] >> _U(32)).astype(np.uint32).tobytes() for o in range(1, ORDERS))
+
+    def agree(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        """Candidates that share prefix tokens under every further order."""
+        of = lambda df: [[np.frombuffer(x, dtype=np.uint32) for x in df[f"p{o}"]] for o in range(1, ORDERS)]
+        ours, theirs = of(there), of(asked)
+        place, size = {k: i for i, k in enumerate(there["sig"])}, there["n"].to_numpy()
+        rows = []
+        for i, (a, at, k, ids) in enumerate(zip(asked["a"], asked["at"], asked["n"], asked["ids"], strict=True)):
+            left = []
+            for b in ids:
+                j = place[b]
+                need = int(_needed(k, size[j], percent))
+                if need <= min(k, size[j]) and all(_share(x[i][: k - need + 1], y[j][: size[j] - need + 1]) for x, y in zip(theirs, ours, strict=True)):
+                    left.append(b)
+            if left:
+                rows.append((a, at, left))
+        return pd.DataFrame(rows, columns=["a", "at", "ids"])
+
     candidates = keep(candidates.groupBy("a", "at").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")), "candidates")
-    wanted = candidates.select(F.col("a").alias("sig")).union(candidates.select(F.explode("ids"))).distinct()
-    texts = keep(wanted.join(classes, "sig").join(documents.select(F.col("doc_id").alias("first"), "text"), "first").select("sig", "text").dropDuplicates(["sig"]), "texts")
-    asked = candidates.join(texts.withColumnRenamed("sig", "a"), "a").select("a", "at", "ids", "text")
-    there = texts.mapInPandas(lambda bs: (b.assign(at=(b["sig"].to_numpy().view(np.uint64) % _U(n_blocks)).astype(np.int32)) for b in bs), "sig bigint, text string, at int")
+    columns = ", ".join(["n bigint", *(f"p{o} binary" for o in range(1, ORDERS))])
+    seen = keep(_of_classes(both(candidates), documents, classes, shingle, n, columns, prefixes), "prefixes")
+    left = keep(_dealt(candidates, seen, n_blocks).applyInPandas(agree, "a bigint, at int, ids array<bigint>"), "agreed")
+    texts = keep(_of_classes(both(left), documents, classes, shingle, n, "text string", lambda _, text: (text,)), "texts")
 
     def verify(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(there):
@@ -205,29 +300,19 @@ def _links(candidates: DataFrame, documents: DataFrame, classes: DataFrame, heat
         ours = dict(zip(there["sig"], (s for _, sets in _sets(there["text"], shingle) for s in sets), strict=True))
         theirs = dict(zip(asked["a"], (s for _, sets in _sets(asked["text"], shingle) for s in sets), strict=True))
         parent: dict[int, int] = {}
-        prefixes: dict[int, list[np.ndarray]] = {}
 
         def root(x: int) -> int:
             while parent.setdefault(x, x) != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        def prefix(x: int, s: np.ndarray) -> list[np.ndarray]:
-            if x not in prefixes:
-                prefixes[x] = [ordered(s, heat.value, o, prefix_size(len(s), percent))[0] for o in range(1, ORDERS)]
-            return prefixes[x]
-
         links = []
         for a, ids in zip(asked["a"], asked["ids"], strict=True):
             s = theirs[a]
-            for b in ids:
-                b = int(b)
-                t = ours[b]
-                need = int(_needed(len(s), len(t), percent))
-                if need > min(len(s), len(t)) or root(a) == root(b):
-                    continue
-                if any(not _share(x[: len(s) - need + 1], y[: len(t) - need + 1]) for x, y in zip(prefix(a, s), prefix(b, t), strict=True)):
+            for b in map(int, ids):
+                if root(a) == root(b):
                     continue
+                t = ours[b]
                 small, large = (s, t) if len(s) <= len(t) else (t, s)
                 at = np.searchsorted(large, small)
                 at[at == len(large)] = 0
@@ -237,7 +322,7 @@ def _links(candidates: DataFrame, documents: DataFrame, classes: DataFrame, heat
                     parent[root(a)] = root(b)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return asked.groupBy("at").cogroup(there.groupBy("at")).applyInPandas(verify, "a bigint, b bigint")
+    return _dealt(left, texts, n_blocks).applyInPandas(verify, "a bigint, b bigint")
 
 
 def _share(x: np.ndarray, y: np.ndarray) -> bool:
