@@ -148,7 +148,7 @@ def _q(text: str) -> str:
 
 
 def queries() -> dict:
-    g = "ECONOMY ANODIZED STEEL"
+    g = "ECONOMY"
     return {
         "album_select": (lambda v: v.album_select, _q("select * from album_select")),
         "album_list_frequent": (lambda v: album_list(v, "frequent"), _q(_PLAYS + _SEEN + " order by play_count desc, id limit 50")),
