@@ -4,9 +4,9 @@ A document's set holds the hashes of its distinct runs of four words. Equal sets
 64-bit signature; all else works on classes. A global order sorts tokens by how common they are (from a sketch of
 counters over all documents), then by a hash of the order's own. Two sets that are similar enough must share a token
 within short prefixes under every order, whatever the sketch says: it only makes prefixes rare. The first order
-is indexed: each token's list of classes pairs those whose sizes and positions allow a link. Candidates must
-also share a prefix token under each further order, which is found from the prefixes alone; texts are fetched only
-for what is left, and verified exactly.
+is indexed: each token's list of classes pairs those whose sizes and positions allow a link. What room
+is left by parities of the sets' tokens (a bit a token) spares most candidates; the rest must also share a prefix
+token under each further order, and is then verified exactly.
 
 Components need no list of all links. First each list's members are tested against the list's least edited one
 (the smallest position of the token); then only members of different components are tested, all of them. Tests run
@@ -114,6 +114,24 @@ def _needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """Whether an odd number of tokens falls in each of some cells, at least one a token: one bit each."""
+    width = max(256, 1 << (len(tokens) - 1).bit_length())
+    with np.errstate(over="ignore"):
+        cell = (kernels.mix64(tokens ^ _SEEDS[5]) & _U(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """At least so many tokens are in one of two sets alone: what both have cancels out. The wider parity is folded."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _postings(documents: DataFrame, heat, shingle: int, percent: int, n_blocks: int) -> DataFrame:
     """Every class's prefix under the first order, dealt by token and packed: a row for each task (or HELD postings) and block."""
 
@@ -262,36 +280,28 @@ def _dealt(candidates: DataFrame, rows: DataFrame, n_blocks: int):
 def _links(candidates: DataFrame, documents: DataFrame, classes: DataFrame, heat, shingle: int, percent: int, n_blocks: int) -> DataFrame:
     """Links (a, b) among ``candidates`` (a, at, ids): in each block enough of them to connect what is connected there.
 
-    First the prefixes under all further orders meet, without texts; texts are fetched for what those filters leave.
+    First only sizes and parities meet, which bound how far two sets are apart; texts are fetched for what they leave,
+    and must share prefix tokens under every further order before they are verified.
     """
     n = -(-n_blocks // 4)
     both = lambda df: df.select(F.col("a").alias("sig")).union(df.select(F.explode("ids")))
 
-    def prefixes(s: np.ndarray, _) -> tuple:
-        most = prefix_size(len(s), percent)
-        return len(s), *((ordered(s, heat.value, o, most)[0] >> _U(32)).astype(np.uint32).tobytes() for o in range(1, ORDERS))
-
-    def agree(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        """Candidates that share prefix tokens under every further order."""
-        of = lambda df: [[np.frombuffer(x, dtype=np.uint32) for x in df[f"p{o}"]] for o in range(1, ORDERS)]
-        ours, theirs = of(there), of(asked)
-        place, size = {k: i for i, k in enumerate(there["sig"])}, there["n"].to_numpy()
+    def near(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        """Candidates whose parities do not show that they are too far apart."""
+        place, size, bits = {k: i for i, k in enumerate(there["sig"])}, there["n"].to_numpy(), list(there["bits"])
         rows = []
-        for i, (a, at, k, ids) in enumerate(zip(asked["a"], asked["at"], asked["n"], asked["ids"], strict=True)):
-            left = []
-            for b in ids:
-                j = place[b]
-                need = int(_needed(k, size[j], percent))
-                if need <= min(k, size[j]) and all(_share(x[i][: k - need + 1], y[j][: size[j] - need + 1]) for x, y in zip(theirs, ours, strict=True)):
-                    left.append(b)
+        for a, at, k, ids, x in zip(asked["a"], asked["at"], asked["n"], asked["ids"], asked["bits"], strict=True):
+            j = np.array([place[b] for b in ids])
+            need = _needed(k, size[j], percent)
+            room = k + size[j] - 2 * need
+            left = [b for b, i, most, ok in zip(ids, j, room, need <= np.minimum(k, size[j]), strict=True) if ok and apart(x, bits[i]) <= most]
             if left:
                 rows.append((a, at, left))
         return pd.DataFrame(rows, columns=["a", "at", "ids"])
 
     candidates = keep(candidates.groupBy("a", "at").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")), "candidates")
-    columns = ", ".join(["n bigint", *(f"p{o} binary" for o in range(1, ORDERS))])
-    seen = keep(_of_classes(both(candidates), documents, classes, shingle, n, columns, prefixes), "prefixes")
-    left = keep(_dealt(candidates, seen, n_blocks).applyInPandas(agree, "a bigint, at int, ids array<bigint>"), "agreed")
+    seen = keep(_of_classes(both(candidates), documents, classes, shingle, n, "n bigint, bits binary", lambda s, _: (len(s), parity(s))), "parities")
+    left = keep(_dealt(candidates, seen, n_blocks).applyInPandas(near, "a bigint, at int, ids array<bigint>"), "near")
     texts = keep(_of_classes(both(left), documents, classes, shingle, n, "text string", lambda _, text: (text,)), "texts")
 
     def verify(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
@@ -300,12 +310,18 @@ def _links(candidates: DataFrame, documents: DataFrame, classes: DataFrame, heat
         ours = dict(zip(there["sig"], (s for _, sets in _sets(there["text"], shingle) for s in sets), strict=True))
         theirs = dict(zip(asked["a"], (s for _, sets in _sets(asked["text"], shingle) for s in sets), strict=True))
         parent: dict[int, int] = {}
+        prefixes: dict[int, list[np.ndarray]] = {}
 
         def root(x: int) -> int:
             while parent.setdefault(x, x) != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
+        def prefix(x: int, s: np.ndarray) -> list[np.ndarray]:
+            if x not in prefixes:
+                prefixes[x] = [ordered(s, heat.value, o, prefix_size(len(s), percent))[0] for o in range(1, ORDERS)]
+            return prefixes[x]
+
         links = []
         for a, ids in zip(asked["a"], asked["ids"], strict=True):
             s = theirs[a]
@@ -313,6 +329,9 @@ def _links(candidates: DataFrame, documents: DataFrame, classes: DataFrame, heat
                 if root(a) == root(b):
                     continue
                 t = ours[b]
+                need = int(_needed(len(s), len(t), percent))
+                if any(not _share(x[: len(s) - need + 1], y[: len(t) - need + 1]) for x, y in zip(prefix(a, s), prefix(b, t), strict=True)):
+                    continue
                 small, large = (s, t) if len(s) <= len(t) else (t, s)
                 at = np.searchsorted(large, small)
                 at[at == len(large)] = 0
@@ -360,21 +379,26 @@ def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     labels = components(links)
 
     def across(group: pd.DataFrame) -> pd.DataFrame:
-        """Candidates of different labels in one list, asked from outside its most common label."""
-        label, sig, m, p = (group[c].to_numpy() for c in ("label", "sig", "n", "pos"))
-        values, count = np.unique(label, return_counts=True)
-        asking = label != values[count.argmax()]
+        """Candidates of different labels in one list, asked from outside its most common label; all lists of a block."""
+        group = group.sort_values("list", kind="stable")
+        lists, *columns = (group[c].to_numpy() for c in ("list", "label", "sig", "n", "pos"))
+        first = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1])))
         out = []
-        for i in np.flatnonzero(asking):
-            ok = _allowed(m[i], p[i], m, p, percent) & (label != label[i]) & (~asking | (sig > sig[i]))
-            if ok.any():
-                out.append((np.full(int(ok.sum()), sig[i]), sig[ok]))
-        return _by_block(*(np.concatenate(x) for x in zip(*out, strict=True)), n_blocks) if out else _by_block(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), n_blocks)
+        for start, end in zip(first, np.append(first[1:], len(lists)), strict=True):
+            label, sig, m, p = (c[start:end] for c in columns)
+            values, count = np.unique(label, return_counts=True)
+            asking = label != values[count.argmax()]
+            for i in np.flatnonzero(asking):
+                ok = _allowed(m[i], p[i], m, p, percent) & (label != label[i]) & (~asking | (sig > sig[i]))
+                if ok.any():
+                    out.append((np.full(int(ok.sum()), sig[i]), sig[ok]))
+        pairs = np.unique(np.concatenate([np.stack(x, axis=1) for x in out]), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+        return _by_block(pairs[:, 0], pairs[:, 1], n_blocks)
 
     members = found.filter("list IS NOT NULL").select("list", "sig", "n", "pos")
     labelled = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     mixed = labelled.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("list")
-    again = labelled.join(mixed, "list", "left_semi").groupBy("list").applyInPandas(across, "a bigint, at int, ids array<bigint>")
+    again = labelled.join(mixed, "list", "left_semi").groupBy(F.shiftright("list", 32).alias("block")).applyInPandas(across, "a bigint, at int, ids array<bigint>")
     more = keep(_links(again, *rest), "links")
     labels = components(links.union(more))
 
