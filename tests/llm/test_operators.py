@@ -107,3 +107,31 @@ def test_pipeline_columns(spark):
     first = corpus_pipeline.STAGES[0][1](spark, docs, SF)
     last = corpus_pipeline.STAGES[2][1](spark, first, SF)
     assert last.columns == docs.columns and 0 < last.count() < docs.count()
+
+
+@pytest.fixture(scope="module")
+def net(spark):
+    return secret_scan.trained(spark.createDataFrame([], SCHEMA))
+
+
+def test_secret_threshold_keeps_recall():
+    import numpy as np
+
+    shown, labels = secret_scan._synthetic(np.random.default_rng(3), 1600)
+    x = np.concatenate([secret_scan.windows(t, [(a, min(e, a + secret_scan.VALUE))]) for t, (a, e) in shown])
+    hard = np.where(np.random.default_rng(1).random(len(x)) < 0.2, 1, labels)  # a fifth of the plain tokens are secrets, too
+    assert secret_scan.Network().fit(x, hard.astype(float)).threshold < 0.5
+
+
+def test_secret_inside_a_long_token(net):
+    inside = "Zk9qT2vXw7Lr4NbYc1Hs8JdQ5Gm3"
+    path = "/".join(["there/other/under", "stories/reading/" + "winter/" * 4, inside, "morning/" * 4 + "thereafter", "reader/into/heaven"])
+    plain = path.replace(inside, "somewhere/in/the/long/garden")
+    a, b = (secret_scan.windows(f"see {t} in", secret_scan.pieces(4, 4 + len(t))) for t in (path, plain))
+    assert net.score(a).max() > net.score(b).max()
+    assert [k for *_, k, _ in secret_scan.scan_text(net, [f"see {path} in"])[0]] == ["token"]
+
+
+def test_unlabelled_secrets_are_no_negatives():
+    bare = "the key Zk9qT2vXw7Lr4NbYc1Hs8JdQ5Gm3 or token=Zk9qT2vXw7Lr4NbYc1Hs8JdQ5Gm3 in some_long_name_of_a_thing_12"
+    assert [(bare[a:e], y) for a, e, y in secret_scan.labels_of(bare)] == [("Zk9qT2vXw7Lr4NbYc1Hs8JdQ5Gm3", 1), ("some_long_name_of_a_thing_12", 0)]
