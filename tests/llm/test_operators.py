@@ -135,3 +135,19 @@ def test_secret_inside_a_long_token(net):
 def test_unlabelled_secrets_are_no_negatives():
     bare = "the key Zk9qT2vXw7Lr4NbYc1Hs8JdQ5Gm3 or token=Zk9qT2vXw7Lr4NbYc1Hs8JdQ5Gm3 in some_long_name_of_a_thing_12"
     assert [(bare[a:e], y) for a, e, y in secret_scan.labels_of(bare)] == [("Zk9qT2vXw7Lr4NbYc1Hs8JdQ5Gm3", 1), ("some_long_name_of_a_thing_12", 0)]
+
+
+def _pages(spark, bodies):
+    rows = [(i, f"http://a/{i:03d}", x) for i, x in enumerate(bodies)]
+    return {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+
+
+def test_long_boilerplate_goes_from_short_articles(spark):
+    rest = "".join(f"<div>The house rules of this place, part {i}</div>" for i in range(9))
+    assert _pages(spark, [f"{rest}<div>Story {i}</div>" for i in range(4)]) == {i: f"Story {i}" for i in range(4)}
+
+
+def test_runs_of_copies_lose_their_furniture(spark):
+    page = "<div>Rules</div><div>{} of the long story of a town</div>"
+    found = _pages(spark, [page.format("Start")] + [page.format("Middle")] * 40 + [page.format("End")])
+    assert found == {i: f"{'Start' if i == 0 else 'End' if i == 41 else 'Middle'} of the long story of a town" for i in range(42)}
