@@ -14,7 +14,7 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go."""
+    """Documents without a recognised language, or far from every language learnt, go."""
     return language.keep_identified(docs)
 
 

@@ -8,6 +8,10 @@ n-grams, how many places each is away from its place there (``PROFILE`` where ab
 Training counts all texts of known language outside the held-out fifth. Sums per language and n-gram are taken in
 each task before the shuffle; what the driver gets is ``PROFILE`` rows a language.
 
+Filtering also rejects texts that are far from every profile: other languages, encoded bytes, random letters. The
+distance per n-gram to the nearest profile must not exceed the upper quartile plus ``FENCE`` times the distance between
+the quartiles, both over all training texts; with fewer than ``KNOWN`` of these there is no bound.
+
 Defined results: null text, or text without a letter, is ``und`` with score 0; null lang or null text trains nothing;
 without training rows everything is ``und``; ties go to the smaller language by code point; a null doc_id is held out
 as the empty text is; rows that repeat a doc_id are each predicted. Extra columns are left alone.
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROFILE, BITS = 400, 20
+FENCE, KNOWN = 3.0, 20
 #: Texts and characters that are worked on at once.
 DOCS, CHARS = 1 << 11, 1 << 18
 _SIZE = 1 << BITS
@@ -96,6 +101,10 @@ def _held_out() -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
+def _training(documents: DataFrame) -> DataFrame:
+    return documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out()).select("lang", "text")
+
+
 def profiles(documents: DataFrame) -> dict[str, np.ndarray]:
     """Each language's place of every n-gram hash, -1 for none; learnt from ``documents`` (doc_id, text, lang)."""
 
@@ -116,8 +125,7 @@ def profiles(documents: DataFrame) -> dict[str, np.ndarray]:
             at = np.flatnonzero(n)
             yield pd.DataFrame({"lang": lang, "gram": at, "n": n[at]})
 
-    known = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out()).select("lang", "text")
-    counted = known.mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = _training(documents).mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     places = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
     out: dict[str, np.ndarray] = {}
     for lang, gram, place in counted.withColumn("place", places).filter(F.col("place") < PROFILE).select("lang", "gram", "place").collect():
@@ -125,13 +133,15 @@ def profiles(documents: DataFrame) -> dict[str, np.ndarray]:
     return dict(sorted(out.items()))
 
 
-def _predict(held: dict[str, np.ndarray], texts) -> tuple[list[str], list[float]]:
-    langs, said, scores = list(held), [], []
+def _predict(held: dict[str, np.ndarray], texts) -> tuple[list[str], list[float], list[float]]:
+    """Of each text: language, score, and distance per n-gram to that language."""
+    langs, said, scores, fars = list(held), [], [], []
     table = np.stack(list(held.values())) if held else None
     for _, some in _groups(texts):
         if table is None:
             said += ["und"] * len(some)
             scores += [0.0] * len(some)
+            fars += [0.0] * len(some)
             continue
         gram, d, place, has = _ranked(some)
         at = table[:, gram].astype(np.int64)
@@ -144,7 +154,8 @@ def _predict(held: dict[str, np.ndarray], texts) -> tuple[list[str], list[float]
         sure = np.clip(1 - first / np.maximum(second, 1e-9), 0, 1)
         said += [langs[k] if ok else "und" for k, ok in zip(best, has, strict=True)]
         scores += [float(x) if ok else 0.0 for x, ok in zip(sure, has, strict=True)]
-    return said, scores
+        fars += (first / n).tolist()
+    return said, scores, fars
 
 
 def identify(documents: DataFrame) -> DataFrame:
@@ -154,7 +165,7 @@ def identify(documents: DataFrame) -> DataFrame:
     def run(batches):
         table = _unpacked(held.value)
         for b in batches:
-            said, scores = _predict(table, b["text"])
+            said, scores, _ = _predict(table, b["text"])
             yield pd.DataFrame({"doc_id": b["doc_id"].values, "held_out": b["held_out"].values, "lang_pred": pd.Series(said, dtype=object), "score": np.array(scores, dtype=float)})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -173,15 +184,39 @@ def _unpacked(packed) -> dict[str, np.ndarray]:
     return out
 
 
+def bound_of(counts: dict[int, int]) -> float:
+    """The greatest distance that is still near; from how many training texts have each whole distance."""
+    far = np.repeat(sorted(counts), [counts[x] for x in sorted(counts)])
+    if len(far) < KNOWN:
+        return float(PROFILE)
+    low, high = far[len(far) // 4], far[3 * len(far) // 4]
+    return float(high + FENCE * max(high - low, 1))
+
+
+def bound(documents: DataFrame, packed) -> float:
+    """Bound of the distance per n-gram to the nearest profile, learnt from every training text of ``documents``."""
+    held = documents.sparkSession.sparkContext.broadcast(packed)
+
+    def count(batches):
+        table = _unpacked(held.value)
+        for b in batches:
+            said, _, fars = _predict(table, b["text"])
+            frame = pd.DataFrame({"far": np.ceil(fars).astype(np.int64), "n": 1})[np.array([x != "und" for x in said], dtype=bool)]
+            yield frame.groupby("far", as_index=False)["n"].sum()
+
+    return bound_of({far: n for far, n in _training(documents).mapInPandas(count, "far int, n bigint").groupBy("far").agg(F.sum("n")).collect()})
+
+
 def keep_identified(documents: DataFrame, languages: list[str] | None = None, least: float = 0.0) -> DataFrame:
-    """``documents`` without those whose language is ``und``, not in ``languages`` (None: any learnt), or below score ``least``."""
-    held = documents.sparkSession.sparkContext.broadcast(_packed(profiles(documents)))
+    """``documents`` without those whose language is ``und``, too far from all, not in ``languages`` (None: any learnt), or below score ``least``."""
+    packed = _packed(profiles(documents))
+    held = documents.sparkSession.sparkContext.broadcast((packed, bound(documents, packed)))
 
     def run(batches):
-        table = _unpacked(held.value)
+        table, near = _unpacked(held.value[0]), held.value[1]
         for b in batches:
-            said, scores = _predict(table, b["text"])
-            ok = [x != "und" and s >= least and (languages is None or x in languages) for x, s in zip(said, scores, strict=True)]
+            told = zip(*_predict(table, b["text"]), strict=True)
+            ok = [x != "und" and s >= least and far <= near and (languages is None or x in languages) for x, s, far in told]
             yield b[np.array(ok, dtype=bool)]
 
     return documents.mapInPandas(run, documents.schema)

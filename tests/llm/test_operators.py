@@ -151,3 +151,19 @@ def test_runs_of_copies_lose_their_furniture(spark):
     page = "<div>Rules</div><div>{} of the long story of a town</div>"
     found = _pages(spark, [page.format("Start")] + [page.format("Middle")] * 40 + [page.format("End")])
     assert found == {i: f"{'Start' if i == 0 else 'End' if i == 41 else 'Middle'} of the long story of a town" for i in range(42)}
+
+
+def test_language_stage_rejects_what_is_far_from_all(spark):
+    import base64
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    junk = [(10**9, base64.b64encode(rng.randbytes(900)).decode()), (10**9 + 1, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(150))), (10**9 + 2, "Καλημέρα σε όλους τους φίλους του χωριού και της πόλης " * 9)]
+    more = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in junk], docs.schema)
+    kept = [r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs.union(more), SF).select("doc_id").collect()]
+    clean = [r["doc_id"] for r in docs.filter("lang IS NOT NULL AND length(text) > 200").collect()]
+    assert not {i for i, _ in junk} & set(kept)
+    assert set(clean) <= set(kept)
