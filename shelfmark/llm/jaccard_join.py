@@ -4,17 +4,20 @@ A document's set holds the hashes of its distinct runs of four words. Equal sets
 64-bit signature; all else works on classes. A global order sorts tokens by how common they are (from a sketch of
 counters over all documents), then by a hash of the order's own. Two sets that are similar enough must share a token
 within short prefixes under every order, whatever the sketch says: it only makes prefixes rare. The first order
-is indexed: each token's list of classes pairs those whose sizes and positions allow a link. What room
-is left by parities of the sets' tokens (a bit a token) spares most candidates; the rest must also share a prefix
-token under each further order, and is then verified exactly.
+is indexed: each token's list of classes pairs those whose sizes and positions allow a link. The other filters are
+intersected with it before any text moves: parities of the sets' tokens (a bit a cell) bound how far two sets are
+apart, and the prefixes under every further order must share a token, too. What is left is verified exactly.
 
 Components need no list of all links. First each list's members are tested against the list's least edited one
-(the smallest position of the token); then only members of different components are tested, all of them. Tests run
+(the smallest position of the token); then only members of different components are tested, all of them. For that a
+list is dealt into tiles of about ``TILE`` by ``TILE`` members, each pair in one tile, so that a list that holds a third
+of all classes is work for many tasks, each in memory of one tile. Long lists first ask only for every member's
+nearest one in each tile, which joins what belongs together before all that is left is asked. Tests of texts run
 in blocks of classes, each block's texts once, and a block emits no more links than it has classes.
 
 Defined results: null, empty and blank texts have empty sets, linked with nothing; rows that repeat a doc_id are
 documents of their own with the same id; a null doc_id is never the smallest unless alone; an empty table gives an empty
-one. Extra columns are left alone, whatever their names.
+one. Identifiers keep all 64 bits beside nulls. Extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,17 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .arrow import beside, texts_of
 from .components import components
 from .shared import keep, partitions
 
 SHINGLE, PERCENT, ORDERS = 4, 85, 3
 SKETCH_BITS, SKETCH_ROW = 20, 1 << 12
 #: Postings that a task holds before it hands them on; most pivots tried in a list before the rest is left for later.
-HELD, PIVOTS = 1 << 20, 32
+HELD, PIVOTS = 1 << 19, 32
+#: Members on either side of a tile of a list; pieces that the rows of one list are dealt into while lists are sized up.
+TILE, SALTS = 1024, 16
 #: The bitmaps of documents to look at again have a fixed size (2 MB), sent in rows.
 BITMAP_BITS, BITMAP_ROW = 24, 1 << 15
 _U = np.uint64
@@ -53,26 +60,43 @@ def _signature(tokens: np.ndarray) -> int:
 
 
 def _profiles(documents: DataFrame, shingle: int) -> DataFrame:
-    """Size and signature of every document's set, and each task's sketch of token counts, in rows of SKETCH_ROW counters."""
+    """Size and signature of every document's set, and each task's sketch of token counts, in rows of SKETCH_ROW counters.
+
+    ``row`` hashes identifier and text: what tells the rows of one doc_id apart.
+    """
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        sketch, held, total, kind = np.zeros(1 << SKETCH_BITS, dtype=np.int64), [], 0, None
+
+        def count() -> None:
+            nonlocal held, total
+            if held:
+                np.add(sketch, np.bincount((np.concatenate(held) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)), out=sketch)
+            held, total = [], 0
+
         for b in batches:
-            sizes, signatures = [], []
-            for _, sets in _sets(b["text"], shingle):
-                for s in sets:
-                    sizes.append(len(s))
-                    signatures.append(_signature(s) if len(s) else None)
-                if some := [s for s in sets if len(s)]:
-                    sketch += np.bincount((np.concatenate(some) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-            yield pd.DataFrame({"doc_id": b["doc_id"].values, "n": sizes, "sig": pd.array(signatures, dtype="Int64"), "block": pd.array([None] * len(b), dtype="Int32"), "counts": None})
-        for k in range(len(sketch) // SKETCH_ROW):
-            part = sketch[k * SKETCH_ROW : (k + 1) * SKETCH_ROW]
-            if part.any():
-                yield pd.DataFrame({"doc_id": pd.array([None], dtype="Int64"), "n": [0], "sig": pd.array([None], dtype="Int64"), "block": pd.array([k], dtype="Int32"), "counts": [part.tobytes()]})
+            sizes, signatures, kind = [], [], b.schema.field("doc_id").type
+            for _, sets in _sets(texts_of(b), shingle):
+                sizes += map(len, sets)
+                signatures += [_signature(s) if len(s) else None for s in sets]
+                held += sets
+                total += sum(map(len, sets))
+                if total >= HELD:
+                    count()
+            yield beside(b, ["doc_id", "row"], n=(sizes, pa.int64()), sig=(signatures, pa.int64()), block=([None] * b.num_rows, pa.int32()), counts=([None] * b.num_rows, pa.binary()))
+        count()
+        rows = sketch.reshape(-1, SKETCH_ROW)
+        some = np.flatnonzero(rows.any(axis=1))
+        if len(some):
+            none = [pa.nulls(len(some), t) for t in (kind, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(np.zeros(len(some), dtype=np.int64)), pa.nulls(len(some), pa.int64()), pa.array(some.astype(np.int32)), pa.array([rows[i].tobytes() for i in some], pa.binary())], names=["doc_id", "row", "n", "sig", "block", "counts"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n bigint, sig bigint, block int, counts binary")
+    return documents.select("doc_id", row_key().alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row bigint, n bigint, sig bigint, block int, counts binary")
+
+
+def row_key():
+    return F.xxhash64("doc_id", "text")
 
 
 def _heat(rows: DataFrame, n: int) -> np.ndarray:
@@ -115,21 +139,64 @@ def _needed(n, m, percent: int):
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """Whether an odd number of tokens falls in each of some cells, at least one a token: one bit each."""
-    width = max(256, 1 << (len(tokens) - 1).bit_length())
+    """Whether an odd number of tokens falls in each of some cells, at least two a token: one bit each."""
+    width = max(512, 1 << (2 * len(tokens) - 1).bit_length())
     with np.errstate(over="ignore"):
         cell = (kernels.mix64(tokens ^ _SEEDS[5]) & _U(width - 1)).astype(np.int64)
     return np.packbits((np.bincount(cell, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Parities (in the last axis) of fewer cells: what falls in the halves falls in one."""
+    while x.shape[-1] > width:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
+
 def apart(a: bytes, b: bytes) -> int:
     """At least so many tokens are in one of two sets alone: what both have cancels out. The wider parity is folded."""
     x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    while len(x) != len(y):
-        if len(x) < len(y):
-            x, y = y, x
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    least = min(len(x), len(y))
+    return int(np.bitwise_count(_folded(x, least) ^ _folded(y, least)).sum())
+
+
+class Parities:
+    """Parities of many sets, to be compared with one at a time: those of equal width are rows of one array."""
+
+    def __init__(self, n: np.ndarray, bits: list[bytes]):
+        self.n, self.width = n.astype(np.int64), np.array([len(x) // 8 for x in bits], dtype=np.int64)
+        self.place, self.of = np.zeros(len(bits), dtype=np.int64), {}
+        for w in np.unique(self.width):
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.of[int(w)] = np.frombuffer(b"".join(bits[i] for i in at), dtype=np.uint64).reshape(len(at), int(w))
+
+    def room(self, k: int, x: bytes, at: np.ndarray, percent: int) -> np.ndarray:
+        """For a set of ``k`` tokens and the sets ``at``: by how many tokens they are nearer than a link needs at least; negative: no link."""
+        m, mine = self.n[at], np.frombuffer(x, dtype=np.uint64)
+        need = _needed(k, m, percent)
+        out = np.where(need <= np.minimum(k, m), k + m - 2 * need, -1)
+        widths = self.width[at]
+        for w, rows in self.of.items():
+            of = np.flatnonzero((widths == w) & (out >= 0))
+            if len(of):
+                least = min(w, len(mine))
+                out[of] -= np.bitwise_count(_folded(rows[self.place[at[of]]], least) ^ _folded(mine, least)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def ahead(tokens: np.ndarray, heat: np.ndarray, percent: int) -> bytes:
+    """The set's prefixes under all orders but the first, 32 bits a token, each in order."""
+    most = prefix_size(len(tokens), percent)
+    return b"".join(ordered(tokens, heat, o, most)[1].astype(np.uint32).tobytes() for o in range(1, ORDERS))
+
+
+def share_ahead(k: int, x: np.ndarray, m: int, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets' prefixes, as long as a link of sets of ``k`` and ``m`` tokens asks for, have a token in common under every further order."""
+    need = int(_needed(k, m, percent))
+    x, y = x.reshape(ORDERS - 1, -1)[:, : k - need + 1], y.reshape(ORDERS - 1, -1)[:, : m - need + 1]
+    return all(not set(p.tolist()).isdisjoint(q.tolist()) for p, q in zip(x, y, strict=True))
 
 
 def _postings(documents: DataFrame, heat, shingle: int, percent: int, n_blocks: int) -> DataFrame:
@@ -248,24 +315,23 @@ def _hashed(column: str):
 def _of_classes(wanted: DataFrame, documents: DataFrame, classes: DataFrame, shingle: int, n: int, columns: str, make) -> DataFrame:
     """One row for each class in ``wanted`` (sig): ``make`` of its set and text.
 
-    A bitmap of the classes' first documents spares most others; the join on the signature is exact.
+    A bitmap of the classes' first documents spares hashing most others; the join on the signature is exact.
     """
     wanted = keep(wanted.distinct().join(classes, "sig").select("sig", "first"), "wanted")
     held = documents.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("first"), n))
 
-    @F.pandas_udf("boolean")
-    def near(h: pd.Series) -> pd.Series:
-        at = h.to_numpy()
-        return pd.Series((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
-
     def run(batches):
         for b in batches:
-            rows = []
-            for first, sets in _sets(b["text"], shingle):
-                rows += [(_signature(s), *make(s, b["text"].iat[first + i])) for i, s in enumerate(sets) if len(s)]
-            yield pd.DataFrame(rows, columns=["sig", *(c.split()[0] for c in columns.split(", "))])
-
-    found = documents.select("text", near(_hashed("doc_id")).alias("near")).filter("near").select("text").mapInPandas(run, f"sig bigint, {columns}")
+            at = b.column("h").to_numpy()
+            b = b.filter(pa.array((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+            texts, rows = texts_of(b), []
+            for first, sets in _sets(texts, shingle):
+                rows += [(_signature(s), *make(s, texts[first + i])) for i, s in enumerate(sets) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    names, kinds = zip(*(c.split() for c in f"sig bigint, {columns}".split(", ")), strict=True)
+    types = [{"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}[k] for k in kinds]
+    found = documents.select(_hashed("doc_id").alias("h"), "text").mapInArrow(run, f"sig bigint, {columns}")
     return found.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
 
@@ -277,89 +343,146 @@ def _dealt(candidates: DataFrame, rows: DataFrame, n_blocks: int):
     return asked.groupBy("at").cogroup(there.groupBy("at"))
 
 
-def _links(candidates: DataFrame, documents: DataFrame, classes: DataFrame, heat, shingle: int, percent: int, n_blocks: int) -> DataFrame:
-    """Links (a, b) among ``candidates`` (a, at, ids): in each block enough of them to connect what is connected there.
+class _Run:
+    """What all steps of one join have in common."""
 
-    First only sizes and parities meet, which bound how far two sets are apart; texts are fetched for what they leave,
-    and must share prefix tokens under every further order before they are verified.
-    """
-    n = -(-n_blocks // 4)
-    both = lambda df: df.select(F.col("a").alias("sig")).union(df.select(F.explode("ids")))
+    def __init__(self, documents: DataFrame, classes: DataFrame, heat, shingle: int, percent: int, n: int):
+        self.documents, self.classes, self.heat, self.shingle, self.percent, self.n, self.n_blocks = documents, classes, heat, shingle, percent, n, 4 * n
+        self.seen: DataFrame | None = None
+
+    def of_classes(self, wanted: DataFrame, columns: str, make) -> DataFrame:
+        return _of_classes(wanted, self.documents, self.classes, self.shingle, self.n, columns, make)
+
+    def look(self, wanted: DataFrame) -> None:
+        """Sizes, parities and further prefixes of the classes in ``wanted`` (sig)."""
+        heat, percent = self.heat, self.percent
+        self.seen = keep(self.of_classes(wanted, "n bigint, bits binary, ahead binary", lambda s, _: (len(s), parity(s), ahead(s, heat.value, percent))), "seen")
+
+    def links(self, candidates: DataFrame) -> DataFrame:
+        """Links (a, b) among ``candidates`` (a, at, ids): in each block enough of them to connect what is connected there."""
+        candidates = keep(candidates.groupBy("a", "at").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")), "candidates")
+        left = keep(_dealt(candidates, self.seen, self.n_blocks).applyInPandas(_nearer(self.percent), "a bigint, at int, ids array<bigint>"), "near")
+        texts = keep(self.of_classes(left.select(F.col("a").alias("sig")).union(left.select(F.explode("ids"))), "text string", lambda _, text: (text,)), "texts")
+        return keep(_dealt(left, texts, self.n_blocks).applyInPandas(_verified(self.shingle, self.percent), "a bigint, b bigint"), "links")
+
+
+def _nearer(percent: int):
+    """Keeps the candidates that neither parities nor the prefixes under a further order exclude."""
 
     def near(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        """Candidates whose parities do not show that they are too far apart."""
-        place, size, bits = {k: i for i, k in enumerate(there["sig"])}, there["n"].to_numpy(), list(there["bits"])
-        rows = []
-        for a, at, k, ids, x in zip(asked["a"], asked["at"], asked["n"], asked["ids"], asked["bits"], strict=True):
-            j = np.array([place[b] for b in ids])
-            need = _needed(k, size[j], percent)
-            room = k + size[j] - 2 * need
-            left = [b for b, i, most, ok in zip(ids, j, room, need <= np.minimum(k, size[j]), strict=True) if ok and apart(x, bits[i]) <= most]
+        place, rows = {k: i for i, k in enumerate(there["sig"])}, []
+        held = Parities(there["n"].to_numpy(), list(there["bits"]))
+        theirs = [np.frombuffer(x, dtype=np.uint32) for x in there["ahead"]]
+        for a, at, k, ids, bits, mine in zip(asked["a"], asked["at"], asked["n"], asked["ids"], asked["bits"], asked["ahead"], strict=True):
+            j = np.array([place[b] for b in ids], dtype=np.int64)
+            mine = np.frombuffer(mine, dtype=np.uint32)
+            left = [ids[i] for i in np.flatnonzero(held.room(k, bits, j, percent) >= 0) if share_ahead(k, mine, int(held.n[j[i]]), theirs[j[i]], percent)]
             if left:
                 rows.append((a, at, left))
         return pd.DataFrame(rows, columns=["a", "at", "ids"])
 
-    candidates = keep(candidates.groupBy("a", "at").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")), "candidates")
-    seen = keep(_of_classes(both(candidates), documents, classes, shingle, n, "n bigint, bits binary", lambda s, _: (len(s), parity(s))), "parities")
-    left = keep(_dealt(candidates, seen, n_blocks).applyInPandas(near, "a bigint, at int, ids array<bigint>"), "near")
-    texts = keep(_of_classes(both(left), documents, classes, shingle, n, "text string", lambda _, text: (text,)), "texts")
+    return near
+
+
+def _verified(shingle: int, percent: int):
+    """Links among the candidates of a block: the sets' intersection decides; what is connected already is not asked again."""
 
     def verify(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(there):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         ours = dict(zip(there["sig"], (s for _, sets in _sets(there["text"], shingle) for s in sets), strict=True))
-        theirs = dict(zip(asked["a"], (s for _, sets in _sets(asked["text"], shingle) for s in sets), strict=True))
         parent: dict[int, int] = {}
-        prefixes: dict[int, list[np.ndarray]] = {}
 
         def root(x: int) -> int:
             while parent.setdefault(x, x) != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        def prefix(x: int, s: np.ndarray) -> list[np.ndarray]:
-            if x not in prefixes:
-                prefixes[x] = [ordered(s, heat.value, o, prefix_size(len(s), percent))[0] for o in range(1, ORDERS)]
-            return prefixes[x]
-
-        links = []
-        for a, ids in zip(asked["a"], asked["ids"], strict=True):
-            s = theirs[a]
-            for b in map(int, ids):
-                if root(a) == root(b):
-                    continue
-                t = ours[b]
-                need = int(_needed(len(s), len(t), percent))
-                if any(not _share(x[: len(s) - need + 1], y[: len(t) - need + 1]) for x, y in zip(prefix(a, s), prefix(b, t), strict=True)):
-                    continue
-                small, large = (s, t) if len(s) <= len(t) else (t, s)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    links.append((a, b))
-                    parent[root(a)] = root(b)
+        links, at = [], 0
+        for _, sets in _sets(asked["text"], shingle):
+            for s in sets:
+                a = asked["a"].iat[at]
+                for b in map(int, asked["ids"].iat[at]):
+                    if root(a) == root(b):
+                        continue
+                    t = ours[b]
+                    small, large = (s, t) if len(s) <= len(t) else (t, s)
+                    where = np.searchsorted(large, small)
+                    where[where == len(large)] = 0
+                    both = int((large[where] == small).sum())
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        links.append((a, b))
+                        parent[root(a)] = root(b)
+                at += 1
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return _dealt(left, texts, n_blocks).applyInPandas(verify, "a bigint, b bigint")
+    return verify
 
 
-def _share(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sorted arrays have an element in common."""
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return bool((y[at] == x).any())
+def _across(members: DataFrame, labels: DataFrame, run: _Run, nearest: bool) -> DataFrame:
+    """Candidates (a, at, ids) of different labels in one list of ``members`` (list, sig, n, pos), asked from outside its most common label.
 
+    ``nearest``: of lists of more than ``TILE`` members only, and for each member only the nearest one in each tile.
+    """
+    n, n_blocks, percent = run.n, run.n_blocks, run.percent
+    labelled = keep(members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig")).withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS))), "labelled")
+    by_label = labelled.groupBy("list", "label").agg(F.count("*").alias("c"))
+    lists = by_label.groupBy("list").agg(F.sum("c").alias("k"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    if nearest:
+        lists = lists.filter(F.col("k") > TILE)
+    sides = lists.select("list", F.col("top.label").alias("top"), F.ceil(F.col("k") / TILE).alias("g"), F.ceil((F.col("k") - F.col("top.c")) / TILE).alias("h"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    mixed = labelled.join(sides, ["list", "salt"]).join(run.seen.select("sig", "bits"), "sig")
+    place = lambda seed, of: F.pmod(F.xxhash64("sig", F.lit(seed)), F.col(of))
+    row = lambda i, j, asking: F.struct(i.alias("i"), j.alias("j"), F.lit(asking).alias("asking"))
+    there = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("h") - 1), lambda i: row(i, place(1, "g"), False))
+    asking = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1), lambda j: row(place(2, "h"), j, True))
+    dealt = mixed.withColumn("at", F.explode(F.when(F.col("label") == F.col("top"), there).otherwise(F.concat(there, asking)))).select("list", "at.*", "sig", "n", "pos", "label", (F.col("label") != F.col("top")).alias("outside"), "bits")
+
+    def judged(tile: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        asking = tile["asking"].to_numpy(dtype=bool)
+        ask, sig, m, p, label, outside, bits = tile[asking], *(tile[c].to_numpy()[~asking] for c in ("sig", "n", "pos", "label", "outside")), list(tile["bits"][~asking])
+        held, out = Parities(m, bits) if len(ask) and len(bits) else None, []
+        for a, k, q, mine, x in zip(ask["sig"], ask["n"], ask["pos"], ask["label"], ask["bits"], strict=True) if held else ():
+            at = np.flatnonzero(_allowed(k, q, m, p, percent) & (label != mine) & (~outside.astype(bool) | (sig > a) if not nearest else sig != a))
+            room = held.room(k, x, at, percent) if len(at) else at
+            at, room = at[room >= 0], room[room >= 0]
+            if nearest and len(at):
+                at = at[room.argmax()][None]
+            out.append((np.full(len(at), a), sig[at]))
+        return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0, dtype=np.int64) for i in (0, 1))
+
+    def tiles(batches):
+        kept, pairs, total = None, [], 0
+        for b in batches:
+            frame = b.to_pandas()
+            frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
+            new = (frame[["list", "i", "j"]].diff() != 0).any(axis=1).to_numpy()
+            starts = np.flatnonzero(new)
+            for start, end in zip(starts, starts[1:], strict=False):
+                pairs.append(judged(frame.iloc[start:end]))
+                total += len(pairs[-1][0])
+                if total >= HELD:
+                    yield told(pairs)
+                    pairs, total = [], 0
+            kept = frame.iloc[starts[-1] :] if len(starts) else kept
+        if kept is not None:
+            yield told([*pairs, judged(kept)])
 
-def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id (the smallest doc_id of an equal set) of every row."""
+    def told(pairs) -> pa.RecordBatch:
+        found = np.unique(np.stack([np.concatenate([x[i] for x in pairs]) for i in (0, 1)], axis=1), axis=0)
+        frame = _by_block(found[:, 0], found[:, 1], n_blocks)
+        return pa.RecordBatch.from_arrays([pa.array(frame["a"], pa.int64()), pa.array(frame["at"], pa.int32()), pa.array(list(frame["ids"]), pa.list_(pa.int64()))], names=["a", "at", "ids"])
+
+    return dealt.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(tiles, "a bigint, at int, ids array<bigint>")
+
+
+def _resolved(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row, n, sig), and classes (sig, first, label): equal labels are linked, directly or through others."""
     spark = documents.sparkSession
     n = partitions(spark)
     n_blocks = 4 * n
     profiles = keep(_profiles(documents, shingle), "profiles")
-    sized = profiles.filter("block IS NULL").select("doc_id", "n", "sig")
+    sized = profiles.filter("block IS NULL").select("doc_id", "row", "n", "sig")
     heat = spark.sparkContext.broadcast(_heat(profiles.filter("block IS NOT NULL"), n))
     classes = keep(sized.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first")), "classes")
 
@@ -374,35 +497,22 @@ def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
 
     schema = "list bigint, sig bigint, n bigint, pos bigint, a bigint, at int, ids array<bigint>"
     found = keep(_postings(documents, heat, shingle, percent, n_blocks).groupBy("block").applyInPandas(to_lists, schema), "lists")
-    rest = (documents, classes, heat, shingle, percent, n_blocks)
-    links = keep(_links(found.filter("a IS NOT NULL").select("a", "at", "ids"), *rest), "links")
+    members, pairs = found.filter("list IS NOT NULL").select("list", "sig", "n", "pos"), found.filter("a IS NOT NULL").select("a", "at", "ids")
+    run = _Run(documents, classes, heat, shingle, percent, n)
+    run.look(members.select("sig").union(pairs.select("a")).union(pairs.select(F.explode("ids"))))
+    links = run.links(pairs)
     labels = components(links)
+    for nearest in (True, False):
+        more = keep(_across(members, labels, run, nearest), "asked")
+        if more.take(1):
+            links = links.union(run.links(more))
+            labels = components(links)
+    return sized, classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
 
-    def across(group: pd.DataFrame) -> pd.DataFrame:
-        """Candidates of different labels in one list, asked from outside its most common label; all lists of a block."""
-        group = group.sort_values("list", kind="stable")
-        lists, *columns = (group[c].to_numpy() for c in ("list", "label", "sig", "n", "pos"))
-        first = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1])))
-        out = []
-        for start, end in zip(first, np.append(first[1:], len(lists)), strict=True):
-            label, sig, m, p = (c[start:end] for c in columns)
-            values, count = np.unique(label, return_counts=True)
-            asking = label != values[count.argmax()]
-            for i in np.flatnonzero(asking):
-                ok = _allowed(m[i], p[i], m, p, percent) & (label != label[i]) & (~asking | (sig > sig[i]))
-                if ok.any():
-                    out.append((np.full(int(ok.sum()), sig[i]), sig[ok]))
-        pairs = np.unique(np.concatenate([np.stack(x, axis=1) for x in out]), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
-        return _by_block(pairs[:, 0], pairs[:, 1], n_blocks)
-
-    members = found.filter("list IS NOT NULL").select("list", "sig", "n", "pos")
-    labelled = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    mixed = labelled.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("list")
-    again = labelled.join(mixed, "list", "left_semi").groupBy(F.shiftright("list", 32).alias("block")).applyInPandas(across, "a bigint, at int, ids array<bigint>")
-    more = keep(_links(again, *rest), "links")
-    labels = components(links.union(more))
-
-    known = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+
+def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and class_id (the smallest doc_id of an equal set) of every row."""
+    sized, known = _resolved(documents, shingle, percent)
     smallest = known.groupBy("label").agg(F.min("first").alias("component_id"))
     of_class = known.join(smallest, "label").select("sig", F.col("first").alias("class_id"), "component_id")
     return (
@@ -412,9 +522,27 @@ def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
 
 
 def keep_one_of_each(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``documents`` without those that are linked, directly or through others, to one of smaller doc_id."""
-    go = join(documents, shingle, percent).filter("doc_id <> component_id").select("doc_id")
-    return documents.join(go, "doc_id", "left_anti").select(documents.columns)
+    """``documents`` with one row of each group of linked ones: that of the smallest doc_id, null last; of several such, by hash of the text.
+
+    Rows are told apart by identifier and text: other texts under the same doc_id stay if they are linked with nothing,
+    and of rows alike in both one stays. Rows without a word are linked with nothing, so all of them stay.
+    """
+    sized, known = _resolved(documents, shingle, percent)
+    rows = keep(sized.filter("sig IS NOT NULL").groupBy("doc_id", "row", "sig").agg(F.count("*").alias("c")).join(known.select("sig", "label"), "sig").select("doc_id", "row", "label", "c"), "rows")
+    one = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("one")).select("label", F.col("one.doc_id").alias("one_id"), F.col("one.row").alias("one_row"))
+    judged = rows.join(one, "label").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("row") == F.col("one_row")))
+    judged = keep(judged.filter("NOT stays OR c > 1").select(F.col("doc_id").alias("id"), "row", "stays"), "judged")
+    whole = documents.select(F.struct("*").alias("it"), F.col("doc_id").alias("id"), row_key().alias("row"))
+
+    def among(rows: DataFrame, of: DataFrame, how: str) -> DataFrame:
+        of = of.select(F.col("id").alias("id_"), F.col("row").alias("row_"))
+        return rows.join(of, (rows["row"] == of["row_"]) & rows["id"].eqNullSafe(of["id_"]), how)
+
+    out = among(whole, judged, "left_anti").select("it.*")
+    repeated = judged.filter("stays")
+    if repeated.take(1):
+        out = out.unionAll(among(whole, repeated, "left_semi").groupBy("id", "row").agg(F.min_by("it", F.hash("it")).alias("it")).select("it.*"))
+    return out
 
 
 JOIN_SQL = r"""

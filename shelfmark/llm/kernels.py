@@ -1,6 +1,6 @@
 """Vectorised text kernels that run inside Spark tasks, on one Arrow batch at a time.
 
-Texts of a batch are laid end to end as UTF-8 bytes and cut into chunks of about a megabyte, so that
+Texts of a batch are laid end to end as UTF-8 bytes and cut into chunks of about a quarter of a megabyte, so that
 memory is bounded by the chunk (or by the longest single text). Words get 64-bit polynomial hashes from one
 cumulative sum over the bytes; shingles get theirs from the word hashes. No text is cut or skipped.
 """
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
