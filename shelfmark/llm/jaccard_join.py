@@ -10,9 +10,10 @@ apart, and the prefixes under every further order must share a token, too. What
 
 Components need no list of all links. First each list's members are tested against the list's least edited one
 (the smallest position of the token); then only members of different components are tested, all of them. For that a
-list is dealt into tiles of about ``TILE`` by ``TILE`` members, each pair in one tile, so that a list that holds a third
-of all classes is work for many tasks, each in memory of one tile. Long lists first ask only for every member's
-nearest one in each tile, which joins what belongs together before all that is left is asked. Tests of texts run
+long list is dealt into tiles of ``TILE`` by ``TILE`` members or somewhat more, each pair in one tile, so that a list
+that holds a third of all classes is work for many tasks, each in memory of one tile, and parities are compared there.
+Long lists first ask only for every member's nearest one in each tile, which joins what belongs together before
+all that is left is asked. Tests of texts run
 in blocks of classes, each block's texts once, and a block emits no more links than it has classes.
 
 Defined results: null, empty and blank texts have empty sets, linked with nothing; rows that repeat a doc_id are
@@ -39,8 +40,9 @@ SHINGLE, PERCENT, ORDERS = 4, 85, 3
 SKETCH_BITS, SKETCH_ROW = 20, 1 << 12
 #: Postings that a task holds before it hands them on; most pivots tried in a list before the rest is left for later.
 HELD, PIVOTS = 1 << 19, 32
-#: Members on either side of a tile of a list; pieces that the rows of one list are dealt into while lists are sized up.
-TILE, SALTS = 1024, 16
+#: Least members on either side of a tile of a list, and tiles along a side before tiles grow, to 16 times as much at most;
+#: longest list whose pairs are looked at without parities; pieces that a list is dealt into while lists are sized up.
+TILE, TILES, SHORT, SALTS = 256, 64, 64, 16
 #: The bitmaps of documents to look at again have a fixed size (2 MB), sent in rows.
 BITMAP_BITS, BITMAP_ROW = 24, 1 << 15
 _U = np.uint64
@@ -139,8 +141,8 @@ def _needed(n, m, percent: int):
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """Whether an odd number of tokens falls in each of some cells, at least two a token: one bit each."""
-    width = max(512, 1 << (2 * len(tokens) - 1).bit_length())
+    """Whether an odd number of tokens falls in each of some cells, at least one a token: one bit each."""
+    width = max(256, 1 << (len(tokens) - 1).bit_length())
     with np.errstate(over="ignore"):
         cell = (kernels.mix64(tokens ^ _SEEDS[5]) & _U(width - 1)).astype(np.int64)
     return np.packbits((np.bincount(cell, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -187,9 +189,9 @@ class Parities:
 
 
 def ahead(tokens: np.ndarray, heat: np.ndarray, percent: int) -> bytes:
-    """The set's prefixes under all orders but the first, 32 bits a token, each in order."""
+    """The set's prefixes under all orders but the first, 16 bits a token, each in order: enough to tell most apart."""
     most = prefix_size(len(tokens), percent)
-    return b"".join(ordered(tokens, heat, o, most)[1].astype(np.uint32).tobytes() for o in range(1, ORDERS))
+    return b"".join(ordered(tokens, heat, o, most)[1].astype(np.uint16).tobytes() for o in range(1, ORDERS))
 
 
 def share_ahead(k: int, x: np.ndarray, m: int, y: np.ndarray, percent: int) -> bool:
@@ -372,10 +374,10 @@ def _nearer(percent: int):
     def near(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         place, rows = {k: i for i, k in enumerate(there["sig"])}, []
         held = Parities(there["n"].to_numpy(), list(there["bits"]))
-        theirs = [np.frombuffer(x, dtype=np.uint32) for x in there["ahead"]]
+        theirs = [np.frombuffer(x, dtype=np.uint16) for x in there["ahead"]]
         for a, at, k, ids, bits, mine in zip(asked["a"], asked["at"], asked["n"], asked["ids"], asked["bits"], asked["ahead"], strict=True):
             j = np.array([place[b] for b in ids], dtype=np.int64)
-            mine = np.frombuffer(mine, dtype=np.uint32)
+            mine = np.frombuffer(mine, dtype=np.uint16)
             left = [ids[i] for i in np.flatnonzero(held.room(k, bits, j, percent) >= 0) if share_ahead(k, mine, int(held.n[j[i]]), theirs[j[i]], percent)]
             if left:
                 rows.append((a, at, left))
@@ -430,13 +432,14 @@ def _across(members: DataFrame, labels: DataFrame, run: _Run, nearest: bool) ->
     lists = by_label.groupBy("list").agg(F.sum("c").alias("k"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
     if nearest:
         lists = lists.filter(F.col("k") > TILE)
-    sides = lists.select("list", F.col("top.label").alias("top"), F.ceil(F.col("k") / TILE).alias("g"), F.ceil((F.col("k") - F.col("top.c")) / TILE).alias("h"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-    mixed = labelled.join(sides, ["list", "salt"]).join(run.seen.select("sig", "bits"), "sig")
+    side = lambda k: F.greatest(F.least(F.ceil(k / TILE), F.lit(TILES)), F.ceil(k / (16 * TILE)))
+    sides = lists.select("list", "k", F.col("top.label").alias("top"), side(F.col("k")).alias("g"), side(F.col("k") - F.col("top.c")).alias("h"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    mixed = labelled.join(sides, ["list", "salt"]).withColumn("outside", F.col("label") != F.col("top"))
     place = lambda seed, of: F.pmod(F.xxhash64("sig", F.lit(seed)), F.col(of))
     row = lambda i, j, asking: F.struct(i.alias("i"), j.alias("j"), F.lit(asking).alias("asking"))
     there = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("h") - 1), lambda i: row(i, place(1, "g"), False))
     asking = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1), lambda j: row(place(2, "h"), j, True))
-    dealt = mixed.withColumn("at", F.explode(F.when(F.col("label") == F.col("top"), there).otherwise(F.concat(there, asking)))).select("list", "at.*", "sig", "n", "pos", "label", (F.col("label") != F.col("top")).alias("outside"), "bits")
+    dealt = mixed.filter(F.col("k") > SHORT).join(run.seen.select("sig", "bits"), "sig").withColumn("at", F.explode(F.when(F.col("outside"), F.concat(there, asking)).otherwise(there))).select("list", "at.*", "sig", "n", "pos", "label", "outside", "bits")
 
     def judged(tile: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         asking = tile["asking"].to_numpy(dtype=bool)
@@ -451,6 +454,28 @@ def _across(members: DataFrame, labels: DataFrame, run: _Run, nearest: bool) ->
             out.append((np.full(len(at), a), sig[at]))
         return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0, dtype=np.int64) for i in (0, 1))
 
+    def short(batches):
+        kept = None
+        for b in batches:
+            frame = b.to_pandas()
+            frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
+            last = int(np.searchsorted(frame["list"].to_numpy(), frame["list"].iloc[-1])) if len(frame) else 0
+            yield told([pairs_of(frame.iloc[:last])])
+            kept = frame.iloc[last:]
+        if kept is not None:
+            yield told([pairs_of(kept)])
+
+    def pairs_of(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates of whole short lists, in order of list."""
+        of, sig, m, p, label, outside = (frame[c].to_numpy() for c in ("list", "sig", "n", "pos", "label", "outside"))
+        asking = np.flatnonzero(outside.astype(bool))
+        first, long = np.searchsorted(of, of[asking]), np.searchsorted(of, of[asking], side="right")
+        long -= first
+        a = np.repeat(asking, long)
+        b = np.arange(len(a)) + np.repeat(first - np.cumsum(long) + long, long)
+        ok = (label[a] != label[b]) & (~outside[b].astype(bool) | (sig[b] > sig[a])) & _allowed(m[a], p[a], m[b], p[b], percent)
+        return sig[a[ok]], sig[b[ok]]
+
     def tiles(batches):
         kept, pairs, total = None, [], 0
         for b in batches:
@@ -473,7 +498,12 @@ def _across(members: DataFrame, labels: DataFrame, run: _Run, nearest: bool) ->
         frame = _by_block(found[:, 0], found[:, 1], n_blocks)
         return pa.RecordBatch.from_arrays([pa.array(frame["a"], pa.int64()), pa.array(frame["at"], pa.int32()), pa.array(list(frame["ids"]), pa.list_(pa.int64()))], names=["a", "at", "ids"])
 
-    return dealt.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(tiles, "a bigint, at int, ids array<bigint>")
+    schema = "a bigint, at int, ids array<bigint>"
+    out = dealt.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(tiles, schema)
+    if nearest:
+        return out
+    whole = mixed.filter(F.col("k") <= SHORT).select("list", "sig", "n", "pos", "label", "outside").repartition(n, "list").sortWithinPartitions("list")
+    return out.union(whole.mapInArrow(short, schema))
 
 
 def _resolved(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -42,9 +42,10 @@ def near_copies(seed, bases, copies, edits, shared=0):
     return out
 
 
-@pytest.mark.parametrize(("tile", "shared"), [(4, 0), (4, 200), (1024, 60)])
+@pytest.mark.parametrize(("tile", "shared"), [(4, 0), (4, 200), (256, 60)])
 def test_links_agree_with_brute_force(spark, monkeypatch, tile, shared):
     monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "SHORT", tile)
     texts = near_copies(tile + shared, 6, 12, 4, shared) + ["", None, "one", "one", "one two"]
     rows = [(BIG + 7 * i % 101, t, "s", "r", "i") for i, t in enumerate(texts)]
     got = jaccard_join.join(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id").collect()
