@@ -4,8 +4,8 @@ Normalised words are runs of digits, ASCII letters (lower-cased) and anything be
 consecutive words of an item form a window; an item of fewer words is one window. The window hashes of the benchmark
 are broadcast, every window of every document is looked up, and each hit is verified word by word.
 
-The broadcast is bounded: items are dealt into parts of at most ``PART_BYTES`` of text, one scan of the documents
-each, and the parts' hits are brought together by document; one part is the rule. Only documents with hits meet there.
+The broadcast is bounded: items are dealt into parts of at most ``PART_BYTES`` of text, built one at a time. Each has a
+scan of the documents, whose hits stand beside the text for the next; one part is the rule.
 
 Defined results: a null or wordless document has no words and no hits; null or wordless items have no windows; a null
 item_id counts as an empty one; items that repeat an item_id count once; rows that repeat a doc_id are each judged
@@ -19,17 +19,18 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import kernels
+from .arrow import beside, replaced, texts_of
 from .shared import keep
 
 WINDOW = 10
 #: Most benchmark text that one broadcast holds.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 _U = np.uint64
 
 
@@ -104,15 +105,15 @@ def merged(stretches) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _parts(benchmark: DataFrame, window: int) -> Iterator[WindowSet]:
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter(F.length("text") > 0)
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(total // PART_BYTES) + 1
-    if n == 1:
-        yield WindowSet([tuple(x) for x in items.collect()], window)
-        return
-    for i in range(n):
-        yield WindowSet([tuple(x) for x in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()], window)
+class _parts:
+    """A benchmark in parts of at most about ``PART_BYTES`` of text, each built on demand: one is held at a time."""
+
+    def __init__(self, benchmark: DataFrame, window: int):
+        self.items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter(F.length("text") > 0)
+        self.window, self.n = window, int((self.items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES) + 1
+
+    def __getitem__(self, i: int) -> WindowSet:
+        return WindowSet([tuple(x) for x in self.items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)) == i).collect()], self.window)
 
 
 def _digest(n_words: int, stretches, items) -> tuple:
@@ -122,74 +123,69 @@ def _digest(n_words: int, stretches, items) -> tuple:
 
 def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hit stretches of words as ``spans``."""
-    spark, id_type = documents.sparkSession, documents.schema["doc_id"].dataType.simpleString()
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    told = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_(), "spans": pa.string()}
     schema = f"doc_id {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans string"
-    parts = [spark.sparkContext.broadcast(x) for x in _parts(benchmark, window)]
+    parts = _parts(benchmark, window)
+    rows = _with_earlier(documents.select("doc_id", "text"), parts)
+    held = documents.sparkSession.sparkContext.broadcast(parts[parts.n - 1])
 
-    def judged(held):
-        def run(batches):
-            for b in batches:
-                rows = [(*_digest(n, s, i), ",".join(f"{x}:{y}" for x, y in s)) for _, n, s, i, _, _ in _scan(held.value, b["text"])]
-                out = pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
-                out.insert(0, "doc_id", b["doc_id"].values)
-                yield out
+    def run(batches):
+        for b in batches:
+            found = [(*_digest(n, s, i), ",".join(f"{x}:{y}" for x, y in s)) for n, s, i in _found(held.value, b)]
+            columns = zip(*found, strict=True) if found else [[]] * len(told)
+            yield beside(b, ["doc_id"], **{name: (values, kind) for (name, kind), values in zip(told.items(), columns, strict=True)})
 
-        return run
+    return rows.mapInArrow(run, schema)
 
-    if len(parts) == 1:
-        return documents.select("doc_id", "text").mapInPandas(judged(parts[0]), schema)
-    numbered = keep(documents.select(F.expr("uuid()").alias("_row"), "doc_id", "text"), "numbered")
-    found = None
-    for held in parts:
 
-        def hits(batches, held=held):
-            for b in batches:
-                rows = [(b["_row"].iloc[at], n, [x for y in s for x in y], sorted(i)) for at, n, s, i, _, _ in _scan(held.value, b["text"]) if s]
-                yield pd.DataFrame(rows, columns=["_row", "n_words", "spans", "items"])
+def _found(windows: WindowSet, b: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+    """Words, hit stretches and items of each row, with what earlier parts of the benchmark found in it."""
+    spans, items = (b.column(c).to_pylist() for c in ("_spans", "_items"))
+    for at, n, s, i, _, _ in _scan(windows, texts_of(b)):
+        yield n, merged([*s, *zip(spans[at][::2], spans[at][1::2], strict=True)]) if spans[at] else s, i | set(items[at] or ())
 
-        part = numbered.select("_row", "text").mapInPandas(hits, "_row string, n_words bigint, spans array<bigint>, items array<string>")
-        found = part if found is None else found.unionByName(part)
 
-    def together(group: pd.DataFrame) -> pd.DataFrame:
-        spans = merged([(int(s[i]), int(s[i + 1])) for s in group["spans"] for i in range(0, len(s), 2)])
-        row = _digest(int(group["n_words"].iloc[0]), spans, {x for i in group["items"] for x in i})
-        return pd.DataFrame([(group["_row"].iloc[0], *row, ",".join(f"{x}:{y}" for x, y in spans))], columns=["_row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+def _with_earlier(rows: DataFrame, parts: _parts) -> DataFrame:
+    """``rows`` with what all parts but the last find in them: words (first, next, first, next ...) and items."""
+    passed = rows.columns
+    rows = rows.select("*", F.lit(None).cast("array<bigint>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
 
-    hit = found.groupBy("_row").applyInPandas(together, schema.replace(f"doc_id {id_type}", "_row string"))
-    none = hashlib.sha256(b"").hexdigest()
+    def gathered(held):
+        def run(batches):
+            for b in batches:
+                found = list(_found(held.value, b))
+                yield beside(b, passed, _spans=([[x for y in s for x in y] for _, s, _ in found], pa.list_(pa.int64())), _items=([sorted(i) for *_, i in found], pa.list_(pa.string())))
 
-    def counted(batches):
-        for b in batches:
-            n = np.concatenate([w.count for _, w in kernels.words(b["text"], kernels.ALNUM)] or [np.zeros(0, dtype=np.int64)])
-            yield pd.DataFrame({"_row": b["_row"], "doc_id": b["doc_id"], "all_words": n})
+        return run
 
-    every = numbered.mapInPandas(counted, f"_row string, doc_id {id_type}, all_words bigint")
-    return every.join(hit, "_row", "left").select(
-        "doc_id", F.col("all_words").alias("n_words"), *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_hit", "n_items")), F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"), F.coalesce("spans", F.lit("")).alias("spans")
-    )
+    for i in range(parts.n - 1):
+        held = rows.sparkSession.sparkContext.broadcast(parts[i])
+        rows = keep(rows.mapInArrow(gathered(held), rows.schema), "hits")
+        held.unpersist()
+    return rows
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW) -> DataFrame:
     """``documents`` without the contaminated ones, or (``remove="spans"``) without the hit words; same columns."""
-    out = documents
-    for windows in _parts(benchmark, window):
-        out = out.mapInPandas(_without(documents.sparkSession.sparkContext.broadcast(windows), remove), StructType(documents.schema.fields))
-    return out
-
+    parts = _parts(benchmark, window)
+    rows = _with_earlier(documents.select(F.struct("*").alias("it"), "text"), parts)
+    held = documents.sparkSession.sparkContext.broadcast(parts[parts.n - 1])
 
-def _without(held, remove: str):
     def run(batches):
         for b in batches:
-            if remove == "documents":
-                yield b[np.fromiter((not s for _, _, s, _, _, _ in _scan(held.value, b["text"])), dtype=bool, count=len(b))]
-                continue
-            texts = list(b["text"])
-            for at, _, stretches, _, w, d in _scan(held.value, b["text"]):
-                if stretches:
+            texts, clean = texts_of(b), []
+            spans = b.column("_spans").to_pylist()
+            for at, _, stretches, _, w, d in _scan(held.value, list(texts)):
+                stretches = merged([*stretches, *zip(spans[at][::2], spans[at][1::2], strict=True)]) if spans[at] else stretches
+                clean.append(not stretches)
+                if stretches and remove == "spans":
                     texts[at] = _cut(texts[at], w, d, stretches)
-            yield b.assign(text=texts)
+            out = replaced(b, "text", texts).select(["it", "text"])
+            yield out if remove == "spans" else out.filter(pa.array(clean, pa.bool_()))
 
-    return run
+    out = rows.mapInArrow(run, StructType([rows.schema["it"], rows.schema["text"]]))
+    return out.select(*(F.col("text") if c == "text" else F.col("it")[c].alias(c) for c in documents.columns))
 
 
 def _cut(text: str, w: kernels.Words, d: int, stretches) -> str:

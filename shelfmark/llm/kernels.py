@@ -125,3 +125,15 @@ def distinct_sets(run: np.ndarray, doc: np.ndarray, n_docs: int) -> list[np.ndar
     """The sorted distinct hashes of each text."""
     at = np.searchsorted(doc, np.arange(n_docs + 1))
     return [np.unique(run[at[i] : at[i + 1]]) for i in range(n_docs)]
+
+
+def apart_from(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ``spans``, disjoint and in order, that overlap none of ``taken``: one walk along both."""
+    ends, out, at, reach = sorted(taken), [], 0, 0
+    for a, b in spans:
+        while at < len(ends) and ends[at][0] < b:
+            reach = max(reach, ends[at][1])
+            at += 1
+        if reach <= a:
+            out.append((a, b))
+    return out

@@ -14,7 +14,8 @@ the quartiles, both over all training texts; with fewer than ``KNOWN`` of these
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; null lang or null text trains nothing;
 without training rows everything is ``und``; ties go to the smaller language by code point; a null doc_id is held out
-as the empty text is; rows that repeat a doc_id are each predicted. Extra columns are left alone.
+as the empty text is; rows that repeat a doc_id are each predicted;
+identifiers keep all their bits beside nulls. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import beside, texts_of
+
 PROFILE, BITS = 400, 20
 FENCE, KNOWN = 3.0, 20
 #: Texts and characters that are worked on at once.
@@ -165,11 +169,11 @@ def identify(documents: DataFrame) -> DataFrame:
     def run(batches):
         table = _unpacked(held.value)
         for b in batches:
-            said, scores, _ = _predict(table, b["text"])
-            yield pd.DataFrame({"doc_id": b["doc_id"].values, "held_out": b["held_out"].values, "lang_pred": pd.Series(said, dtype=object), "score": np.array(scores, dtype=float)})
+            said, scores, _ = _predict(table, texts_of(b))
+            yield beside(b, ["doc_id", "held_out"], lang_pred=(said, pa.string()), score=(scores, pa.float64()))
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", _held_out().alias("held_out"), "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return documents.select("doc_id", _held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def _packed(places: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray, np.ndarray]]:
@@ -215,8 +219,8 @@ def keep_identified(documents: DataFrame, languages: list[str] | None = None, le
     def run(batches):
         table, near = _unpacked(held.value[0]), held.value[1]
         for b in batches:
-            told = zip(*_predict(table, b["text"]), strict=True)
+            told = zip(*_predict(table, texts_of(b)), strict=True)
             ok = [x != "und" and s >= least and far <= near and (languages is None or x in languages) for x, s, far in told]
-            yield b[np.array(ok, dtype=bool)]
+            yield b.filter(pa.array(ok, pa.bool_()))
 
-    return documents.mapInPandas(run, documents.schema)
+    return documents.mapInArrow(run, documents.schema)

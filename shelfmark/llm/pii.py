@@ -1,18 +1,22 @@
 """Personal data replaced by keyed surrogates of the same type, format, script and gender.
 
-Found are e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers and names after a title. A value is
-normalised (digits only, lower case), and its surrogate follows from a secret key and the normalised value alone, so
-that one person stays one person in all documents. Digits go through a keyed permutation of all digit strings of their
-length, so that different numbers stay different; e-mail parts keep their lengths and alphabets; names are built
-from syllables of the gender the title tells and of the value's own script. Letter case and punctuation are laid out as
-in the original.
+Found are e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers and names: those after a title, and in
+the same text every other mention of their parts. A value is normalised (digits only, lower case), and its surrogate
+follows from a secret key and the normalised value alone. Names go part by part, and by what hyphens join: a surname has
+one surrogate whatever title or given name stands before it, so that one person stays one person in all documents; given
+names end by gender, which the title tells, or else the name's own ending. Digits go through a keyed permutation of all
+digit strings of their length, so that different numbers stay different; country codes stay, and card numbers with
+a right check digit get one. E-mail parts keep their lengths and alphabets. Capitals and punctuation stay where they were.
 
 Collisions are looked for over the distinct values of the whole corpus: where two values of a type share a surrogate,
 or a surrogate is itself a value of the corpus, all but the smallest of the former, and the latter, draw again until none
-is left. Values that drew again are broadcast while fewer than ``BROADCAST``; beyond that they are joined by document.
+is left. Later draws of names and addresses are longer, so that there always are free ones; digit strings keep their
+length, and a format with hardly any free ones left is an error. Values that drew again are broadcast while fewer than
+``BROADCAST``; beyond that they are joined by document.
 
 Defined results: null text stays null with no entities; texts without entities stay as they are; rows that repeat a
-doc_id are each rewritten; an empty table gives an empty one. Extra columns are left alone, whatever their names.
+doc_id are each rewritten; an empty table gives an empty one. Identifiers keep all their bits beside nulls. Extra columns
+are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +25,15 @@ import hashlib
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import beside, texts_of
+from .kernels import apart_from
 from .shared import keep
 
-KEY, BROADCAST, DRAWS = "shelfmark-surrogates", 100_000, 20
+KEY, BROADCAST, ROUNDS = "shelfmark-surrogates", 50_000, 64
 # Titles by gender, and syllables by script.
 TITLES = {"m": "Mr Herr Señor Sr Monsieur Don Господин".split(), "f": "Mrs Ms Miss Frau Señora Sra Mme Madame Doña Госпожа".split(), "n": "Dr Prof Mx".split()}
 GENDER = {t: g for g, ts in TITLES.items() for t in ts}
@@ -36,27 +43,58 @@ LAST = {("latin", "m"): "n", ("latin", "f"): "a", ("latin", "n"): "s", ("cyrilli
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)")
 _CARD = re.compile(r"(?<![\dA-Za-z])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])")
-_PHONE = re.compile(r"(?<![\dA-Za-z+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\) ?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\dA-Za-z])")
-_NAME = re.compile(rf"\b({'|'.join(sorted(GENDER, key=len, reverse=True))})\b\.?[  ]((?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+|[А-ЯЁ][а-яё-]+)(?:[  ](?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+|[А-ЯЁ][а-яё-]+)){{0,2}})")
+_PHONE = re.compile(r"(?<![\dA-Za-z+])(?:\+(\d{1,3})[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\) ?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\dA-Za-z])")
+_PART = "(?:[A-ZÀ-ÖØ-Þ](?:['’-]?[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+)+|[А-ЯЁ](?:-?[А-ЯЁ]?[а-яё]+)+)"
+_NAME = re.compile(rf"\b({'|'.join(sorted(GENDER, key=len, reverse=True))})\b\.?[ \u00a0]({_PART}(?:[ \u00a0]{_PART}){{0,2}})")
+_WORD = re.compile(rf"(?<!\w){_PART}(?!\w)")
 _DIGIT = re.compile(r"\d")
 
 
+def luhn(digits: str) -> int:
+    """The check digit that belongs after ``digits``."""
+    total = sum(sum(divmod(int(c) * (2 if i % 2 == 0 else 1), 10)) for i, c in enumerate(reversed(digits)))
+    return -total % 10
+
+
+def _phone(m: re.Match) -> str:
+    digits = re.sub(r"\D", "", m[0])
+    code = m[1] if m[1] and not m[0][len(m[1]) + 1].isdigit() else ""
+    return f"{code}:{digits[len(code) :]}"
+
+
+def _given(part: str, title: str) -> str:
+    gender = GENDER[title]
+    gender = gender if gender != "n" else "f" if part[-1].lower() in "aeая" else "m"
+    return f"given-{gender}"
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, normalised value) of each entity; the first of overlapping ones, in the order of kinds, stays."""
-    found: list[tuple[int, int, str, str]] = []
+    """(start, end, kind, normalised value) of each entity in order; of overlapping ones the earlier kind stays.
+
+    Kinds are email, ip, card, phone, and of names surname, given-m and given-f.
+    """
+    kinds: list[list[tuple[int, int, str, str]]] = []
     if "@" in text:
-        found += [(*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
+        kinds.append([(*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text)])
     if _DIGIT.search(text):
-        found += [(*m.span(), "ip", m[0]) for m in _IP.finditer(text)]
-        found += [(*m.span(), "card", re.sub(r"\D", "", m[0])) for m in _CARD.finditer(text)]
-        found += [(*m.span(), "phone", re.sub(r"\D", "", m[0])) for m in _PHONE.finditer(text)]
-    found += [(*m.span(2), "name", f"{GENDER[m[1]]}:{m[2].lower()}") for m in _NAME.finditer(text)]
+        kinds.append([(*m.span(), "ip", m[0]) for m in _IP.finditer(text)])
+        kinds.append([(*m.span(), "card", re.sub(r"\D", "", m[0])) for m in _CARD.finditer(text)])
+        kinds.append([(*m.span(), "phone", _phone(m)) for m in _PHONE.finditer(text)])
+    titled, known = [], {}
+    for m in _NAME.finditer(text):
+        parts = list(_WORD.finditer(text, *m.span(2)))
+        for i, x in enumerate(parts):
+            kind = "surname" if i == len(parts) - 1 else _given(x[0], m[1])
+            titled.append((*x.span(), kind, x[0].lower()))
+            if kind == "surname" or x[0].lower() not in known:
+                known[x[0].lower()] = kind
+    if titled:
+        kinds.append(titled)
+        kinds.append([(*m.span(), known[v], v) for m in _WORD.finditer(text) if (v := m[0].lower()) in known])
     out: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
-    for e in found:
-        if not any(a < e[1] and e[0] < b for a, b in taken):
-            out.append(e)
-            taken.append(e[:2])
+    for found in kinds:
+        stay = set(apart_from([e[:2] for e in found], [e[:2] for e in out]))
+        out += [e for e in found if e[:2] in stay]
     return sorted(out)
 
 
@@ -92,10 +130,20 @@ def _word(key: str, shape: str, *what) -> str:
     return "".join(out)
 
 
+def _digits(kind: str, value: str, key: str, draw: int) -> str:
+    return f"{permute(int(value), 10 ** len(value), key, f'{kind}{len(value)}:{draw}'):0{len(value)}d}"
+
+
 def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
     """Normalised surrogate of a normalised value."""
-    if kind in ("card", "phone"):
-        return f"{permute(int(value), 10 ** len(value), key, f'{kind}{len(value)}:{draw}'):0{len(value)}d}"
+    if kind == "card" and luhn(value[:-1]) == int(value[-1]):
+        new = _digits("checked", value[:-1], key, draw)
+        return f"{new}{luhn(new)}"
+    if kind == "card":
+        return _digits(kind, value, key, draw)
+    if kind == "phone":
+        code, _, rest = value.partition(":")
+        return f"{code}:{_digits(kind, rest, key, draw)}"
     if kind == "ip":
         n = 0
         for x in value.split("."):
@@ -105,25 +153,30 @@ def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
     if kind == "email":
         local, _, domain = value.partition("@")
         site, dot, top = domain.rpartition(".")
-        return f"{_word(key, local, 'local', value, draw)}@{_word(key, site, 'site', domain)}{dot}{top}"
-    gender, _, name = value.partition(":")
-    script = "cyrillic" if re.search("[а-яё]", name) else "latin"
-    out = []
-    for i, part in enumerate(name.replace(" ", " ").split(" ")):
-        n, s = _number(key, "name", value if draw else part, i == 0 and gender, draw), SYLLABLES[script]
-        word = "".join(s[n // len(s) ** j % len(s)] for j in range(3 + n % 2))
-        out.append(word + (LAST[script, gender] if i == 0 else ""))
-    return f"{gender}:{' '.join(out)}"
+        return f"{_word(key, local + 'x' * (draw // 3), 'local', value, draw)}@{_word(key, site, 'site', domain)}{dot}{top}"
+    script = "cyrillic" if re.search("[а-яё]", value) else "latin"
+    pieces, s = re.split("(-)", value), SYLLABLES[script]
+    for i in range(0, len(pieces), 2):
+        n = _number(key, "name", kind, pieces[i], draw)
+        pieces[i] = "".join(s[n // len(s) ** j % len(s)] for j in range(3 + n % 2 + draw // 3)) + LAST[script, kind.rpartition("-")[2] if kind != "surname" else "n"]
+    return "".join(pieces)
+
+
+def _cased(new: str, shown: str) -> str:
+    """``new`` with capitals where ``shown`` has them, from its start; wholly in capitals if that is."""
+    if shown.isupper() and len(shown) > 1:
+        return new.upper()
+    return "".join(c.upper() if i < len(shown) and shown[i].isupper() else c for i, c in enumerate(new))
 
 
 def laid_out(shown: str, kind: str, new: str) -> str:
     """The surrogate in the original's punctuation and letter case."""
     if kind in ("card", "phone"):
-        digits = iter(new)
+        digits = iter(new.replace(":", ""))
         return re.sub(r"\d", lambda _: next(digits), shown)
-    if kind == "name":
-        return " ".join(w.capitalize() for w in new.partition(":")[2].split(" "))
-    return new.upper() if shown.isupper() else new
+    if kind == "email":
+        return "@".join(_cased(x, y) for x, y in zip(new.split("@"), shown.split("@"), strict=True))
+    return new if kind == "ip" else "-".join(_cased(x, y) for x, y in zip(new.split("-"), shown.split("-"), strict=True))
 
 
 def _exceptions(documents: DataFrame, key: str) -> DataFrame | None:
@@ -140,17 +193,17 @@ def _exceptions(documents: DataFrame, key: str) -> DataFrame | None:
     schema = "kind string, value string, draw int, new string"
     values = keep(documents.select("text").mapInPandas(find, "kind string, value string").distinct(), "entities")
     now = keep(values.withColumn("draw", F.lit(0)).mapInPandas(draws, schema), "surrogates")
-    for _ in range(DRAWS):
+    real = values.select("kind", F.col("value").alias("new")).withColumn("real", F.lit(True))
+    for _ in range(ROUNDS):
         first = now.groupBy("kind", "new").agg(F.min(F.struct("draw", "value")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("kind", "new", F.col("first.value").alias("first"))
-        real = values.select("kind", F.col("value").alias("new")).withColumn("real", F.lit(True))
         judged = now.join(first, ["kind", "new"], "left").join(real, ["kind", "new"], "left").withColumn("again", F.coalesce(F.col("first") != F.col("value"), F.lit(False)) | F.coalesce("real", F.lit(False)))
         judged = keep(judged.select("kind", "value", F.when(F.col("again"), F.col("draw") + 1).otherwise(F.col("draw")).alias("draw"), "new", "again"), "draws")
         if not judged.filter("again").take(1):
-            break
+            found = now.filter("draw > 0").select("kind", "value", "draw")
+            return found if found.take(1) else None
         redrawn = judged.filter("again").select("kind", "value", "draw").mapInPandas(draws, schema)
         now = keep(judged.filter("NOT again").select("kind", "value", "draw", "new").unionByName(redrawn), "surrogates")
-    found = now.filter("draw > 0").select("kind", "value", "draw")
-    return found if found.take(1) else None
+    raise ValueError(f"after {ROUNDS} draws some values still share surrogates: a format of digits has hardly any free ones left")
 
 
 def replace(documents: DataFrame, key: str = KEY) -> DataFrame:
@@ -165,28 +218,31 @@ def replace(documents: DataFrame, key: str = KEY) -> DataFrame:
 
         def of_documents(batches):
             for b in batches:
-                yield pd.DataFrame([(i, k, v) for i, t in zip(b["doc_id"], b["text"], strict=True) if isinstance(t, str) for k, v in {e[2:] for e in entities(t)}], columns=["id", "kind", "value"])
+                found = [(i, k, v) for i, t in enumerate(texts_of(b)) if t for k, v in {e[2:] for e in entities(t)}]
+                at, kinds, values = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["id", "kind", "value"])
 
         kind = documents.schema["doc_id"].dataType.simpleString()
-        per = rows.mapInPandas(of_documents, f"id {kind}, kind string, value string").distinct().join(again, ["kind", "value"])
+        per = rows.mapInArrow(of_documents, f"id {kind}, kind string, value string").distinct().join(again, ["kind", "value"])
         per = per.groupBy("id").agg(F.collect_list(F.concat_ws("\u0001", "kind", "value", F.col("draw").cast("string"))).alias("draws"))
         rows = rows.join(per, rows["doc_id"].eqNullSafe(per["id"]), "left").drop("id")
 
     def run(batches):
         for b in batches:
-            out = []
-            for i, t in enumerate(b["text"]):
-                found = entities(t) if isinstance(t, str) else []
+            own = b.column("draws").to_pylist() if "draws" in b.schema.names else None
+            counts, spans, texts = [], [], texts_of(b)
+            for i, t in enumerate(texts):
+                found = entities(t) if t else []
                 draws = held.value if held is not None else {}
-                if "draws" in b and b["draws"].iloc[i] is not None:
-                    draws = {tuple(x.split("\u0001")[:2]): int(x.split("\u0001")[2]) for x in b["draws"].iloc[i]}
+                if own and own[i]:
+                    draws = {tuple(x.split("\u0001")[:2]): int(x.split("\u0001")[2]) for x in own[i]}
                 pieces, at = [], 0
                 for a, e, k, v in found:
                     pieces += [t[at:a], laid_out(t[a:e], k, surrogate(k, v, key, draws.get((k, v), 0)))]
                     at = e
-                out.append((len(found), ",".join(f"{k}:{a}:{e}" for a, e, k, _ in found), "".join([*pieces, t[at:]]) if isinstance(t, str) else None))
-            frame = pd.DataFrame(out, columns=["n_entities", "spans", "text"])
-            frame.insert(0, "doc_id", b["doc_id"].values)
-            yield frame
+                counts.append(len(found))
+                spans.append(",".join(f"{k}:{a}:{e}" for a, e, k, _ in found))
+                texts[i] = "".join([*pieces, t[at:]]) if t else t
+            yield beside(b, ["doc_id"], n_entities=(counts, pa.int64()), spans=(spans, pa.string()), text=(texts, pa.string()))
 
-    return rows.mapInPandas(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_entities bigint, spans string, text string")
+    return rows.mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_entities bigint, spans string, text string")

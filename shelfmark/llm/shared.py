@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in tests on one machine, a temporary folder takes its place.
+    Only where that setting is absent on one machine, as in tests, a temporary folder takes its place; elsewhere it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or "local-cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="shelfmark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

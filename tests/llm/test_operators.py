@@ -95,11 +95,41 @@ def test_secrets_against_plain_python(spark):
 
 
 def test_surrogates_stay_distinct():
-    values = [f"555010{i:04d}" for i in range(500)]
+    values = [f":555010{i:04d}" for i in range(500)]
     assert len({pii.surrogate("phone", v) for v in values}) == 500
     assert pii.surrogate("phone", values[0]) == pii.surrogate("phone", values[0]) != values[0]
 
 
+def _rewritten(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [r["text"] for r in pii.replace(docs).orderBy("doc_id").collect()]
+
+
+def test_one_person_stays_one_person(spark):
+    a, b, c = _rewritten(spark, ["Mr John Smith met Dr Smith. Smith left, John did not.", "Mrs Anna McDonald-Smith wrote to Dr John Smith", "Smith alone is a trade"])
+    first, last = a.split()[1:3]
+    assert re.fullmatch(rf"Mr {first} {last} met Dr {last}\. {last} left, {first} did not\.", a) and last != "Smith" and first != "John"
+    assert re.fullmatch(rf"Mrs [A-Z][a-z]+a [A-Z][a-z][A-Z][a-z]+-{last} wrote to Dr {first} {last}", b)
+    assert c == "Smith alone is a trade"
+
+
+def test_surrogates_keep_their_format(spark):
+    card, phone, mail = _rewritten(spark, ["4111 1111 1111 1111", "+44 (20) 7946 0958", "write to John.Smith7@Example.com"])
+    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", card) and pii.luhn(card.replace(" ", "")[:-1]) == int(card[-1])
+    assert re.fullmatch(r"\+44 \(\d\d\) \d{4} \d{4}", phone)
+    assert re.fullmatch(r"write to [A-Z][a-z]{3}\.[A-Z][a-z]{4}\d@[A-Z][a-z]{6}\.com", mail)
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_dense_formats_stay_distinct(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST", most)
+    local = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"mail {c}@site.org or {c}{c}@site.org" for c in local] + [f"mail {c}@site.org" for c in local]
+    new = [tuple(re.findall(r"\S+@\S+", t)) for t in _rewritten(spark, texts)]
+    assert new[26:] == [(x,) for x, _ in new[:26]] and len({x for pair in new for x in pair}) == 52
+    assert not {x.partition("@")[0] for pair in new for x in pair if x.endswith("@site.org")} & set(local)
+
+
 def test_pipeline_columns(spark):
     import corpus_pipeline
 
