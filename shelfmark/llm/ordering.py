@@ -15,20 +15,23 @@ from pyspark.sql import functions as F
 
 from .shared import partitions
 
-SAMPLE = 16
+SAMPLE, RANGE_BYTES = 16, 16 << 20
 
 
-def in_order(df: DataFrame, keys: list[str], circular: bool = False, ties: list[str] = (), only: DataFrame | None = None, alike: str | None = None) -> DataFrame:
+def in_order(df: DataFrame, keys: list[str], circular: bool = False, ties: list[str] = (), only: DataFrame | None = None, alike: str | None = None, size: str | None = None) -> DataFrame:
     """``df`` with ``_range`` and ``_halo``, one range a partition, sorted by ``keys`` then ``ties``.
 
     A halo row is a copy of the nearest row of the next range on either side; with ``circular`` the last row of all is
     also a halo before the first. Keys are compared as Spark compares them and must not be null. Rows of equal keys
     stay in one range. ``only`` may give the same keys at less cost than ``df``. With ``alike``, a column of both and the
     first of the ties, the halo rows are the nearest that differ in it from the row at the range's end, however far off.
+    With ``size``, a column of ``only``, there are as many more ranges as keep one at about ``RANGE_BYTES``.
     """
     n = partitions(df.sparkSession)
-    only = (df if only is None else only).select(*keys, *([alike] if alike else []))
-    total = only.count()
+    only = df if only is None else only
+    total, held = only.agg(F.count("*"), F.sum(size) if size else F.lit(0)).first()
+    n = max(n, -(-int(held or 0) // RANGE_BYTES))
+    only = only.select(*keys, *([alike] if alike else []))
     share = min(1.0, SAMPLE * n / max(total, 1))
     sample = only.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(4 * SAMPLE * n).collect()
     found = sorted({tuple(r) for r in sample})

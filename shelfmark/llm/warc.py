@@ -3,7 +3,8 @@
 Pages with equal payloads keep the payload once: the smallest page_id's record is a response, the others' records are
 revisits that refer to it and carry the HTTP head only. Archives are gzip-compressed WARC/1.1 files written by Spark's
 text writer, whose line separator is WARC's record separator, and read back whole-file by ``binaryFile``; a file holds
-at most ``RECORDS`` records. Payload digests are computed again on reading and must agree.
+at most ``RECORDS`` records, fewer where they would be more than ``ARCHIVE_BYTES`` at the average size. A file is one
+gzip stream; offsets count uncompressed bytes. Payload digests are computed again on reading and must agree.
 
 The index of each archive is a capture run, sorted locally by URL key, time and page. Runs are cut at common bounds,
 each range of all runs meets in one task, and a loser tree merges them there: ``range_no`` and ``range_pos`` give
@@ -27,6 +28,7 @@ import re
 import uuid
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .shared import partitions, shared_dir
 
-RECORDS, LEAST = 10_000, 0
+RECORDS, ARCHIVE_BYTES, LEAST = 10_000, 64 << 20, 0
 _SEP = "\r\n\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -50,17 +52,25 @@ def base32_sha1(payload: F.Column) -> F.Column:
 
 
 def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """``pages`` (page_id, url, html) with digest, size, kind of record and what it refers to."""
+    """``pages`` (page_id, url, html) with digest, size, kind of record and what it refers to.
+
+    Which payloads are equal is found without them: only identifiers meet by digest, and pages then meet their revisits
+    by identifier, so that a payload that many pages have gathers nowhere.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("bigint").alias("bytes"), base32_sha1(html.cast("binary")).alias("digest"))
-    first = pages.select("page_id", F.octet_length(html).alias("bytes"), base32_sha1(html.cast("binary")).alias("digest")).filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return p.join(first, "digest", "left").withColumn("kind", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first"))).drop("first")
+    ids = p.filter(F.col("bytes") >= least).groupBy("page_id", "digest").agg(F.count("*").alias("n"))
+    first = ids.groupBy("digest").agg(F.min("page_id").alias("first"))
+    revisits = ids.join(first, "digest").filter(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "first")
+    joined = p.join(revisits, p["page_id"].eqNullSafe(revisits["id"]) & (p["digest"] == revisits["of"]), "left").drop("id", "of")
+    return joined.withColumn("kind", F.when(F.col("first").isNotNull(), "revisit").otherwise("response")).withColumnRenamed("first", "refers_to")
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST) -> str:
     """Write a record for each row of ``pages`` to archives under ``path``; times are the page_id's seconds from 2024 on."""
     r = records(pages, least)
+    total, n = pages.agg(F.sum(F.octet_length("html")), F.count("*")).first()
+    most = max(1, min(RECORDS, ARCHIVE_BYTES * n // max(int(total or 0), 1)))
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     record_id = lambda c: F.concat(F.lit("<urn:x-page:"), shown(c), F.lit(">"))
     url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), " ", "%20")
@@ -73,7 +83,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> str:
         F.lit("\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Payload-Digest: sha1:"), "digest", F.when(F.col("kind") == "revisit", revisit).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(_SEP), block,
     )
-    r.select(lines.alias("value")).write.option("lineSep", _SEP).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    r.select(lines.alias("value")).write.option("lineSep", _SEP).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
     return path
 
 
@@ -197,9 +207,9 @@ def histories(spark, path: str, bounds: list[tuple], page_type: str = "bigint")
             for no, run in zip(b["range_no"], b["run"], strict=True):
                 held.setdefault(no, []).append(pickle.loads(run))
         for no in sorted(held):
-            rows = [(e[2], e[4], e[5], e[6], e[7], e[0], e[1], no, i) for i, e in enumerate(LoserTree(held.pop(no), _key))]
-            for i in range(0, len(rows), 10_000):
-                out = pd.DataFrame(rows[i : i + 10_000], columns=[x.split()[0] for x in schema.split(", ")])
+            rows = ((e[2], e[4], e[5], e[6], e[7], e[0], e[1], no, i) for i, e in enumerate(LoserTree(held.pop(no), _key)))
+            while some := list(islice(rows, 10_000)):
+                out = pd.DataFrame(some, columns=[x.split()[0] for x in schema.split(", ")])
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = f"page_id {page_type}, payload_bytes bigint, payload_digest string, record_type string, refers_to {page_type}, url_key string, captured_at string, range_no int, range_pos bigint"
