@@ -560,7 +560,9 @@ def keep_one_of_each(documents: DataFrame, shingle: int = SHINGLE, percent: int
     sized, known = _resolved(documents, shingle, percent)
     rows = keep(sized.filter("sig IS NOT NULL").groupBy("doc_id", "row", "sig").agg(F.count("*").alias("c")).join(known.select("sig", "label"), "sig").select("doc_id", "row", "label", "c"), "rows")
     one = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("one")).select("label", F.col("one.doc_id").alias("one_id"), F.col("one.row").alias("one_row"))
-    judged = rows.join(one, "label").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("row") == F.col("one_row")))
+    one = one.withColumnRenamed("label", "of")
+    chosen = (rows["label"] == one["of"]) & rows["doc_id"].eqNullSafe(one["one_id"]) & (rows["row"] == one["one_row"])  # by all three: a label alone may be a third of all rows
+    judged = rows.join(one, chosen, "left").withColumn("stays", F.col("one_row").isNotNull())
     judged = keep(judged.filter("NOT stays OR c > 1").select(F.col("doc_id").alias("id"), "row", "stays"), "judged")
     whole = documents.select(F.struct("*").alias("it"), F.col("doc_id").alias("id"), row_key().alias("row"))
 
