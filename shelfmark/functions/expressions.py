@@ -60,10 +60,39 @@ def year_of(text) -> Column:
     return F.when(head.rlike("^[12][0-9]{3}$"), head.cast("int"))
 
 
+def _finite(text) -> Column:
+    number = F.when(col(text).rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), col(text).try_cast("double"))
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
+
+
 def decibels(text) -> Column:
     """A gain such as ``-6.5 dB``; null unless finite and numeric."""
-    said = F.btrim(F.regexp_replace(col(text), r"(?i)\s*dB\s*$", ""))
-    return F.when(said.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.try_to_number(said, F.lit("S9999999999.9999999999")).cast("double"))
+    return _finite(F.btrim(F.regexp_replace(F.btrim(col(text)), r"(?i)\s*dB$", "")))
+
+
+def peak(text) -> Column:
+    """A peak level: finite and not negative."""
+    number = _finite(F.btrim(col(text)))
+    return F.when(number >= 0, number)
+
+
+def cut_size(bitrate, ms) -> Column:
+    """Bytes that a stretch of ``ms`` takes at ``bitrate`` bits a second, about."""
+    return half_up(col(bitrate) * col(ms) / 8000)
+
+
+def kilobits(bitrate) -> Column:
+    return half_up(col(bitrate) / 1000)
+
+
+def bitrate_of(size, ms) -> Column:
+    """Bits a second of a file of ``size`` bytes; null without a duration."""
+    return F.when(col(ms) > 0, half_up(col(size) * 8000 / col(ms)))
+
+
+def minutes_ago(then, now) -> Column:
+    """Whole minutes since, never negative."""
+    return F.greatest(F.lit(0).cast("bigint"), F.floor((F.unix_timestamp(col(now)) - F.unix_timestamp(col(then))) / 60))
 
 
 def parse_id(text) -> tuple[Column, Column]:
@@ -94,29 +123,79 @@ def ancestors(path) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
 
 
+#: Fixed value: a host name and nothing else, in lower case.
+SITE = r"^[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*\.[a-z]{2,6}$"
+
+
 def site_like(text) -> Column:
-    """Text that is a bare domain rather than a name."""
-    return F.btrim(col(text)).rlike(r"(?i)^(https?://)?(www\.)?[a-z0-9-]+(\.[a-z0-9-]+)*\.(com|net|org|ru|info|biz|de|fr|uk|io)(/\S*)?$")
+    """Text that is a bare host name rather than a name."""
+    return F.btrim(col(text)).rlike(SITE)
+
+
+def _runs(text) -> Column:
+    """Runs of letters, of digits and of anything else, in lower case."""
+    return F.regexp_extract_all(F.lower(F.btrim(col(text))), F.lit(r"([0-9]+|[a-z]+|[^a-z0-9]+)"), F.lit(1))
+
+
+DISC_WORDS = ("cd", "disc", "disk")
+_GAP = r"^\s*[._-]?\s*$"
 
 
 def disc_number(name) -> Column:
-    """Disc number of a folder name: ``CD 2``, ``Disc.1``, ``Name (Disk 3)``."""
-    text = F.btrim(col(name))
-    whole = F.regexp_extract(text, r"(?i)^(?:cd|disc|disk|d)\s*[._-]?\s*(\d{1,2})$", 1)
-    inside = F.regexp_extract(text, r"(?i)\b(?:disc|disk|cd)\s*[._-]?\s*(\d{1,2})\b(?!\s*\d)", 1)
-    return F.coalesce(F.nullif(whole, F.lit("")), F.nullif(inside, F.lit(""))).cast("int")
+    """Disc number of a folder name: ``CD 2``, ``d2``, ``Disc.1``, ``Name (Disk 3)``: one or two digits next to a word for a disc.
+
+    The name is cut into runs; the first fitting word counts, and a number goes on where only blanks part it from more digits.
+    """
+    runs = _runs(name)
+    at = lambda i: F.try_element_at(runs, i + 1)
+    gap = lambda i: F.coalesce(at(i).rlike(_GAP), F.lit(False))
+    digits = lambda i: F.coalesce(at(i).rlike("^[0-9]{1,2}$"), F.lit(False))
+    ends = lambda i: ~F.coalesce(at(i + 1).rlike(r"^(?:[a-z_]|\s*$)|^[\p{L}]"), F.lit(False)) | (F.coalesce(at(i + 1).rlike(r"^\s+$"), F.lit(False)) & ~F.coalesce(at(i + 2).rlike("^[0-9]"), F.lit(False)))
+    begins = lambda i: (i == 0) | ~F.coalesce(at(i - 1).rlike(r"[\p{L}\p{N}_]$"), F.lit(False))
+    place = lambda i: F.when(digits(i + 1), i + 1).when(gap(i + 1) & digits(i + 2), i + 2)
+    found = F.filter(F.sequence(F.lit(0), F.size(runs)), lambda i: at(i).isin(*DISC_WORDS) & begins(i) & place(i).isNotNull() & ends(place(i)))
+    whole = F.when((at(F.lit(0)) == "d") & (F.size(runs) == place(F.lit(0)) + 1), place(F.lit(0)))
+    return at(F.coalesce(whole, place(F.try_element_at(found, F.lit(1))))).cast("int")
 
 
 def stated_discs(name) -> Column:
-    return F.nullif(F.regexp_extract(F.btrim(col(name)), r"(?iu)(?<![\p{L}\p{N}])(\d+)\s*cd\b", 1), F.lit("")).cast("int")
+    """How many discs a name says it has: a number, perhaps blanks, then ``cd`` as a word's end."""
+    runs = _runs(name)
+    at = lambda i: F.coalesce(F.try_element_at(runs, i + 1), F.lit(""))
+    word = lambda i: F.when(at(i) == "cd", i).when(at(i).rlike(r"^\s+$") & (at(i + 1) == "cd"), i + 1)
+    found = F.filter(F.sequence(F.lit(0), F.size(runs)), lambda i: at(i).rlike("^[0-9]") & ((i == 0) | ~at(i - 1).rlike(r"[\p{L}\p{N}]$")) & word(i + 1).isNotNull() & ~at(word(i + 1) + 1).rlike(r"^[0-9_\p{L}]"))
+    return F.try_element_at(runs, F.try_element_at(found, F.lit(1)) + 1).cast("int")
 
 
 def cue_time(text) -> Column:
     """Milliseconds of mm:ss or mm:ss:ff, 75 frames a second; null if out of range."""
-    rx = r"^(\d{1,3}):(\d{2})(?::(\d{2}))?$"
-    t = F.btrim(col(text))
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(t, rx, i), F.lit("")), F.lit("0")).cast("int")
-    return F.when(t.rlike(rx) & (part(2) <= 59) & (part(3) < 75), part(1).cast("bigint") * 60000 + part(2) * 1000 + half_up(part(3) * 1000 / F.lit(75.0)))
+    parts = F.split(F.btrim(col(text)), ":")
+    number = lambda i, least, most: F.when(F.get(parts, F.lit(i)).rlike(f"^[0-9]{{{least},{most}}}$"), F.get(parts, F.lit(i)).cast("bigint"))
+    frames = F.when(F.size(parts) == 2, F.lit(0)).when(F.size(parts) == 3, number(2, 2, 2))
+    seconds_ = number(1, 2, 2)
+    return F.when((seconds_ < 60) & (frames < 75), number(0, 1, 3) * 60000 + seconds_ * 1000 + half_up(frames * 1000 / F.lit(75.0)))
+
+
+def resolved(folder, reference) -> Column:
+    """A reference written in ``folder``: either slash parts it, ``.`` and empty parts are nothing, ``..`` goes up."""
+    base = F.filter(F.split(col(folder), "/"), lambda x: x != "")
+    step = lambda path, x: F.when(x.isin("", "."), path).when(x == "..", F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))).otherwise(F.concat(path, F.array(x)))
+    return F.array_join(F.aggregate(F.split(F.translate(col(reference), "\\", "/"), "/"), base, step), "/")
+
+
+#: What rippers write for a stretch that is no song.
+RIPPER_MARKS = ("(empty)", "(silence)", "(untitled)", "(data track)")
+
+
+def without_marker(title) -> Column:
+    return F.when(~F.lower(F.btrim(col(title))).isin(*RIPPER_MARKS), col(title))
+
+
+def is_text(text) -> Column:
+    """Whether at most a twentieth of a text of four characters or more is control characters (tabs and line ends are none)."""
+    body = F.regexp_replace(col(text), "\u0000+$", "")
+    controls = F.length(F.regexp_replace(body, "[^\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u009f]", ""))
+    return (F.length(body) < 4) | (controls * 20 <= F.length(body))
 
 
 def explicit_status(itunes, mp4) -> Column:
@@ -128,8 +207,8 @@ def explicit_status(itunes, mp4) -> Column:
 
 #: File kinds by extension.
 KINDS = {
-    "audio": "mp3 flac ogg opus m4a aac wav aiff aif ape wv wma mpc tta dsf dff alac mka oga mp2".split(),
-    "cue": ["cue"], "image": "jpg jpeg png gif webp bmp tif tiff".split(), "nfo": ["nfo"], "log": ["log"], "playlist": "m3u m3u8 pls".split(),
+    "audio": "aif aifc aiff alac ape dff dsf flac m4a mp3 mpc oga ogg opus shn tak tta wav wma wv".split(),
+    "cue": ["cue"], "image": "bmp gif jpeg jpg png tif tiff webp".split(), "nfo": ["nfo"], "log": ["log"], "playlist": "m3u m3u8 pls".split(),
 }
 
 

@@ -2,29 +2,69 @@
 
 from __future__ import annotations
 
+import math
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.names import without_marks
+
 WORD = r"[\p{L}\p{N}]+"
 
 
 def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(word, key, hits) of every text: counted inside the row, so nothing is shuffled."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"({WORD})"))
-    return rows.select(key, F.explode(words).alias("word")).groupBy("word", key).agg(F.count("*").alias("hits"))
+    """(word, key, hits) of every text of a unique ``key``: counted inside the row, so nothing is shuffled.
+
+    A row's words are sorted, and a run of equal ones ends where the next differs: its hits are the distance to the last end.
+    """
+    words = F.array_sort(words_of(F.col(text)))
+    ends = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == F.size("w")) | (F.get("w", i) != F.get("w", i - 1)))
+    pairs = F.transform("e", lambda x, i: F.struct(F.get("w", x - 1).alias("word"), (x - F.when(i == 0, F.lit(0)).otherwise(F.get("e", i - 1))).cast("bigint").alias("hits")))
+    sorted_ = rows.select(key, words.alias("w")).filter(F.size("w") > 0).withColumn("e", ends)
+    return sorted_.select(key, F.inline(pairs)).select("word", key, "hits")
+
+
+def words_of(text) -> F.Column:
+    """Lower-case words without accents, in order."""
+    return F.regexp_extract_all(without_marks(F.lower(F.coalesce(text, F.lit("")))), F.lit(f"({WORD})"))
+
+
+#: Constants of BM25: saturation of repeats, and how much length counts.
+K1, B = 1.2, 0.75
+
+
+def ranked(rows: DataFrame, columns: list[str], words: list[str]) -> DataFrame:
+    """``rows`` that hold all ``words``, the last as a prefix, with their BM25 ``rank``: the smaller the better.
+
+    Columns count as one text. The first pass yields one row of statistics; the second scores inside the row.
+    """
+    said = words_of(F.concat_ws(" ", *columns))
+    exact = lambda w: F.filter("_words", lambda x: x == w)
+    begun = lambda w: F.filter("_words", lambda x: x.startswith(w))
+    hits = [F.size(begun(w) if i == len(words) - 1 else exact(w)) for i, w in enumerate(words)]
+    counted = rows.withColumn("_words", said).withColumns({f"_h{i}": h for i, h in enumerate(hits)}).withColumn("_n", F.size("_words")).drop("_words")
+    of = counted.agg(F.count("*").alias("all"), F.avg("_n").alias("long"), *(F.count_if(F.col(f"_h{i}") > 0).alias(f"n{i}") for i in range(len(words)))).first()
+    score, found = F.lit(0.0), F.lit(bool(words))
+    for i in range(len(words)):
+        weight = max(1e-6, math.log((of["all"] - of[f"n{i}"] + 0.5) / (of[f"n{i}"] + 0.5)))
+        h = F.col(f"_h{i}")
+        score = score - F.lit(weight) * h * (K1 + 1) / (h + K1 * (1 - B + B * F.col("_n") / F.lit(of["long"] or 1.0)))
+        found = found & (h > 0)
+    return counted.filter(found).withColumn("rank", score).drop("_n", *(f"_h{i}" for i in range(len(words))))
 
 
 def matching(rows: DataFrame, text: str, words: list[str]) -> DataFrame:
     """Rows whose text holds every word, the last one as a prefix: a scan, where no index is kept."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     ends = [*[r"(?![\p{L}\p{N}])"] * (len(words) - 1), ""]
-    tests = [low.rlike(rf"(?<![\p{{L}}\p{{N}}]){w}{end}") for w, end in zip(words, ends, strict=True)]
+    tests = [low.rlike(rf"(?<![\p{{L}}\p{{N}}]){re.escape(w)}{end}") for w, end in zip(words, ends, strict=True)]
     return rows.filter(reduce(lambda a, b: a & b, tests)) if tests else rows.limit(0)
 
 
 def ask(index: DataFrame, key: str, words: list[str]) -> DataFrame:
-    """Keys that have all ``words`` in an index of ``postings``, with the hits together."""
-    found = index.filter(F.col("word").isin(words)).groupBy(key).agg(F.countDistinct("word").alias("n"), F.sum("hits").alias("hits"))
-    return found.filter(F.col("n") == len(set(words))).select(key, "hits")
+    """Keys that have all ``words`` in an index of ``postings``, the last one as a prefix, with the hits together."""
+    tests = [F.col("word").startswith(w) if i == len(words) - 1 else F.col("word") == w for i, w in enumerate(words)]
+    found = index.filter(reduce(lambda a, b: a | b, tests)).groupBy(key).agg(*(F.max(t).alias(f"t{i}") for i, t in enumerate(tests)), F.sum("hits").alias("hits"))
+    return found.filter(reduce(lambda a, b: a & b, [F.col(f"t{i}") for i in range(len(tests))])).select(key, "hits")

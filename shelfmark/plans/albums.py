@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.expressions import index_letter, sort_key
@@ -29,38 +29,43 @@ def plays(v: Views) -> DataFrame:
     return by_group.groupBy("g").agg(F.sum("n").alias("play_count"), F.max("last").alias("last_played"))
 
 
+def drawn(seed: int) -> F.Column:
+    """An order that a seed and the id decide alone, so that a draw can be told again."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+
+
 #: Stars and ratings of records: every eleventh and seventh customer's, as the fixture has them.
 def annotated(v: Views) -> DataFrame:
-    return v.album_select.withColumn("starred", F.when(F.col("id") % 11 == 0, F.col("id") % 1000)).withColumn("rating", F.when(F.col("id") % 7 == 1, F.col("id") % 5 + 1))
+    return v.records.withColumn("starred", F.when(F.col("id") % 11 == 0, F.col("id") % 1000)).withColumn("rating", F.when(F.col("id") % 7 == 1, F.col("id") % 5 + 1))
 
 
 def album_list(v: Views, kind: str, size: int = 50, offset: int = 0, seed: int = 0) -> DataFrame:
-    """Records in one of eight orders."""
-    df = visible(v.album_select)
+    """Records in one of eight orders: the page is found first, from what records say of themselves, and then told."""
+    df = visible(v.records)
     if kind in ("frequent", "recent"):
         df = df.join(plays(v), F.col("group_id") == F.col("g"))
         first = F.desc("play_count" if kind == "frequent" else "last_played")
-        return page(df, first, "id", size=size, offset=offset).select("id", "title", "artist_name", "year", "song_count", "duration_ms", "genre", "play_count", "last_played")
+        return v.of_page(page(df, first, "id", size=size, offset=offset)).select("id", "title", "artist_name", "year", "song_count", "duration_ms", "genre", "play_count", "last_played")
     if kind in ("starred", "highest"):
         column = {"starred": "starred", "highest": "rating"}[kind]
         df = visible(annotated(v)).filter(F.col(column).isNotNull())
         return page(df, F.desc(column), "id", size=size, offset=offset).select("id", "title", "artist_name", "year", column)
     order = {
-        "newest": (F.desc("id"),), "random": (F.rand(seed),), "alphabetical_name": ("title", "id"),
+        "newest": (F.desc("id"),), "random": (drawn(seed), "id"), "alphabetical_name": ("title", "id"),
         "alphabetical_artist": (F.asc_nulls_first("artist_name"), F.asc_nulls_first("year"), "title", "id"),
     }[kind]
-    return page(df, *order, size=size, offset=offset).select("id", "title", "artist_name", "year", "song_count", "duration_ms", "genre")
+    return v.of_page(page(df, *order, size=size, offset=offset)).select("id", "title", "artist_name", "year", "song_count", "duration_ms", "genre")
 
 
 def by_year(v: Views, first: int, last: int, size: int = 100) -> DataFrame:
-    return page(visible(v.album_select).filter(F.col("year").between(first, last)), "year", "title", "id", size=size).select("id", "title", "year", "song_count")
+    return v.of_page(page(visible(v.records).filter(F.col("year").between(first, last)), "year", "title", "id", size=size)).select("id", "title", "year", "song_count")
 
 
 def by_genre(v: Views, genre: str, size: int = 100) -> DataFrame:
     """Records with at least one song of the genre."""
     files = v.genre_values.filter(F.col("value") == genre).select("file_id").distinct()
     groups = v.track.join(files, "file_id", "left_semi").select("album_id").distinct().join(v.grouped.select(F.col("id").alias("album_id"), F.col("group_id").alias("g")), "album_id")
-    return page(visible(v.album_select).join(groups, F.col("group_id") == F.col("g"), "left_semi"), "title", "id", size=size).select("id", "title", "genre")
+    return v.of_page(page(visible(v.records).join(groups, F.col("group_id") == F.col("g"), "left_semi"), "title", "id", size=size)).select("id", "title", "genre")
 
 
 def genres(v: Views) -> DataFrame:
@@ -73,28 +78,28 @@ def songs_of_album(v: Views, ids: list[int]) -> DataFrame:
     """All songs of the records that the albums belong to, disc after disc."""
     groups = v.grouped.filter(F.col("id").isin(ids)).select("group_id").distinct()
     discs = v.grp.join(groups, "group_id", "left_semi").select(F.col("id").alias("album_id"), "rn")
-    return v.song_select.join(discs, "album_id").select("id", "album_id", "rn", "ordinal", "duration_ms", "rel_path", "album_title", "artist_name")
+    return v.songs(v.tracks(discs.select(F.col("album_id").alias("id")))).join(discs, "album_id").select("id", "album_id", "rn", "ordinal", "duration_ms", "rel_path", "album_title", "artist_name")
 
 
 def songs_by_genre(v: Views, genre: str, size: int = 200, offset: int = 20) -> DataFrame:
     files = v.genre_values.filter(F.col("value") == genre).select("file_id").distinct()
-    songs = visible(v.song_select.join(v.track.join(files, "file_id", "left_semi").select("id"), "id", "left_semi"))
+    songs = visible(v.songs(v.track.join(files, "file_id", "left_semi")))
     return page(songs, "rel_path", "id", size=size, offset=offset).select("id", "rel_path", "album_title")
 
 
 def random_songs(v: Views, size: int = 50, seed: int = 1, genre: str | None = None, years: tuple[int, int] | None = None) -> DataFrame:
-    """A draw of songs after all filters; the same seed over the same partitions draws alike."""
+    """A draw of songs after all filters; the same seed draws alike."""
     df = visible(v.song_select)
     if genre is not None:
         df = df.filter(F.col("genre") == genre)
     if years is not None:
         df = df.filter(F.col("year").between(*years))
-    return df.orderBy(F.rand(seed)).limit(min(max(1, size), MOST))
+    return page(df, drawn(seed), "id", size=size)
 
 
 def artists(v: Views) -> DataFrame:
     """Artists with records of their own, with their number."""
-    n = visible(v.album_select).groupBy("artist_id").agg(F.count("*").alias("album_count"))
+    n = visible(v.records).groupBy("artist_id").agg(F.count("*").alias("album_count"))
     return v.artist.join(n, F.col("id") == F.col("artist_id")).select("id", "name", "album_count", index_letter(sort_key("name")).alias("letter"))
 
 
@@ -106,9 +111,12 @@ def artist_counts(v: Views, ids: list[int]) -> DataFrame:
 
 def artist_roles(v: Views) -> DataFrame:
     """What each artist is known as, sorted."""
+    sung = v.track.join(v.file.select(F.col("id").alias("file_id")), "file_id", "left_semi").select(F.col("album_id").alias("id"))
+    said = v.release.select(F.col("id").alias("release_id"), F.col("artist_id").alias("said"))
+    with_songs = v.album.join(sung, "id", "left_semi").join(said, "release_id", "left").select(F.coalesce("said", "artist_id").alias("artist_id"))
     arms = [
         v.album.filter("artist_id IS NOT NULL").select("artist_id", F.lit("albumartist").alias("role")), v.release.select("artist_id", F.lit("albumartist").alias("role")),
-        v.song_select.filter("artist_id IS NOT NULL").select("artist_id", F.lit("artist").alias("role")),
+        with_songs.filter("artist_id IS NOT NULL").select("artist_id", F.lit("artist").alias("role")),
         v.album.filter("artist_id IS NOT NULL AND disc_number IS NOT NULL").select("artist_id", F.lit("boxartist").alias("role")),
     ]
     every = arms[0].union(arms[1]).union(arms[2]).union(arms[3])
@@ -122,7 +130,7 @@ def index_letters(v: Views) -> DataFrame:
 
 
 def first_genre(v: Views) -> DataFrame:
-    return v.genre1.select("group_id", "value")
+    return v.genre1(v.grouped, v.track).select("group_id", "value")
 
 
 def representatives(v: Views) -> DataFrame:
@@ -158,7 +166,7 @@ def queries() -> dict:
         "album_list_alphabetical_artist": (lambda v: album_list(v, "alphabetical_artist", 500), _q(f"select {_FIELDS} from album_select where junk_reason is null order by artist_name nulls first, year nulls first, title, id limit 500")),
         "album_list_starred": (lambda v: album_list(v, "starred"), _q("select id, title, artist_name, year, case when id % 11 = 0 then id % 1000 end as starred from album_select where junk_reason is null and id % 11 = 0 order by starred desc, id limit 50")),
         "album_list_highest": (lambda v: album_list(v, "highest"), _q("select id, title, artist_name, year, case when id % 7 = 1 then id % 5 + 1 end as rating from album_select where junk_reason is null and id % 7 = 1 order by rating desc, id limit 50")),
-        "album_list_random": (lambda v: album_list(v, "random"), None),
+        "album_list_random": (lambda v: album_list(v, "random"), _q(f"select {_FIELDS} from album_select where junk_reason is null order by md5('0:' || id), id limit 50")),
         "album_list_by_year": (lambda v: by_year(v, 1992, 1998), _q("select id, title, year, song_count from album_select where junk_reason is null and year between 1992 and 1998 order by year, title, id limit 100")),
         "album_list_by_year_reversed": (lambda v: by_year(v, 1998, 1992), _q("select id, title, year, song_count from album_select where junk_reason is null and year between 1998 and 1992 order by year, title, id limit 100")),
         "album_list_by_genre": (lambda v: by_genre(v, g), _q(f"select id, title, genre from album_select where junk_reason is null and group_id in (select group_id from genre_rows where value = '{g}') order by title, id limit 100")),
@@ -166,7 +174,7 @@ def queries() -> dict:
         "song_select": (lambda v: v.song_select, _q("select * from song_select")),
         "songs_of_album": (lambda v: songs_of_album(v, [3, 17, 44]), _q("select s.id, s.album_id, g.rn, s.ordinal, s.duration_ms, s.rel_path, s.album_title, s.artist_name from song_select s join grp g on g.id = s.album_id where g.group_id in (select group_id from grp where id in (3, 17, 44))")),
         "songs_by_genre": (lambda v: songs_by_genre(v, g), _q(f"select id, rel_path, album_title from song_select where junk_reason is null and id in (select t.id from track t join file_tag f on f.file_id = t.file_id where f.name = 'genre' and trim(f.value, {_BLANK}) = '{g}') order by rel_path, id limit 200 offset 20")),
-        "random_songs": (lambda v: random_songs(v, 50, 1, None, (1992, 1998)), None),
+        "random_songs": (lambda v: random_songs(v, 50, 1, None, (1992, 1998)), _q("select * from song_select where junk_reason is null and year between 1992 and 1998 order by md5('1:' || id), id limit 50")),
         "artists_with_counts": (artists, _q("select a.id, a.name, count(*) as album_count, case when regexp_matches(upper(substr(a.name, 1, 1)), '^[\\p{L}\\p{N}]$') then upper(substr(a.name, 1, 1)) else '#' end as letter from artist a join album_select s on s.artist_id = a.id where s.junk_reason is null group by 1, 2, 4")),
         "artist_counts": (lambda v: artist_counts(v, [1, 5, 24, 99]), _q("select a.id, a.name, count(g.id) as album_count from artist a left join grp g on g.artist_id = a.id and g.rn = 1 and g.junk_reason is null where a.id in (1, 5, 24, 99) group by 1, 2")),
         "artist_roles": (artist_roles, _q("select artist_id, string_agg(role, ',' order by role) as roles from (select artist_id, 'albumartist' as role from album where artist_id is not null union select artist_id, 'albumartist' from release union select artist_id, 'artist' from song_select where artist_id is not null union select artist_id, 'boxartist' from album where artist_id is not null and disc_number is not null) group by 1")),

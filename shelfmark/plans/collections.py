@@ -67,9 +67,16 @@ def ranked(v: Views) -> DataFrame:
 
 
 def orphans(v: Views) -> DataFrame:
-    """Artists that none of some records and releases names."""
-    used = v.album.filter("artist_id IS NOT NULL AND id % 900 = 1").select("artist_id").union(v.release.filter("id % 300 = 0").select("artist_id")).distinct()
-    return v.artist.join(used, F.col("id") == F.col("artist_id"), "left_anti").select("id", "name")
+    """Artists that no record and no release names; and, to have some, countries' suppliers count as artists, too."""
+    every = v.artist.select("id", "name").union(v.read("supplier").select((F.col("s_suppkey") + 10).cast("int"), "s_name"))
+    return unused(every, v.album.select("artist_id"), v.release.select("artist_id"))
+
+
+def unused(artists: DataFrame, *references: DataFrame) -> DataFrame:
+    """``artists`` (id) that none of ``references`` (artist_id) names."""
+    for used in references:
+        artists = artists.join(used, F.col("id") == F.col("artist_id"), "left_anti")
+    return artists
 
 
 def unplayed(v: Views) -> DataFrame:
@@ -80,9 +87,12 @@ def unplayed(v: Views) -> DataFrame:
 def collisions(v: Views) -> DataFrame:
     """Albums of one artist, title and year, numbered by path where there are several."""
     same = ["artist_id", "title", "year"]
-    n = F.count("*").over(Window.partitionBy(*same))
-    place = F.row_number().over(Window.partitionBy(*same).orderBy("root_id", "rel_path"))
-    return v.album.filter("artist_id IS NOT NULL").select("id", n.alias("copies"), place.alias("place")).filter("copies >= 2")
+    named = v.album.filter("artist_id IS NOT NULL").select("id", "root_id", "rel_path", *same)
+    per_root = named.groupBy(*same, "root_id").agg(F.count("*").alias("n"))  # counted before rows meet; numbers go by root, then within it
+    roots = Window.partitionBy(*same).orderBy("root_id")
+    sizes = per_root.withColumn("before", F.sum("n").over(roots) - F.col("n")).withColumn("copies", F.sum("n").over(Window.partitionBy(*same))).filter("copies >= 2").drop("n")
+    place = F.row_number().over(Window.partitionBy(*same, "root_id").orderBy("rel_path"))
+    return named.join(sizes, [*same, "root_id"]).select("id", "copies", (F.col("before") + place).alias("place"))
 
 
 def segments(v: Views) -> DataFrame:
@@ -103,9 +113,9 @@ def event_fields(v: Views) -> DataFrame:
 
 
 def junk_ratio(v: Views) -> DataFrame:
-    """Nations' customers by segment, and whether strangers outweigh the rest by more than three to one."""
+    """Nations' customers by segment, and whether strangers outweigh the rest by more than ten to one."""
     strangers, songs = F.sum(F.when(F.col("c_mktsegment") != "BUILDING", 1).otherwise(0)), F.sum(F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0))
-    return v.read("customer").groupBy("c_nationkey").agg(strangers.alias("strangers"), songs.alias("songs"), F.when((strangers >= 5) & (strangers > 3 * songs), "rule").alias("reason"))
+    return v.read("customer").groupBy("c_nationkey").agg(strangers.alias("strangers"), songs.alias("songs"), F.when((strangers >= 5) & (strangers > 10 * songs), "rule").alias("reason"))
 
 
 def display_names(v: Views) -> DataFrame:
@@ -133,13 +143,13 @@ def queries() -> dict:
         "playlists": (playlists, "select conv_id, count(*) as n, min_by(role, turn) as first_role, string_agg(role, ',' order by turn) as roles, cast(sum(length(text)) as bigint) as chars from conversations group by 1"),
         "edited_playlists": (edited_playlists, "select conv_id, row_number() over (partition by conv_id order by part, turn) - 1 as position, role from (select conv_id, turn, role, 0 as part from conversations where turn not in (0, 2) union all select conv_id, turn, 'added', 1 from conversations where turn = 0)"),
         "search_documents": (found, r"select doc_id, lang from documents where regexp_matches(lower(text), '(^|[^\p{L}\p{N}])the($|[^\p{L}\p{N}])') and regexp_matches(lower(text), '(^|[^\p{L}\p{N}])st')"),
-        "search_ranked": (ranked, r"with w as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) as word from documents) select doc_id, count(*) as hits from w where word in ('the', 'and') group by 1 having count(distinct word) = 2"),
-        "orphan_artists": (orphans, _q("select id, name from artist where id not in (select artist_id from album where artist_id is not null and id % 900 = 1 union select artist_id from release where id % 300 = 0)")),
+        "search_ranked": (ranked, r"with w as (select doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+')) as word from documents) select doc_id, count(*) as hits from w where word = 'the' or starts_with(word, 'and') group by 1 having bool_or(word = 'the') and bool_or(starts_with(word, 'and'))"),
+        "orphan_artists": (orphans, _q("select id, name from (select id, name from artist union all select s_suppkey + 10, s_name from supplier) where id not in (select artist_id from album where artist_id is not null union select artist_id from release)")),
         "albums_without_songs": (unplayed, _q("select id, rel_path from album a where not exists (select 1 from track t where t.album_id = a.id) and not exists (select 1 from play p where p.album_id = a.id)")),
         "collisions": (collisions, _q("select * from (select id, count(*) over (partition by artist_id, title, year) as copies, row_number() over (partition by artist_id, title, year order by root_id, rel_path) as place from album where artist_id is not null) where copies >= 2")),
         "segments": (segments, _q("select id, start_ms, start_ms + duration_ms as end_ms, case when s // 3600 > 0 then (s // 3600) || ':' || lpad(cast(s // 60 % 60 as varchar), 2, '0') || ':' || lpad(cast(s % 60 as varchar), 2, '0') else (s // 60) || ':' || lpad(cast(s % 60 as varchar), 2, '0') end as shown from (select *, cast(floor(start_ms / 1000.0 + 0.5) as bigint) as s from (select id, duration_ms, cast(coalesce(sum(duration_ms) over (partition by album_id order by ordinal rows between unbounded preceding and 1 preceding), 0) as bigint) as start_ms from track))")),
         "path_fields": (path_fields, f"select page_id, {base} as base, case when contains(url, '/') then regexp_extract(url, '^(.*)/[^/]*$', 1) else '' end as folder, regexp_replace({base}, '^(.+)\\.[^.]*$', '\\1') as stem, {_FOLD.format('url')} as key from pages"),
         "event_fields": (event_fields, "select event_type, count(*) as n, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as sum_k, count(distinct user_id) as users, min(ts) as first, max(ts) as last from events group by 1"),
-        "junk_ratio": (junk_ratio, "select c_nationkey, strangers, songs, case when strangers >= 5 and strangers > 3 * songs then 'rule' end as reason from (select c_nationkey, count(*) filter (c_mktsegment <> 'BUILDING') as strangers, count(*) filter (c_mktsegment = 'BUILDING') as songs from customer group by 1)"),
+        "junk_ratio": (junk_ratio, "select c_nationkey, strangers, songs, case when strangers >= 5 and strangers > 10 * songs then 'rule' end as reason from (select c_nationkey, count(*) filter (c_mktsegment <> 'BUILDING') as strangers, count(*) filter (c_mktsegment = 'BUILDING') as songs from customer group by 1)"),
         "display_names": (display_names, "select c_nationkey, c_mktsegment as name from (select *, row_number() over (partition by c_nationkey order by n desc, length(c_mktsegment), c_mktsegment) as k from (select c_nationkey, c_mktsegment, count(*) as n from customer group by 1, 2)) where k = 1"),
     }

@@ -27,10 +27,10 @@ class Views(Tables):
         """Albums with their group alone, where no representative is asked for: no window, no sort."""
         return self.album.withColumn("group_id", group_id())
 
-    @cached_property
-    def totals(self) -> DataFrame:
-        per_album = self.track.groupBy("album_id").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms"))
-        return per_album.join(self.grouped.select("id", "group_id"), F.col("album_id") == F.col("id")).groupBy("group_id").agg(F.sum("n").alias("song_count"), F.sum("ms").alias("duration_ms"))
+    def totals(self, albums: DataFrame, tracks: DataFrame) -> DataFrame:
+        """Songs and length of the groups of ``albums`` (id, group_id)."""
+        per_album = tracks.groupBy("album_id").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms"))
+        return per_album.join(albums.select("id", "group_id"), F.col("album_id") == F.col("id")).groupBy("group_id").agg(F.sum("n").alias("song_count"), F.sum("ms").alias("duration_ms"))
 
     @cached_property
     def genre_values(self) -> DataFrame:
@@ -42,34 +42,50 @@ class Views(Tables):
         """The first genre of each file."""
         return self.genre_values.groupBy("file_id").agg(F.min_by("value", "position").alias("value"))
 
-    @cached_property
-    def genre1(self) -> DataFrame:
-        """The first genre of each group, in order of path and position; the smallest of each file is enough to know it."""
+    def genre1(self, albums: DataFrame, tracks: DataFrame) -> DataFrame:
+        """The first genre of each group of ``albums``, in order of path and position; the smallest of each file is enough to know it."""
         first = self.genre_values.groupBy("file_id").agg(F.min(F.struct("position", "value")).alias("first"))
         files = first.join(self.file.select("id", "rel_path"), F.col("file_id") == F.col("id")).select("file_id", "rel_path", "first")
-        groups = self.track.join(self.grouped.select(F.col("id").alias("album_id"), "group_id"), "album_id").select("group_id", "file_id")
+        groups = tracks.join(albums.select(F.col("id").alias("album_id"), "group_id"), "album_id").select("group_id", "file_id")
         by = F.struct("rel_path", F.col("first.position"), "file_id")
         return groups.join(files, "file_id").groupBy("group_id").agg(F.min_by("first.value", by).alias("value"))
 
     @cached_property
-    def album_select(self) -> DataFrame:
-        """One row a record: what a release says before what its representative says."""
-        g, r, a, t, x = self.grp.filter("rn = 1").alias("g"), self.release.alias("r"), self.artist.alias("a"), self.totals.alias("t"), self.genre1.alias("x")
+    def records(self) -> DataFrame:
+        """One row a record: what a release says before what its representative says. Nothing that needs its songs."""
+        g, r, a = self.grp.filter("rn = 1").alias("g"), self.release.alias("r"), self.artist.alias("a")
         artist_id = F.coalesce("r.artist_id", "g.artist_id")
         return (
             g.join(r, F.col("r.id") == F.col("g.release_id"), "left").join(a, F.col("a.id") == artist_id, "left")
-            .join(t, F.col("t.group_id") == F.col("g.group_id"), "left").join(x, F.col("x.group_id") == F.col("g.group_id"), "left")
             .select(
                 "g.id", "g.group_id", F.coalesce("r.root_id", "g.root_id").alias("root_id"), F.coalesce("r.rel_path", "g.rel_path").alias("rel_path"),
-                F.coalesce("r.title", "g.title").alias("title"), artist_id.alias("artist_id"), F.col("a.name").alias("artist_name"), F.coalesce("r.year", "g.year").alias("year"),
-                F.coalesce("t.song_count", F.lit(0)).alias("song_count"), F.coalesce("t.duration_ms", F.lit(0)).alias("duration_ms"), F.col("x.value").alias("genre"), "g.junk_reason",
+                F.coalesce("r.title", "g.title").alias("title"), artist_id.alias("artist_id"), F.col("a.name").alias("artist_name"), F.coalesce("r.year", "g.year").alias("year"), "g.junk_reason",
             )
         )
 
+    def told(self, records: DataFrame, albums: DataFrame, tracks: DataFrame) -> DataFrame:
+        """``records`` with songs, length and first genre, from the tracks of their albums."""
+        t, x = self.totals(albums, tracks), self.genre1(albums, tracks).withColumnRenamed("value", "genre")
+        return records.join(t, "group_id", "left").join(x, "group_id", "left").fillna(0, ["song_count", "duration_ms"])
+
+    @cached_property
+    def album_select(self) -> DataFrame:
+        return self.told(self.records, self.grouped, self.track)
+
+    def of_page(self, page: DataFrame) -> DataFrame:
+        """The records of a page, told: only their own albums' tracks are read further. A page is a few hundred rows at most and meets as literals."""
+        rows = page.collect()
+        shown = self.spark.createDataFrame(rows, page.schema)
+        albums = self.grouped.filter(F.col("group_id").isin([r["group_id"] for r in rows])).select("id", "group_id")
+        return self.told(shown, albums, self.tracks(albums))
+
     @cached_property
     def song_select(self) -> DataFrame:
-        """One row a song; its artist's name is the representative's before the release's, its artist_id the reverse."""
-        t, f, ro, g, r = self.track.alias("t"), self.file.alias("f"), self.root.alias("ro"), self.grp.alias("g"), self.release.alias("r")
+        return self.songs(self.track)
+
+    def songs(self, tracks: DataFrame) -> DataFrame:
+        """One row a song of ``tracks``; its artist's name is the representative's before the release's, its artist_id the reverse."""
+        t, f, ro, g, r = tracks.alias("t"), self.file.alias("f"), self.root.alias("ro"), self.grp.alias("g"), self.release.alias("r")
         a1, a2, x = self.artist.alias("a1"), self.artist.alias("a2"), self.file_genre.alias("x")
         on = lambda a, b: F.col(a) == F.col(b)
         return (

@@ -53,9 +53,14 @@ class Tables:
 
     @cached_property
     def track(self) -> DataFrame:
-        """One row for each (album, ordinal), which is what identifies a track."""
+        return self.tracks()
+
+    def tracks(self, albums: DataFrame | None = None) -> DataFrame:
+        """One row for each (album, ordinal), which is what identifies a track; of ``albums`` (id) alone, if given, before anything is grouped."""
+        rows = self.read("lineitem")
+        rows = rows if albums is None else rows.join(albums.select(F.col("id").alias("l_orderkey")), "l_orderkey", "left_semi")
         return (
-            self.read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("file_id"), (F.max("l_quantity").cast("bigint") * 1000).alias("duration_ms"))
+            rows.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("file_id"), (F.max("l_quantity").cast("bigint") * 1000).alias("duration_ms"))
             .select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("album_id"), F.col("l_linenumber").alias("ordinal"), "file_id", "duration_ms")
         )
 

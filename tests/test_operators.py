@@ -56,3 +56,27 @@ def test_stream(spark, tmp_path):
     stream.writeStream.format("memory").queryName("plays").outputMode("complete").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
     ours = {tuple(r) for r in spark.table("plays").collect()}
     assert ours == {tuple(r) for r in plays.rollup(events).collect()}
+
+
+def test_orphans(spark):
+    from shelfmark.plans.collections import unused
+
+    artists = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, name string")
+    names = lambda *x: spark.createDataFrame([(i,) for i in x], "artist_id int")
+    assert [r["id"] for r in unused(artists, names(1, None), names(1, 3)).collect()] == [2]
+
+
+def test_new_members_are_numbered_on(spark):
+    known = spark.createDataFrame([("a", 7)], "name string, id bigint")
+    new = spark.createDataFrame([(x,) for x in ["a", "b", "c", "b", None]], "name string")
+    out = dict(keyed.with_new_members(known, new, "name", "id").collect())
+    assert out["a"] == 7 and sorted(out.values()) == [7, 8, 9] and set(out) == {"a", "b", "c"}
+
+
+def test_odd_sheets(spark):
+    from shelfmark.sources import sheets
+
+    rows = spark.createDataFrame([(1, None, "f"), (2, "", "f"), (3, "TRACK x AUDIO\nINDEX 01 00:00:00", "f"), (4, 'FILE x.wav WAVE\nTRACK 01 AUDIO\nTITLE "A"\nTITLE "B"\nINDEX 01 99:99:99', "f")], "id int, text string, folder string")
+    assert [(r["id"], r["track"], r["title"], r["file"], r["start_ms"]) for r in sheets.cue_tracks(rows, "id").collect()] == [(4, 1, "A", "x.wav", None)]
+    lists = spark.createDataFrame([(1, "﻿#EXTM3U\r\n'a b.mp3'\r\n\r\n..\\c.mp3", "f/g"), (2, None, "f")], "id int, text string, folder string")
+    assert [(r["position"], r["path"]) for r in sheets.playlist_entries(lists, "id", "folder").orderBy("position").collect()] == [(0, "f/g/a b.mp3"), (1, "f/c.mp3")]
