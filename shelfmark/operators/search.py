@@ -63,8 +63,8 @@ def matching(rows: DataFrame, text: str, words: list[str]) -> DataFrame:
     return rows.filter(reduce(lambda a, b: a & b, tests)) if tests else rows.limit(0)
 
 
-def ask(index: DataFrame, key: str, words: list[str]) -> DataFrame:
-    """Keys that have all ``words`` in an index of ``postings``, the last one as a prefix, with the hits together."""
-    tests = [F.col("word").startswith(w) if i == len(words) - 1 else F.col("word") == w for i, w in enumerate(words)]
+def ask(index: DataFrame, key: str, words: list[str], prefix: bool = True) -> DataFrame:
+    """Keys that have all ``words`` in an index of ``postings``, the last one as a ``prefix``, with the hits together."""
+    tests = [F.col("word").startswith(w) if prefix and i == len(words) - 1 else F.col("word") == w for i, w in enumerate(words)]
     found = index.filter(reduce(lambda a, b: a | b, tests)).groupBy(key).agg(*(F.max(t).alias(f"t{i}") for i, t in enumerate(tests)), F.sum("hits").alias("hits"))
     return found.filter(reduce(lambda a, b: a & b, [F.col(f"t{i}") for i in range(len(tests))])).select(key, "hits")
