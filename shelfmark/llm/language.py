@@ -72,9 +72,10 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep[1:] = (c[1:] != 0) | (c[:-1] != 0) | (d[1:] != d[:-1])
     c, d = c[keep], d[keep]
     a, b = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
-    one = c * a
-    two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * b + c[1:]
-    three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * a + c[2:]
+    x = c + np.uint32(1)  # blanks count, too: with 0 for them " d" would hash as "d"
+    one = x * a
+    two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * b + x[1:]
+    three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * a + x[2:]
     is1 = c != 0
     is2 = (is1[:-1] | is1[1:]) & (d[:-1] == d[1:])
     is3 = is1[1:-1] & (d[:-2] == d[2:])
