@@ -41,7 +41,7 @@ SKETCH_BITS, SKETCH_ROW = 20, 1 << 12
 #: Postings that a task holds before it hands them on; most pivots tried in a list before the rest is left for later.
 HELD, PIVOTS = 1 << 19, 32
 #: Least members on either side of a tile of a list, and tiles along a side before tiles grow, to 16 times as much at most;
-#: longest list whose pairs are looked at without parities; pieces that a list is dealt into while lists are sized up.
+#: longest list that is looked at whole, among others; pieces that a list is dealt into while lists are sized up.
 TILE, TILES, SHORT, SALTS = 256, 64, 64, 16
 #: The bitmaps of documents to look at again have a fixed size (2 MB), sent in rows.
 BITMAP_BITS, BITMAP_ROW = 24, 1 << 15
@@ -187,6 +187,18 @@ class Parities:
                 out[of] -= np.bitwise_count(_folded(rows[self.place[at[of]]], least) ^ _folded(mine, least)).sum(axis=1, dtype=np.int64)
         return out
 
+    def rooms(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """The same as ``room`` for pairs of sets."""
+        k, m = self.n[i], self.n[j]
+        need = _needed(k, m, percent)
+        out = np.where(need <= np.minimum(k, m), k + m - 2 * need, -1)
+        for w, ours in self.of.items():
+            for x, theirs in self.of.items():
+                of = np.flatnonzero((self.width[i] == w) & (self.width[j] == x) & (out >= 0))
+                for at in np.split(of, range(1 << 14, len(of), 1 << 14)):
+                    out[at] -= np.bitwise_count(_folded(ours[self.place[i[at]]], min(w, x)) ^ _folded(theirs[self.place[j[at]]], min(w, x))).sum(axis=1, dtype=np.int64)
+        return out
+
 
 def ahead(tokens: np.ndarray, heat: np.ndarray, percent: int) -> bytes:
     """The set's prefixes under all orders but the first, 16 bits a token, each in order: enough to tell most apart."""
@@ -439,7 +451,8 @@ def _across(members: DataFrame, labels: DataFrame, run: _Run, nearest: bool) ->
     row = lambda i, j, asking: F.struct(i.alias("i"), j.alias("j"), F.lit(asking).alias("asking"))
     there = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("h") - 1), lambda i: row(i, place(1, "g"), False))
     asking = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1), lambda j: row(place(2, "h"), j, True))
-    dealt = mixed.filter(F.col("k") > SHORT).join(run.seen.select("sig", "bits"), "sig").withColumn("at", F.explode(F.when(F.col("outside"), F.concat(there, asking)).otherwise(there))).select("list", "at.*", "sig", "n", "pos", "label", "outside", "bits")
+    mixed = mixed.select("list", "k", "g", "h", "sig", "n", "pos", "label", "outside").join(run.seen.select("sig", "bits"), "sig")
+    dealt = mixed.filter(F.col("k") > SHORT).withColumn("at", F.explode(F.when(F.col("outside"), F.concat(there, asking)).otherwise(there))).select("list", "at.*", "sig", "n", "pos", "label", "outside", "bits")
 
     def judged(tile: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         asking = tile["asking"].to_numpy(dtype=bool)
@@ -468,13 +481,16 @@ def _across(members: DataFrame, labels: DataFrame, run: _Run, nearest: bool) ->
     def pairs_of(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Candidates of whole short lists, in order of list."""
         of, sig, m, p, label, outside = (frame[c].to_numpy() for c in ("list", "sig", "n", "pos", "label", "outside"))
+        held = Parities(m, list(frame["bits"]))
         asking = np.flatnonzero(outside.astype(bool))
         first, long = np.searchsorted(of, of[asking]), np.searchsorted(of, of[asking], side="right")
         long -= first
         a = np.repeat(asking, long)
         b = np.arange(len(a)) + np.repeat(first - np.cumsum(long) + long, long)
         ok = (label[a] != label[b]) & (~outside[b].astype(bool) | (sig[b] > sig[a])) & _allowed(m[a], p[a], m[b], p[b], percent)
-        return sig[a[ok]], sig[b[ok]]
+        a, b = a[ok], b[ok]
+        near = held.rooms(a, b, percent) >= 0
+        return sig[a[near]], sig[b[near]]
 
     def tiles(batches):
         kept, pairs, total = None, [], 0
@@ -502,7 +518,7 @@ def _across(members: DataFrame, labels: DataFrame, run: _Run, nearest: bool) ->
     out = dealt.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(tiles, schema)
     if nearest:
         return out
-    whole = mixed.filter(F.col("k") <= SHORT).select("list", "sig", "n", "pos", "label", "outside").repartition(n, "list").sortWithinPartitions("list")
+    whole = mixed.filter(F.col("k") <= SHORT).select("list", "sig", "n", "pos", "label", "outside", "bits").repartition(n, "list").sortWithinPartitions("list")
     return out.union(whole.mapInArrow(short, schema))
 
 
