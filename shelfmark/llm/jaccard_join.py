@@ -350,8 +350,11 @@ def _of_classes(wanted: DataFrame, documents: DataFrame, classes: DataFrame, shi
 
 
 def _dealt(candidates: DataFrame, rows: DataFrame, n_blocks: int):
-    """``candidates`` (a, at, ids) with the row of ``a``, and ``rows`` (sig, ...) by block, to be brought together by block."""
-    asked = candidates.join(rows.toDF("a", *rows.columns[1:]), "a")
+    """``candidates`` (a, at, ids) with the row of ``a``, and ``rows`` (sig, ...) by block, to be brought together by block.
+
+    Both sides join ``rows`` by its own ``sig`` and columns, so that one shuffle of them serves both.
+    """
+    asked = candidates.join(rows, F.col("a") == F.col("sig")).select(*candidates.columns, *(F.col(c).alias(c) for c in rows.columns[1:]))
     unsigned = F.pmod(F.col("sig"), F.lit(n_blocks)) + F.when(F.col("sig") < 0, F.lit((1 << 64) % n_blocks)).otherwise(F.lit(0))
     there = rows.join(candidates.select(F.explode("ids").alias("sig")).distinct(), "sig", "left_semi").withColumn("at", F.pmod(unsigned, F.lit(n_blocks)).cast("int"))
     return asked.groupBy("at").cogroup(there.groupBy("at"))
