@@ -81,3 +81,13 @@ def test_odd_sheets(spark):
     assert [(r["id"], r["track"], r["title"], r["file"], r["start_ms"]) for r in sheets.cue_tracks(rows, "id").collect()] == [(4, 1, "A", "x.wav", None)]
     lists = spark.createDataFrame([(1, "﻿#EXTM3U\r\n'a b.mp3'\r\n\r\n..\\c.mp3", "f/g"), (2, None, "f")], "id int, text string, folder string")
     assert [(r["position"], r["path"]) for r in sheets.playlist_entries(lists, "id", "folder").orderBy("position").collect()] == [(0, "f/g/a b.mp3"), (1, "f/c.mp3")]
+
+
+def test_odd_names(spark):
+    from shelfmark.functions import folders
+
+    names = [None, "", " - ", "(CD)", "1999 - ", "a - [b - (c - d)] - e", "_-_x", "x - 　- y"]
+    rows = folders.folder_names(spark.createDataFrame(list(enumerate(names)), "id int, name string"), "name").select("id", "name", "said.*").orderBy("id").collect()
+    assert [(r["credit"], r["title"], r["format"]) for r in rows] == [(None, None, None), (None, None, None), (None, "-", None), (None, None, "CD"), (None, "1999 -", None), (None, "a - [b - (c - d)] - e", None), (None, "_-_x", None), (None, "x - y", None)]
+    pairs = spark.createDataFrame([(None, None), ("", "a"), ("01 - .flac", None), ("a - b.mp3", "")], "name string, album string")
+    assert [r[0] for r in pairs.select(folders.file_title("name", "album")).collect()] == [None, "", "01 -", "a - b"]
