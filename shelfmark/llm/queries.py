@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, html_text, jaccard_join, language, mixing, pii, quality, secret_scan, warc
+from . import codebooks, decontamination, fingerprints, html_text, jaccard_join, language, mixing, pii, quality, secret_scan, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_fingerprints": op2_fingerprints,
@@ -65,10 +69,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
+    "op11_vector_codes": op11_vector_codes,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_jaccard_join": jaccard_join.JOIN_SQL,
     "op4_warc": warc.ROUND_TRIP_SQL,
     "op7_decontamination": decontamination.FIND_SQL,
     "op10_mixing": mixing.MIX_SQL,
+    "op11_vector_codes": codebooks.COMPRESS_SQL,
 }
