@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import codebooks, decontamination, fingerprints, html_text, jaccard_join, language, mixing, pii, quality, secret_scan, warc
+from . import codebooks, decontamination, fingerprints, hard_negatives, html_text, jaccard_join, language, license_scan, mixing, pii, quality, secret_scan, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +59,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.compress(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(_read(spark, sf_dir, "documents")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings").withColumn("label", shifted))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_fingerprints": op2_fingerprints,
@@ -70,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
     "op11_vector_codes": op11_vector_codes,
+    "op12_license_scan": op12_license_scan,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_jaccard_join": jaccard_join.JOIN_SQL,
@@ -77,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_decontamination": decontamination.FIND_SQL,
     "op10_mixing": mixing.MIX_SQL,
     "op11_vector_codes": codebooks.COMPRESS_SQL,
+    "op13_hard_negatives": hard_negatives.MINE_SQL,
 }

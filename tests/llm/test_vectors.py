@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from shelfmark.llm import codebooks
+from shelfmark.llm import codebooks, hard_negatives
 
 
 def plain_codes(rows, parts=4, entries=256, rounds=4):
@@ -79,3 +79,54 @@ def test_cold_labels_meet_by_key(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, [rng.random() for _ in range(4)], rng.choice([None, None, 1, 1, *range(20)])) for i in range(300)]
     assert told(codebooks.compress(spark.createDataFrame(rows, SCHEMA), entries=8)) == plain_codes(rows, entries=8)
+
+
+def plain_negatives(rows, every=50, positives=5, negatives=3):
+    """Told again with lists: rows of (vec_id, vector, label) -> sorted rows."""
+    kept = [(i, v, y) for i, v, y in rows if y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ints = [[math.floor(256 * x) for x in v] for _, v, _ in kept]
+    out = []
+    for a, (i, _, y) in enumerate(kept):
+        if i is None or i % every:
+            continue
+        met = [(-sum(p * q for p, q in zip(ints[a], ints[b], strict=False)), kept[b][0] is None, kept[b][0] or 0, kept[b][2] == y) for b in range(len(kept)) if b != a]
+        for ps, pnull, pid, _ in sorted(m for m in met if m[3])[:positives]:
+            fit = sorted(m for m in met if not m[3] and 50 * -ps <= 100 * -m[0] <= 95 * -ps)[:negatives]
+            out += [(i, None if pnull else pid, r, None if null else n, -ps, -s) for r, (s, null, n, _) in enumerate(fit, 1)]
+    return sorted(out, key=str)
+
+
+def found(df):
+    return sorted((tuple(r[c] for c in ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("block, gather", [(4096, 64), (3, 2)])
+def test_negatives_against_plain_python(spark, monkeypatch, block, gather):
+    monkeypatch.setattr(hard_negatives, "BLOCK", block)
+    monkeypatch.setattr(hard_negatives, "GATHER", gather)
+    rng = random.Random(3)
+    rows = [(i * 5 - 300, [rng.gauss(0.3, 0.5) for _ in range(6)], rng.choice([None, 1, 2, 3])) for i in range(500)]
+    rows += [(50, rows[5][1], 1)] * 3 + [(5000 + 3 * i, rows[7][1], 2) for i in range(200)] + [rows[9]] * 150
+    rows += [(100, None, 1), (150, [0.5] * 5 + [None], 1), (200, [float("nan")] * 6, 1), (None, rows[7][1], 2), (None, rows[3][1], 1), (250, [0.0] * 6, 1), (300, [0.1] * 4, 2), (350, [1e3, -1e3] * 3, 3)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    want = plain_negatives(rows)
+    assert len(want) > 100 and found(hard_negatives.mine(df.selectExpr("*", "1 as w", "2 as _id", "3 as score", "4 as _block"))) == want
+
+
+@pytest.mark.parametrize("rows", [
+    [],
+    [(1, [0.5], 1)],
+    [(50, [], 1), (51, [0.5], 1), (52, [0.25], 2)],
+    [(0, [0.5], 1), (0, [0.5], 1), (3, [0.25], 2), (3, [0.25], 2), (4, None, 2), (50, [0.5], None)],
+])
+def test_negatives_of_few_rows(spark, rows):
+    assert found(hard_negatives.mine(spark.createDataFrame(rows, SCHEMA))) == plain_negatives(rows)
+
+
+def test_negatives_with_labels_of_text_and_huge_components(spark):
+    rows = [(i, [3e38 * (i % 3 - 1), 1.0 + i], "ab"[i % 2]) for i in range(0, 300, 10)]
+    got = hard_negatives.mine(spark.createDataFrame(rows, "vec_id int, embedding array<double>, label string"))
+    assert {r["anchor_id"] for r in got.collect()} <= {0, 50, 100, 150, 200, 250}
+    rows = [(i, v[1:], y) for i, v, y in rows]
+    assert found(hard_negatives.mine(spark.createDataFrame(rows, "vec_id int, embedding array<double>, label string"))) == plain_negatives(rows)
