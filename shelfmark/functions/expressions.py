@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,19 @@ def col(c: Column | str) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
+def _base(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+
+
+#: Letters that are a base letter and marks, by rule, in Latin, Greek and Cyrillic, each with its base.
+_MARKED = {chr(i): b for a, e in ((0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x2000)) for i in range(a, e) if len(b := _base(chr(i))) == 1 and b != chr(i)}
+
+
+def without_marks(text) -> Column:
+    """Letters without their accents, composed or not."""
+    return F.regexp_replace(F.translate(col(text), "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}", "")
+
+
 def basename(path) -> Column:
     return F.substring_index(col(path), "/", -1)
 
@@ -107,9 +122,10 @@ def index_letter(name) -> Column:
 
 
 def natural_key(text) -> Column:
-    """Sorts as text in which runs of digits count by value (up to 20 digits)."""
-    pieces = F.regexp_extract_all(F.lower(col(text)), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p)), "")
+    """Sorts as text in which runs of digits count by value, of any length: each run follows the count of its digits."""
+    pieces = F.regexp_extract_all(F.lower(without_marks(text)), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    plain = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(plain(p)).cast("string"), 9, "0"), plain(p))).otherwise(p)), "")
 
 
 def sort_key(name) -> Column:
@@ -123,48 +139,49 @@ def ancestors(path) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
 
 
-#: Fixed value: a host name and nothing else, in lower case.
-SITE = r"^[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*\.[a-z]{2,6}$"
-
-
 def site_like(text) -> Column:
-    """Text that is a bare host name rather than a name."""
-    return F.btrim(col(text)).rlike(SITE)
+    """Text that is a bare host name rather than a name: lower-case labels with dots between, the last of two to six letters.
 
-
-def _runs(text) -> Column:
-    """Runs of letters, of digits and of anything else, in lower case."""
-    return F.regexp_extract_all(F.lower(F.btrim(col(text))), F.lit(r"([0-9]+|[a-z]+|[^a-z0-9]+)"), F.lit(1))
+    A label holds letters, digits and inner hyphens.
+    """
+    labels = F.split(F.btrim(col(text)), "[.]")
+    fit = F.forall(labels, lambda x: (x != "") & (F.translate(x, "abcdefghijklmnopqrstuvwxyz0123456789-", "") == "") & ~x.startswith("-") & ~x.endswith("-"))
+    top = F.element_at(labels, -1)
+    return (F.size(labels) > 1) & fit & F.length(top).between(2, 6) & (F.translate(top, "0123456789-", "") == top)
 
 
+#: Words for a disc.
 DISC_WORDS = ("cd", "disc", "disk")
-_GAP = r"^\s*[._-]?\s*$"
+#: A word for a disc, perhaps a separator, and one or two digits that stand alone and are not the first of several numbers.
+_DISC = rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(DISC_WORDS)})[ \t._-]*([0-9]{{1,2}})(?![\p{{L}}\p{{N}}_])(?! +[0-9])"
+
+
+def disc_marker(name) -> Column:
+    """The number that follows a word for a disc anywhere in a name: ``Name (Disk 3)``, ``CD04 extra``."""
+    return F.nullif(F.regexp_extract(col(name), _DISC, 1), F.lit("")).cast("int")
 
 
 def disc_number(name) -> Column:
-    """Disc number of a folder name: ``CD 2``, ``d2``, ``Disc.1``, ``Name (Disk 3)``: one or two digits next to a word for a disc.
+    """Disc number of a folder's name: a marker in it, or all of it a ``d`` and a number."""
+    short = F.regexp_extract(F.lower(F.btrim(col(name))), r"^d[ ._-]*([0-9]{1,2})$", 1)
+    return F.coalesce(disc_marker(name), F.nullif(short, F.lit("")).cast("int"))
 
-    The name is cut into runs; the first fitting word counts, and a number goes on where only blanks part it from more digits.
-    """
-    runs = _runs(name)
-    at = lambda i: F.try_element_at(runs, i + 1)
-    gap = lambda i: F.coalesce(at(i).rlike(_GAP), F.lit(False))
-    digits = lambda i: F.coalesce(at(i).rlike("^[0-9]{1,2}$"), F.lit(False))
-    ends = lambda i: ~F.coalesce(at(i + 1).rlike(r"^(?:[a-z_]|\s*$)|^[\p{L}]"), F.lit(False)) | (F.coalesce(at(i + 1).rlike(r"^\s+$"), F.lit(False)) & ~F.coalesce(at(i + 2).rlike("^[0-9]"), F.lit(False)))
-    begins = lambda i: (i == 0) | ~F.coalesce(at(i - 1).rlike(r"[\p{L}\p{N}_]$"), F.lit(False))
-    place = lambda i: F.when(digits(i + 1), i + 1).when(gap(i + 1) & digits(i + 2), i + 2)
-    found = F.filter(F.sequence(F.lit(0), F.size(runs)), lambda i: at(i).isin(*DISC_WORDS) & begins(i) & place(i).isNotNull() & ends(place(i)))
-    whole = F.when((at(F.lit(0)) == "d") & (F.size(runs) == place(F.lit(0)) + 1), place(F.lit(0)))
-    return at(F.coalesce(whole, place(F.try_element_at(found, F.lit(1))))).cast("int")
+
+def without_disc_marker(name) -> Column:
+    """What stands in front of a name's disc marker; the name itself where it has none."""
+    return F.regexp_extract(col(name), rf"^(.*?)(?:{_DISC}|$)", 1)
+
+
+def leading_number(name) -> Column:
+    """The number that a name begins with, up to nine digits."""
+    return F.nullif(F.regexp_extract(F.btrim(col(name)), "^([0-9]{1,9})(?![0-9])", 1), F.lit("")).cast("int")
 
 
 def stated_discs(name) -> Column:
-    """How many discs a name says it has: a number, perhaps blanks, then ``cd`` as a word's end."""
-    runs = _runs(name)
-    at = lambda i: F.coalesce(F.try_element_at(runs, i + 1), F.lit(""))
-    word = lambda i: F.when(at(i) == "cd", i).when(at(i).rlike(r"^\s+$") & (at(i + 1) == "cd"), i + 1)
-    found = F.filter(F.sequence(F.lit(0), F.size(runs)), lambda i: at(i).rlike("^[0-9]") & ((i == 0) | ~at(i - 1).rlike(r"[\p{L}\p{N}]$")) & word(i + 1).isNotNull() & ~at(word(i + 1) + 1).rlike(r"^[0-9_\p{L}]"))
-    return F.try_element_at(runs, F.try_element_at(found, F.lit(1)) + 1).cast("int")
+    """How many discs a name says it has: the first of its words that is a number and ``cd``, with or without blanks between."""
+    glued = F.regexp_replace(F.lower(col(name)), r"([0-9])\s+cd", "$1cd")
+    words = F.filter(F.split(glued, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("(^|_)[0-9]{1,9}cd$"))
+    return F.regexp_extract(F.get(words, F.lit(0)), "([0-9]+)cd$", 1).cast("int")
 
 
 def cue_time(text) -> Column:
