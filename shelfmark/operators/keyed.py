@@ -35,9 +35,10 @@ def upsert_where(old: DataFrame, new: DataFrame, key: list[str], when: F.Column)
 
 
 def counted_in(old: DataFrame, log: DataFrame, key: list[str], order: str, last: str, count: str) -> DataFrame:
-    """Counters after a log: ``count`` grows by the log's rows of the key, ``last`` becomes that of the last row in call order."""
-    more = log.groupBy(*key).agg(F.count("*").alias("_more"), F.max_by(last, order).alias("_last"))
-    return old.join(more, key, "full").select(*key, (F.coalesce(count, F.lit(0)) + F.coalesce("_more", F.lit(0))).alias(count), F.coalesce("_last", last).alias(last))
+    """Counters after a log: ``count`` grows by the log's rows of the key, ``last`` becomes that of the last row in call order; other columns stay."""
+    more = log.groupBy(*key).agg(F.count("*").alias("_more"), F.max_by(F.struct(F.col(last).alias("v")), order).alias("_last"))
+    new = {count: F.coalesce(count, F.lit(0)) + F.coalesce("_more", F.lit(0)), last: F.when(F.col("_last").isNull(), F.col(last)).otherwise(F.col("_last.v"))}
+    return old.join(more, key, "full").select(*(new[c].alias(c) if c in new else F.col(c) for c in old.columns))
 
 
 def with_new_members(dimension: DataFrame, names: DataFrame, name: str, number: str) -> DataFrame:
@@ -67,10 +68,14 @@ def replaced_lists(old: DataFrame, new: DataFrame, list_key: str) -> DataFrame:
     return old.join(new.select(list_key).distinct(), list_key, "left_anti").unionByName(new.select(*old.columns))
 
 
-def swept_trees(rows: DataFrame, seen: DataFrame, kept: DataFrame) -> DataFrame:
-    """``rows`` (rel_path) that were seen or lie in a subtree of ``kept`` (folder): ancestors meet by equality, once a row."""
-    held = rows.select("rel_path", F.explode(ancestors("rel_path")).alias("folder")).join(kept, "folder", "left_semi").select("rel_path")
-    return rows.join(seen.select("rel_path").union(held), "rel_path", "left_semi")
+def swept_trees(rows: DataFrame, seen: DataFrame, kept: DataFrame, on: list[str] = ()) -> DataFrame:
+    """``rows`` (``on``, rel_path) that were seen or lie in a subtree of ``kept`` (``on``, folder): ancestors meet by equality, once a row.
+
+    ``on`` holds what tells the trees apart, such as their roots.
+    """
+    key = [*on, "rel_path"]
+    held = rows.select(*key, F.explode(ancestors("rel_path")).alias("folder")).join(kept, [*on, "folder"], "left_semi").select(*key)
+    return rows.join(seen.select(*key).union(held), key, "left_semi")
 
 
 def cascaded(tables: dict[str, DataFrame], links: list[tuple[str, str, str]], gone: DataFrame) -> dict[str, DataFrame]:

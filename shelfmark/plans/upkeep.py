@@ -195,9 +195,9 @@ def exchanged_lists(v: Views) -> DataFrame:
 
 def swept(v: Views) -> DataFrame:
     """Albums after a scan that saw none with an even id, while some customers' folders were held."""
-    rows = v.album.select("rel_path", "id")
-    held = v.release.filter("year < 2000").select(F.col("rel_path").alias("folder"))
-    return keyed.swept_trees(rows, rows.filter("id % 2 = 1"), held)
+    rows = v.album.select("root_id", "rel_path", "id")
+    held = v.release.filter("year < 2000").select("root_id", F.col("rel_path").alias("folder"))
+    return keyed.swept_trees(rows, rows.filter("id % 2 = 1"), held, ["root_id"])
 
 
 def removed_roots(v: Views) -> DataFrame:
@@ -321,7 +321,7 @@ def queries() -> dict:
         "players": (players, "select count(*) as n, count(*) as ids, 0 as least, 24 + count(*) filter (k = 1) as most from (select n_name as name, 0 as k from nation union all select distinct s_name, 1 from supplier)"),
         "insert_new": (first_kept, "select user_id, case when user_id % 2 = 0 then max(event_id) else min(event_id) end as event_id, case when user_id % 2 = 0 then max_by(event_type, event_id) else min_by(event_type, event_id) end as event_type from events group by 1"),
         "replaced_lists": (exchanged_lists, "select conv_id, turn, case when conv_id in (select conv_id from conversations where turn = 0 and conv_id % 3 = 0) then 'only' else role end as role from conversations where turn = 0 or conv_id not in (select conv_id from conversations where turn = 0 and conv_id % 3 = 0)"),
-        "swept_trees": (swept, _q("select rel_path, id from album a where id % 2 = 1 or exists (select 1 from release r where r.year < 2000 and (a.rel_path = r.rel_path or starts_with(a.rel_path, r.rel_path || '/')))")),
+        "swept_trees": (swept, _q("select root_id, rel_path, id from album a where id % 2 = 1 or exists (select 1 from release r where r.year < 2000 and r.root_id = a.root_id and (a.rel_path = r.rel_path or starts_with(a.rel_path, r.rel_path || '/')))")),
         "removed_roots": (removed_roots, _q("select a.root_id, count(*) as songs from track t join album a on a.id = t.album_id where a.root_id <> 2 group by 1")),
         "export_restore": (exported, "select case when turn < 3 then 'placed' else 'skipped' end as state, role, count(*) as n from conversations group by 1, 2"),
         "stats": (stats, _q("select 'album' as name, count(*) as n from album union all select 'artist', count(*) from artist union all select 'file', count(*) from file union all select 'play', count(*) from play union all select 'release', count(*) from release union all select 'root', count(*) from root union all select 'track', count(*) from track")),
