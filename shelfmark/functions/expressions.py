@@ -29,6 +29,11 @@ def without_marks(text) -> Column:
     return F.regexp_replace(F.translate(col(text), "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}", "")
 
 
+def marks_in(text) -> Column:
+    """How many letters of a text carry a mark, composed or not."""
+    return F.length(col(text)) - F.length(F.regexp_replace(F.translate(col(text), "".join(_MARKED), ""), r"\p{M}", ""))
+
+
 def basename(path) -> Column:
     return F.substring_index(col(path), "/", -1)
 
