@@ -15,15 +15,20 @@ WORD = r"[\p{L}\p{N}]+"
 
 
 def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(word, key, hits) of every text of a unique ``key``: counted inside the row, so nothing is shuffled.
-
-    A row's words are sorted, and a run of equal ones ends where the next differs: its hits are the distance to the last end.
-    """
-    words = F.array_sort(words_of(F.col(text)))
-    ends = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == F.size("w")) | (F.get("w", i) != F.get("w", i - 1)))
-    pairs = F.transform("e", lambda x, i: F.struct(F.get("w", x - 1).alias("word"), (x - F.when(i == 0, F.lit(0)).otherwise(F.get("e", i - 1))).cast("bigint").alias("hits")))
-    sorted_ = rows.select(key, words.alias("w")).filter(F.size("w") > 0).withColumn("e", ends)
-    return sorted_.select(key, F.inline(pairs)).select("word", key, "hits")
+    """(word, key, hits) of every text. A row's words are counted in the task that reads it, before anything is shuffled."""
+    return rows.select(key, F.explode(words_of(F.col(text))).alias("word")).groupBy("word", key).agg(F.count("*").alias("hits"))
+
+
+def hits(rows: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
+    """Keys of the texts that hold all ``words``, the last as a prefix, with how often: only the asked words of a row are looked at."""
+    said = rows.select(key, words_of(F.col(text)).alias("_w"))
+    exact = lambda w: F.size(F.filter("_w", lambda x: x == w))
+    begun = lambda w: F.size(F.filter("_w", lambda x: x.startswith(w)))
+    n = [begun(w) if i == len(words) - 1 else exact(w) for i, w in enumerate(words)]
+    counted = said.select(key, *(x.alias(f"_{i}") for i, x in enumerate(n)))
+    twice = [F.lit(0), *(F.when(F.lit(w.startswith(words[-1])), F.col(f"_{i}")).otherwise(0) for i, w in enumerate(words[:-1]))]
+    once = reduce(lambda a, b: a + b, [F.col(f"_{i}") for i in range(len(words))])  # a word that the prefix covers as well counts once
+    return counted.filter(reduce(lambda a, b: a & b, [F.col(f"_{i}") > 0 for i in range(len(words))])).select(key, (once - reduce(lambda a, b: a + b, twice)).cast("bigint").alias("hits"))
 
 
 def words_of(text) -> F.Column:

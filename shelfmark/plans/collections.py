@@ -62,8 +62,7 @@ def found(v: Views) -> DataFrame:
 
 
 def ranked(v: Views) -> DataFrame:
-    docs = v.read("documents")
-    return search.ask(search.postings(docs, "doc_id", "text"), "doc_id", ["the", "and"])
+    return search.hits(v.read("documents"), "doc_id", "text", ["the", "and"])
 
 
 def orphans(v: Views) -> DataFrame:

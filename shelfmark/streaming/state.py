@@ -14,64 +14,31 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from shelfmark.operators.keyed import last_of_each
+from shelfmark.sources.buckets import Buckets
 
 #: Pieces of a table's keys. A batch rewrites at most so many files' worth of keys as it has changed.
 BUCKETS = 64
-#: Versions of a bucket that stay readable behind the newest.
-VERSIONS = 2
 
 
 class KeyedState:
     """A table of the last row of each ``key``, by ``order`` (both lists of columns of ``schema``)."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: StructType, key: list[str], order: list[str], buckets: int = BUCKETS):
-        self.spark, self.path, self.schema, self.key, self.order, self.buckets = spark, f"{folder.rstrip('/')}/table", schema, key, order, buckets
+        self.columns, self.key, self.order = schema.fieldNames(), key, order
+        self.table = Buckets(spark, f"{folder.rstrip('/')}/table", schema, F.pmod(F.xxhash64(*key), F.lit(buckets)), buckets)
 
-    def _bucket(self):
-        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+    def read(self) -> DataFrame:
+        return self.table.read()
 
-    def _versions(self) -> dict[int, list[int]]:
-        """Versions of each bucket, from the folders' names alone."""
-        jvm = self.spark._jvm.org.apache.hadoop.fs
-        base = jvm.Path(self.path)
-        fs = base.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        found: dict[int, list[int]] = {}
-        for version in fs.listStatus(base) if fs.exists(base) else []:
-            name = version.getPath().getName()
-            if name.startswith("version=") and fs.exists(jvm.Path(version.getPath(), "_SUCCESS")):
-                for bucket in fs.listStatus(version.getPath()):
-                    if (inner := bucket.getPath().getName()).startswith("bucket="):
-                        found.setdefault(int(inner[7:]), []).append(int(name[8:]))
-        return found
-
-    def read(self, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
-        """The table, or what it was before a version, or some buckets of it."""
-        paths = []
-        for bucket, versions in self._versions().items():
-            fit = [x for x in versions if before is None or x < before]
-            if fit and (buckets is None or bucket in buckets):
-                paths.append(f"{self.path}/version={max(fit)}/bucket={bucket}")
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+    def _last(self, rows: DataFrame) -> DataFrame:
+        return last_of_each(rows.select(*self.columns).withColumn("_order", F.struct(*self.order)), self.key, "_order").select(*self.columns)
 
     def merge(self, batch: DataFrame, version: int) -> None:
         """Fold ``batch`` into the table as ``version``."""
-        columns = self.schema.fieldNames()
-        new = last_of_each(batch.select(*columns).withColumn("_order", F.struct(*self.order)), self.key, "_order").select(*columns).persist()
-        touched = {r[0] for r in new.select(self._bucket()).distinct().collect()}  # BUCKETS at most
-        both = self.read(version, touched).unionByName(new).withColumn("_order", F.struct(*self.order))
-        table = last_of_each(both, self.key, "_order").select(*columns).withColumn("bucket", self._bucket())
-        if touched:
-            table.repartition(min(len(touched), self.buckets), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={version}")
+        new = self._last(batch).persist()
+        touched = self.table.touched(new)
+        self.table.write(self._last(self.table.read(version, touched).unionByName(new)), version, touched)
         new.unpersist()
-        self._forget(touched)
-
-    def _forget(self, buckets: set[int]) -> None:
-        jvm = self.spark._jvm.org.apache.hadoop.fs
-        fs = jvm.Path(self.path).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        for bucket, versions in self._versions().items():
-            if bucket in buckets:
-                for version in sorted(versions)[: -1 - VERSIONS]:
-                    fs.delete(jvm.Path(f"{self.path}/version={version}/bucket={bucket}"), True)
 
 
 def latest(stream: DataFrame, checkpoint: str, key: list[str], order: list[str], buckets: int = BUCKETS, **trigger) -> tuple[StreamingQuery, KeyedState]:

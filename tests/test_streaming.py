@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import changes, keyed
+from shelfmark.sources import buckets
 from shelfmark.streaming import plays, requests, state
 from tests.conftest import SF
 
@@ -39,12 +40,12 @@ def test_latest_state_of_shuffled_events_and_a_restart(spark, tmp_path):
         arrive()
     query, kept = go()  # a new query goes on from the checkpoint
     assert {tuple(r) for r in kept.read().collect()} == want and query.lastProgress["batchId"] >= 4
-    last = max(x for versions in kept._versions().values() for x in versions)
+    last = max(x for versions in kept.table.versions().values() for x in versions)
     kept.merge(rows.filter("event_id % 3 = 0"), last)  # a batch that is run again
     kept.merge(rows.filter("event_id % 3 = 0"), last)
     kept.merge(rows, last + 1)
     assert {tuple(r) for r in kept.read().collect()} == want
-    assert all(len(x) <= state.VERSIONS + 1 for x in kept._versions().values())
+    assert all(len(x) <= buckets.VERSIONS + 1 for x in kept.table.versions().values())
 
 
 def test_state_of_nothing(spark, tmp_path):
