@@ -189,6 +189,16 @@ def stated_discs(name) -> Column:
     return F.regexp_extract(F.get(words, F.lit(0)), "([0-9]+)cd$", 1).cast("int")
 
 
+def unique_ordinals(stated: Column) -> Column:
+    """Ordinals of one list made unique: the first claim stands, a later or null one takes the next free slot from its own place on."""
+
+    def step(taken, x):
+        free = F.filter(F.sequence(F.size(taken) + 1, F.size(taken) * 2 + 1), lambda k: ~F.array_contains(taken, k))
+        return F.concat(taken, F.array(F.when(x.isNull() | F.array_contains(taken, x), F.element_at(free, 1)).otherwise(x)))
+
+    return F.aggregate(stated, F.array().cast("array<int>"), step)
+
+
 def cue_time(text) -> Column:
     """Milliseconds of mm:ss or mm:ss:ff, 75 frames a second; null if out of range."""
     parts = F.split(F.btrim(col(text)), ":")
@@ -239,3 +249,44 @@ def file_kind(name) -> Column:
     for kind, extensions in KINDS.items():
         out = F.when(e.isin(extensions), kind) if out is None else out.when(e.isin(extensions), kind)
     return out.otherwise(F.lit("other"))
+
+
+def replay_gain(track_gain, album_gain, track_peak, album_peak) -> Column:
+    """The readable ones of four values as a map; null where none is."""
+    said = {"trackGain": decibels(track_gain), "albumGain": decibels(album_gain), "trackPeak": peak(track_peak), "albumPeak": peak(album_peak)}
+    every = F.create_map(*(x for name, value in said.items() for x in (F.lit(name), value)))
+    some = F.map_filter(every, lambda _, v: v.isNotNull())
+    return F.when(F.size(some) > 0, some)
+
+
+def play_time(text, now) -> Column:
+    """When something was played, of milliseconds as text; ``now`` for anything else."""
+    ms = F.when(F.btrim(col(text)).rlike("^-?[0-9]+$"), F.btrim(col(text)).try_cast("bigint"))
+    return F.coalesce(F.when(F.abs(ms) <= 8_640_000_000_000_000, F.timestamp_millis(ms)), col(now))
+
+
+def listed_texts(json) -> Column:
+    """The texts of a JSON list; other items are dropped, what is no list is empty."""
+    items = F.from_json(col(json), "array<variant>")
+    texts = F.transform(items, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.variant_get(x, "$", "string")))
+    return F.coalesce(F.array_compact(texts), F.array().cast("array<string>"))
+
+
+def quiet(now, begins: int, ends: int) -> Column:
+    """Whether an hour of the day lies in quiet hours, which may span midnight; equal bounds mean none."""
+    h = F.hour(col(now))
+    if begins == ends:
+        return F.lit(False)
+    return (h >= begins) & (h < ends) if begins < ends else (h >= begins) | (h < ends)
+
+
+def cut_path(path, ordinal) -> Column:
+    """The path of a song cut from a longer file: `` (track N)`` before the extension."""
+    p, n = col(path), col(ordinal).cast("string")
+    end = F.when(extension(p) != "", F.concat(F.lit("."), F.substring_index(p, ".", -1))).otherwise(F.lit(""))
+    return F.when(col(ordinal).isNull(), p).otherwise(F.concat(F.left(p, F.length(p) - F.length(end)), F.lit(" (track "), n, F.lit(")"), end))
+
+
+def first_word(name) -> Column:
+    """The first word of a file's stem, in lower case."""
+    return F.lower(F.regexp_extract(stem(name), r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1))

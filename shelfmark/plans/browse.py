@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.sources.tables import TABLES_SQL
+from shelfmark.functions.expressions import unique_ordinals
 from shelfmark.plans.views import Views
 
 
@@ -25,16 +26,6 @@ def seats(entries: DataFrame, seat: Column, keys: list[str], position: str) -> D
     return entries.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col(position) >= seat, F.col(position))), F.max(position)).alias("current"))
 
 
-def unique_ordinals(stated: Column) -> Column:
-    """Ordinals of one list made unique: the first claim stands, a later or null one takes the next free slot from its own place on."""
-
-    def step(taken, x):
-        free = F.filter(F.sequence(F.size(taken) + 1, F.size(taken) * 2 + 1), lambda k: ~F.array_contains(taken, k))
-        return F.concat(taken, F.array(F.when(x.isNull() | F.array_contains(taken, x), F.element_at(free, 1)).otherwise(x)))
-
-    return F.aggregate(stated, F.array().cast("array<int>"), step)
-
-
 def issues(found: DataFrame, roots: DataFrame, limit: int, severity: str | None = None) -> DataFrame:
     """The newest issues (id, kind, severity, root_id) with their root's path, null where the root is unknown."""
     rows = found if severity is None else found.filter(F.col("severity") == severity)

@@ -1,59 +1,69 @@
-"""What names of folders, shelves and files say, over cases with what must come of each."""
+"""What names of folders, shelves, files, discs and fields say, over names made of the columns of parts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions import expressions as X
 from shelfmark.functions import folders
-from shelfmark.plans.upkeep import _chosen, _told
 from shelfmark.plans.views import Views
 
-#: Each folder's name with its year, credit, title, format, and what its record is called.
-FOLDERS = {
-    "1994 - Ann & Bob + Carl - Split (Cass, C60)": (1994, "Ann & Bob + Carl", "Split", "Cass, C60", "Split (Cass, C60)"),
-    "The Band - Songs - 1991 (12CD FLAC)": (1991, "The Band", "Songs", "12CD FLAC", "Songs (12CD FLAC)"),
-    "1992 - Opiate (61422-31027-2)": (1992, None, "Opiate (61422-31027-2)", None, "Opiate (61422-31027-2)"),
-    "2009 - This Must Be It - EP": (2009, None, "This Must Be It", None, "This Must Be It"),
-    "2014 - Grey - CD 1 [JP - WPCR-1]": (2014, None, "Grey", "JP - WPCR-1", "Grey (JP - WPCR-1)"),
-    "Band - 2016 - Title - More (Moenai Hai)": (2016, None, "Title - More (Moenai Hai)", None, "Title - More (Moenai Hai)"),
-    "xxxx - Public Apology (Cass)": (None, None, "Public Apology", "Cass", "Public Apology (Cass)"),
-    "This Is a Title - With a Dash": (None, None, "This Is a Title - With a Dash", None, "This Is a Title - With a Dash"),
-    "Artist_-_A-Title-2011-Group": (2011, "Artist", "A-Title", None, "A-Title"),
-    "Artist_-_Title": (None, "Artist", "Title", None, "Title"),
-    "2001 - Inni (Live - Bootleg)": (2001, None, "Inni (Live - Bootleg)", None, "Inni (Live - Bootleg)"),
-    "1994. Dotted": (1994, None, "Dotted", None, "Dotted"),
-    "Ann feat. Bob": (None, "Ann feat. Bob", None, None, "Ann feat. Bob"),
-    "Chronicle 2021/1982": (None, None, "Chronicle 2021/1982", None, "Chronicle 2021/1982"),
-    "2001 - Hits (2019, Label, 2CD)": (2001, None, "Hits", "2019, Label, 2CD", "Hits (Label, 2CD)"),
-    "1999": (None, None, "1999", None, "1999"), " ": (None, None, None, None, " "), "a -b- c": (None, None, "a -b- c", None, "a -b- c"),
-}
-#: Shelf, its artist: the words beyond, and a title with them.
-SHELVES = {("Band AAC 320", "Band"): ("AAC 320", "Song (AAC 320)"), ("Band", "Band"): (None, "Song"), ("Bandit", "Band"): (None, "Song"), ("Band_-_ALAC", "Band "): ("ALAC", "Song (ALAC)"), ("x", None): (None, "Song")}
-#: File, its album: the song's title, and the key a sheet shares.
-FILES = {
-    ("01 - Artist - Song.flac", "Artist - Album"): ("Song", "01 - artist - song"), ("07.Name.mp3", None): ("Name", "07.name"), ("05-artist_-_the_song-kroogi.com.ogg", "Artist Kroogi.com"): ("the song", "05-artist_-_the_song-kroogi.com"),
-    ("12.wav", "x"): ("12", "12"), ("A - B.ape", "a b"): ("B", "a - b"), ("Disc.flac.cue", None): ("Disc.flac", "disc"),
-}
-
-
-def _pairs(v: Views, names: tuple[str, str], cases: dict) -> DataFrame:
-    told = F.array(*(F.struct(F.lit(a).cast("string").alias(names[0]), F.lit(b).cast("string").alias(names[1])) for a, b in cases))
-    return v.read("part").select(F.col("p_partkey").alias("id"), F.get(told, (F.col("p_partkey") % len(cases)).cast("int")).alias("c")).select("id", "c.*")
+_YEAR, _SIZE = "(1960 + p_size)", "p_size"
+
+
+def _by(n: int, *texts: str) -> Column:
+    """One of SQL's ``texts`` for each part, by its number."""
+    return F.expr(f"case p_partkey % {n} " + " ".join(f"when {i} then {x}" for i, x in enumerate(texts)) + " end")
+
+
+def _told(n: int, *texts: str) -> str:
+    return f"case p_partkey % {n} " + " ".join(f"when {i} then {x}" for i, x in enumerate(texts)) + " end"
+
+
+_FOLDER = (
+    f"{_YEAR} || ' - ' || p_name || ' & ' || p_brand || ' - ' || p_name || ' (Cass, C60)'", f"p_name || ' - ' || p_brand || ' - ' || {_YEAR} || ' (' || p_size || 'CD FLAC)'", f"{_YEAR} || ' - ' || p_name || ' (' || p_partkey || '-' || p_size || ')'",
+    f"{_YEAR} || ' - ' || p_name || ' - EP'", f"p_name || '_-_' || p_type || '-' || {_YEAR} || '-GRP'", f"{_YEAR} || '. ' || p_name", "p_name || ' feat. ' || p_type", f"{_YEAR} || ' - ' || p_name || ' (2019, ' || p_brand || ', 2CD)'",
+    f"p_brand || ' - ' || {_YEAR} || ' - ' || p_name || ' - more'",
+)
+_N = "cast(null as string)"
 
 
 def folder_names(v: Views) -> DataFrame:
-    rows = folders.folder_names(_chosen(v, "name", list(FOLDERS)), "name")
-    return rows.select("id", "said.*", folders.record_title("name", F.col("said")).alias("record"))
+    named = v.read("part").select(F.col("p_partkey").alias("id"), _by(9, *_FOLDER).alias("name"))
+    return folders.folder_names(named, "name").select("id", "said.*", folders.record_title("name", F.col("said")).alias("record"))
 
 
 def shelf_names(v: Views) -> DataFrame:
-    q = _pairs(v, ("shelf", "artist"), SHELVES).withColumn("words", folders.qualifier("shelf", "artist"))
-    return q.select("id", "words", folders.qualified(folders.qualified(F.lit("Song"), "words"), "words").alias("title"))
+    q = v.read("part").select(F.col("p_partkey").alias("id"), _by(4, "p_name || ' ' || p_brand", "p_name", "p_name || 'it'", "p_name || '_-_' || p_brand").alias("shelf"), F.col("p_name").alias("artist"))
+    words = q.withColumn("words", folders.qualifier("shelf", "artist"))
+    return words.select("id", "words", folders.qualified(folders.qualified(F.lit("Song"), "words"), "words").alias("title"))
+
+
+_FILE = ("'0' || (p_size % 9 + 1) || ' - ' || p_name || ' - ' || p_type || '.flac'", "p_size || '.' || p_name || '.mp3'", "'05-' || replace(p_name, ' ', '_') || '_-_the_' || lower(p_type) || '-site' || p_partkey || '.ogg'", "p_size || '.wav'", "p_name || ' - ' || p_type || '.ape'")
 
 
 def file_titles(v: Views) -> DataFrame:
-    return _pairs(v, ("name", "album"), FILES).select("id", folders.file_title("name", "album").alias("title"), folders.pair_key("name").alias("key"))
+    album = _by(5, "p_name || ' ' || p_brand", _N, "p_name || ' site' || p_partkey", "p_brand", "p_type || ' ' || p_name")
+    named = v.read("part").select(F.col("p_partkey").alias("id"), _by(5, *_FILE).alias("name"), album.alias("album"))
+    return named.select("id", folders.file_title("name", "album").alias("title"), folders.pair_key("name").alias("key"))
+
+
+def disc_names(v: Views) -> DataFrame:
+    name = _by(6, "'CD ' || p_size", "p_name || ' (Disk ' || p_size || ')'", "p_name || ' ' || p_size || 'CD'", "'Vol ' || p_size", "'CD' || (100 + p_size)", "'d' || p_size")
+    return v.read("part").select(F.col("p_partkey").alias("id"), name.alias("name")).select("id", X.disc_number("name").alias("disc"), X.stated_discs("name").alias("discs"))
+
+
+def text_fields(v: Views) -> DataFrame:
+    """Gains, peaks, times, hosts, references, kinds and markers as tags and sheets write them."""
+    said = v.read("part").select(
+        F.col("p_partkey").alias("id"), _by(4, "p_size || ' dB'", "'-' || p_size || '.5 dB'", "p_name", "'+' || p_size || 'e1'").alias("level"), _by(4, "lpad(p_size, 2, '0') || ':05:37'", "p_size || ':61'", "p_size || ':07'", "p_name").alias("time"),
+        _by(2, "replace(p_name, ' ', '-') || '.org'", "p_name").alias("host"), _by(3, "'../' || p_type || '/./x.flac'", "'..\\\\..\\\\..\\\\' || p_size || '.wav'", "'CD1\\\\' || p_size || '.ape'").alias("reference"),
+        _by(5, "p_name || '.FLAC'", "p_name || '.jpeg'", "p_name || '.m3u8'", "p_name || '.xyz'", "p_name || '.NFO'").alias("file"), _by(2, "' (Silence)'", "p_name").alias("song"),
+    )
+    return said.select(
+        "id", X.decibels("level").alias("gain"), X.peak("level").alias("peak"), X.cue_time("time").alias("ms"), X.site_like("host").alias("site"), X.resolved(F.lit("a/b"), "reference").alias("path"), X.file_kind("file").alias("kind"), X.without_marker("song").alias("title"),
+    )
 
 
 def disc_pairs(v: Views) -> DataFrame:
@@ -64,10 +74,19 @@ def disc_pairs(v: Views) -> DataFrame:
 
 
 def queries() -> dict:
-    told = lambda cases, *names: _told({c: [x[i] for x in cases.values()] for i, c in enumerate(names)})
+    t = _told
+    y = f"cast({_YEAR} as int)"
+    title = t(9, "p_name", "p_brand", "p_name || ' (' || p_partkey || '-' || p_size || ')'", "p_name", "p_type", "p_name", "null", "p_name", "p_name || ' - more'")
+    note = t(9, "'Cass, C60'", "p_size || 'CD FLAC'", "null", "null", "null", "null", "null", "'2019, ' || p_brand || ', 2CD'", "null")
+    record = t(9, "p_name || ' (Cass, C60)'", "p_brand || ' (' || p_size || 'CD FLAC)'", "p_name || ' (' || p_partkey || '-' || p_size || ')'", "p_name", "p_type", "p_name", "p_name || ' feat. ' || p_type", "p_name || ' (' || p_brand || ', 2CD)'", "p_name || ' - more'")
+    credit = t(9, "p_name || ' & ' || p_brand", "p_name", "null", "null", "p_name", "null", "p_name || ' feat. ' || p_type", "null", "null")
+    level = "cast(p_size as double)"
     return {
-        "folder_names": (folder_names, told(FOLDERS, "year", "credit", "title", "format", "record")),
-        "shelf_names": (shelf_names, told(SHELVES, "words", "title")),
-        "file_titles": (file_titles, told(FILES, "title", "key")),
+        "folder_names": (folder_names, f"select p_partkey as id, {t(9, y, y, y, y, y, y, 'null', y, y)} as year, {credit} as credit, {title} as title, {note} as format, {record} as record from part"),
+        "shelf_names": (shelf_names, f"select p_partkey as id, {t(4, 'p_brand', 'null', 'null', 'p_brand')} as words, case when p_partkey % 4 in (0, 3) then 'Song (' || p_brand || ')' else 'Song' end as title from part"),
+        "file_titles": (file_titles, f"select p_partkey as id, {t(5, 'p_type', 'p_name', chr(39) + 'the ' + chr(39) + ' || lower(p_type)', 'cast(p_size as varchar)', 'p_type')} as title, lower(regexp_replace({t(5, *_FILE)}, '\\.[a-z0-9]+$', '')) as key from part"),
+        "disc_names": (disc_names, f"select p_partkey as id, cast({t(6, _SIZE, _SIZE, 'null', 'null', 'null', _SIZE)} as int) as disc, cast({t(6, 'null', 'null', _SIZE, 'null', 'null', 'null')} as int) as discs from part"),
+        "text_fields": (text_fields, f"""select p_partkey as id, {t(4, level, f'-{level} - 0.5', 'null', f'{level} * 10')} as gain, {t(4, 'null', 'null', 'null', f'{level} * 10')} as peak, cast({t(4, 'p_size * 60000 + 5493', 'null', 'p_size * 60000 + 7000', 'null')} as bigint) as ms,
+          p_partkey % 2 = 0 as site, {t(3, "'a/' || p_type || '/x.flac'", "p_size || '.wav'", "'a/b/CD1/' || p_size || '.ape'")} as path, {t(5, "'audio'", "'image'", "'playlist'", "'other'", "'nfo'")} as kind, case when p_partkey % 2 = 1 then p_name end as title from part"""),
         "disc_pairs": (disc_pairs, "select p_size as folder, p_partkey || '.flac.cue' as cue, p_partkey || '.FLAC' as audio from part where p_partkey % 5 > 0 and p_partkey % 3 > 0"),
     }

@@ -21,56 +21,6 @@ def _q(text: str) -> str:
     return TABLES_SQL + text
 
 
-def _chosen(v: Views, column: str, cases: list) -> DataFrame:
-    """Parts with one of ``cases`` each, in turn."""
-    return v.read("part").select(F.col("p_partkey").alias("id"), F.get(F.array(*map(F.lit, cases)), (F.col("p_partkey") % len(cases)).cast("int")).alias(column))
-
-
-def _sql_list(values) -> str:
-    return "[" + ", ".join("null" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x!r}::double" if isinstance(x, float) else repr(x) for x in values) + "]"
-
-
-def _told(columns: dict[str, list]) -> str:
-    """SQL that says what comes of each case, in turn."""
-    n = len(next(iter(columns.values())))
-    return "select p_partkey as id, " + ", ".join(f"({_sql_list(x)})[cast(p_partkey % {n} as int) + 1] as {c}" for c, x in columns.items()) + " from part"
-
-
-#: Each case with what must come of it.
-DISCS = {
-    "CD 2": (2, None), "d2": (2, None), "Disc.1": (1, None), "Name (Disk 3)": (3, None), "disc-12": (12, None), "CD123": (None, None), "CDs 2": (None, None), "Live cd 1 2": (None, None), "The Box 3CD": (None, 3),
-    "Songs [2 cd] 1999": (None, 2), "Name CD04 extra": (4, None), "acd 2": (None, None), "d 2 x": (None, None), "Anthology": (None, None), "Best 10CDs": (None, None), "disk_7": (7, None), "": (None, None), "2cd CD 1": (1, 2),
-}
-GAINS = {"-6.5 dB": (-6.5, None), "+3 db": (3.0, None), "1e2": (100.0, 100.0), "nan": (None, None), "0.988": (0.988, 0.988), "-.5": (-0.5, None), "1e999": (None, None), "dB": (None, None), "": (None, None), " 7. ": (7.0, 7.0)}
-TIMES = {"00:00:00": 0, "01:02:37": 62493, "99:59:74": 5999987, "1:05": 65000, "1:60:00": None, "0:00:75": None, "1:2:3": None, "1:02:03:04": None, "abc": None, " 120:00 ": 7200000}
-SITES = {"lossless-galaxy.ru": True, "kroogi.com": True, "www.site.co.uk": True, "Lost.And.Found": False, "Vol. 2": False, "http://site.com": False, "a.b": False, "name": False, "x-.com": False, " site.travel ": True, "site.toolongs": False}
-REFERENCES = {"01.flac": "a/b/01.flac", "../c/./02.flac": "a/c/02.flac", "..\\..\\..\\x.wav": "x.wav", "CD1\\03.ape": "a/b/CD1/03.ape", "": "a/b", "./": "a/b"}
-KINDS = {"a.FLAC": "audio", "b.mp4": "other", "c.jpeg": "image", "d.m3u8": "playlist", "e.cue": "cue", ".flac": "other", "f": "other", "g.tak": "audio", "h.aac": "other", "i.NFO": "nfo", "j.log": "log", "k.": "other"}
-MARKS = {"(silence)": None, " (Data Track) ": None, "Silence": "Silence", "(untitled) song": "(untitled) song"}
-
-
-def disc_names(v: Views) -> DataFrame:
-    return _chosen(v, "name", list(DISCS)).select("id", X.disc_number("name").alias("disc"), X.stated_discs("name").alias("discs"))
-
-
-def text_fields(v: Views) -> DataFrame:
-    """Gains, peaks, times, hosts, references, kinds and markers as tags and sheets write them."""
-    parts = [
-        _chosen(v, "x", list(GAINS)).select("id", X.decibels("x").alias("gain"), X.peak("x").alias("peak")), _chosen(v, "x", list(TIMES)).select("id", X.cue_time("x").alias("ms")),
-        _chosen(v, "x", list(SITES)).select("id", X.site_like("x").alias("site")), _chosen(v, "x", list(REFERENCES)).select("id", X.resolved(F.lit("a/b"), "x").alias("path")),
-        _chosen(v, "x", list(KINDS)).select("id", X.file_kind("x").alias("kind")), _chosen(v, "x", list(MARKS)).select("id", X.without_marker("x").alias("title")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "id")
-    return out
-
-
-_TEXT_SQL = _told({"gain": [x for x, _ in GAINS.values()], "peak": [x for _, x in GAINS.values()]})
-for _c, _cases in (("ms", TIMES), ("site", SITES), ("path", REFERENCES), ("kind", KINDS), ("title", MARKS)):
-    _TEXT_SQL = f"select * from ({_TEXT_SQL}) join ({_told({_c: list(_cases.values())})}) using (id)"
-
-
 def numbers(v: Views) -> DataFrame:
     """Sizes and rates of songs whose price stands for a bitrate."""
     rate, ms = F.round(F.col("l_extendedprice")).cast("bigint"), F.col("l_quantity").cast("bigint") * 1000
@@ -113,16 +63,16 @@ CREDIT_SQL = _CREDITED + r"""select id,
 
 
 def _sheet(v: Views) -> DataFrame:
-    """A cue sheet for each album with songs, each song a minute and some frames after the one before."""
+    """A cue sheet for each album with songs, each song a minute and some frames after the one before; from the fourth on in a second file, numbered anew."""
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     n = F.col("ordinal")
-    song = F.concat(F.lit("  TRACK "), two(n), F.lit(' AUDIO\r\n    TITLE "Song '), n.cast("string"), F.lit('"\r\n'), F.when(n % 2 == 0, F.lit("    PERFORMER Guest\r\n")).otherwise(""), F.lit("    INDEX 00 "), two(n), F.lit(":00:00\r\n    INDEX 01 "), two(n), F.lit(":01:"), two(n * 5), F.lit("\r\n"))
+    song = F.concat(F.when(n == 4, F.lit('FILE "b.wav" WAVE\r\n')).otherwise(""), F.lit("  TRACK "), two((n - 1) % 3 + 1), F.lit(' AUDIO\r\n    TITLE "Song '), n.cast("string"), F.lit('"\r\n'), F.when(n % 2 == 0, F.lit("    PERFORMER Guest\r\n")).otherwise(""), F.lit("    INDEX 00 "), two(n), F.lit(":00:00\r\n    INDEX 01 "), two(n), F.lit(":01:"), two(n * 5), F.lit("\r\n"))
     songs = v.track.groupBy("album_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", song.alias("x")))), lambda s: s["x"]), "").alias("songs"))
     return songs.select("album_id", F.concat(F.lit('﻿PERFORMER "Band"\r\nTITLE "Album"\r\nREM GENRE Rock\r\nFILE "a b.wav" WAVE\r\n'), "songs").alias("text"))
 
 
 def cue_sheets(v: Views) -> DataFrame:
-    return sheets.cue_tracks(_sheet(v), "album_id")
+    return sheets.cue_tracks(_sheet(v), "album_id").drop("ordinal")
 
 
 def playlist_files(v: Views) -> DataFrame:
@@ -255,11 +205,13 @@ def event_kinds(v: Views) -> DataFrame:
 
 
 def asked_in_order(v: Views) -> DataFrame:
-    """Records by id in the order in which they were asked for; twice if asked twice, none if unknown."""
-    ids = [44, 3, 17, 999_999_999, 3]
-    asked = v.spark.createDataFrame(list(enumerate(ids)), "place int, id bigint")
-    found = v.records.filter(F.col("id").isin(ids))
-    return asked.join(found.select("id", "title", "year"), "id").select("place", "id", "title", "year").orderBy("place")
+    """Records by id in the order in which they were asked for; twice if asked twice, none if unknown.
+
+    Asked are the largest of every 97 albums, backwards, every second of them twice, and one that there is not.
+    """
+    ids = v.album.filter("id % 97 = 1 AND release_id IS NULL").select("id")
+    asked = ids.select((-F.col("id")).alias("place"), "id").union(ids.filter("id % 2 = 0").select("id", "id")).union(v.spark.range(1).select(F.lit(0).cast("bigint"), F.lit(-7).cast("bigint")))
+    return asked.join(v.records.select("id", "title", "year"), "id").select("place", "id", "title", "year")
 
 
 def with_genre(v: Views) -> DataFrame:
@@ -292,12 +244,18 @@ def homonyms(v: Views) -> DataFrame:
     return r.select("id", F.when(F.col("place") > 1, F.concat(key, F.lit("#"), F.col("place").cast("string"))).otherwise(key).alias("key"))
 
 
+COVER_WORDS = ("front", "cover", "folder", "album")
+
+
 def covers(v: Views) -> DataFrame:
-    """A picture for each folder: the one named for a cover, by rank of the word, else the first by path."""
-    name = F.element_at(F.array(*map(F.lit, ("front", "cover", "folder", "album", "back", "disc"))), (F.col("id") % 6 + 1).cast("int"))
-    rank = F.array_position(F.array(*map(F.lit, ("front", "cover", "folder", "album"))), F.col("name"))
-    pictures = v.file.select("id", "folder_rel_path", "rel_path", name.alias("name")).withColumn("rank", F.when(rank == 0, 9).otherwise(rank))
-    return pictures.groupBy("folder_rel_path").agg(F.min_by("id", F.struct("rank", "rel_path", "id")).alias("id"))
+    """A picture for each folder: by the first word of its name, in the order of what covers are called, else the first by path."""
+    said = F.element_at(F.array(*map(F.lit, ("Front scan", "cover-2", "folder", "ALBUM art", "back cover", "discovery"))), (F.col("id") % 6 + 1).cast("int"))
+    name = F.concat(said, F.lit(" "), F.col("id").cast("string"), F.lit(".jpg"))
+    folder = F.concat("folder_rel_path", F.lit("/"), (F.col("id") % 50).cast("string"))
+    pictures = v.file.select("id", folder.alias("folder"), name.alias("name"), F.concat("folder_rel_path", F.lit("/"), name).alias("path"))
+    rank = F.array_position(F.array(*map(F.lit, COVER_WORDS)), X.first_word("name"))
+    ranked = pictures.withColumn("rank", F.when(rank == 0, len(COVER_WORDS) + 1).otherwise(rank))
+    return ranked.groupBy("folder").agg(F.min_by("name", F.struct("rank", "path", "id")).alias("name"))
 
 
 def naturally_ordered(v: Views) -> DataFrame:
@@ -323,23 +281,30 @@ def first_dated(v: Views) -> DataFrame:
     return v.album.join(first, F.col("id") == F.col("album_id"), "left").select("id", F.coalesce("said", "year").alias("year"))
 
 
+def file_matches(wanted: DataFrame, have: DataFrame, on: list[str]) -> DataFrame:
+    """Each of ``wanted`` (id, ``on``, reference) with the file of ``have`` (file_id, ``on``, name, rel_path) that it means: score 3 for an equal name, 2 for an equal stem, letters of either case; the earliest path on a tie."""
+    named = have.select(*on, "file_id", "rel_path", F.lower("name").alias("name"), F.lower(X.stem("name")).alias("stem"))
+    asked = wanted.select("id", *on, F.lower("reference").alias("name"), F.lower(X.stem("reference")).alias("stem"))
+    best = lambda key: named.groupBy(*on, key).agg(F.min(F.struct("rel_path", "file_id")).alias(f"by_{key}"))
+    met = asked.join(best("name"), [*on, "name"], "left").join(best("stem"), [*on, "stem"], "left")
+    found = met.select("id", F.coalesce("by_name", "by_stem").alias("f"), F.when(F.col("by_name").isNotNull(), 3).otherwise(2).alias("score"))
+    return found.filter("f IS NOT NULL").select("id", "f.file_id", "score")
+
+
 def matched_cues(v: Views) -> DataFrame:
-    """For each record the file of its folder that a reference means: an equal name before an equal stem, the earliest path on a tie."""
-    wanted = v.album.select("id", F.concat(F.lit("n"), (F.col("id") % 7).cast("string")).alias("stem"), (F.col("id") % 5).alias("root_id"))
-    have = v.file.select("root_id", "rel_path", F.col("id").alias("file_id"), F.concat(F.lit("n"), (F.col("id") % 9).cast("string")).alias("stem"), (F.col("id") % 2).alias("wav"))
-    best = have.groupBy("root_id", "stem").agg(F.min(F.struct(-F.col("wav"), "rel_path", "file_id")).alias("b"))
-    return wanted.join(best, ["root_id", "stem"]).select("id", F.col("b.file_id").alias("file_id"), F.when(F.col("b")["col1"] == -1, 3).otherwise(2).alias("score"))
+    """The file that each record's sheet names, among the files of its root."""
+    wanted = v.album.select("id", (F.col("id") % 5).alias("root_id"), F.concat(F.lit("N"), (F.col("id") % 7).cast("string"), F.when(F.col("id") % 3 == 0, ".WAV").otherwise(".ape")).alias("reference"))
+    have = v.file.select("root_id", "rel_path", F.col("id").alias("file_id"), F.concat(F.lit("n"), (F.col("id") % 9).cast("string"), F.when(F.col("id") % 2 == 1, ".wav").otherwise(".flac")).alias("name"))
+    return file_matches(wanted, have, ["root_id"])
 
 
 def queries() -> dict:
     s = SEARCH_SQL
     return {
-        "disc_names": (disc_names, _told({"disc": [x for x, _ in DISCS.values()], "discs": [x for _, x in DISCS.values()]})),
-        "text_fields": (text_fields, _TEXT_SQL),
         "numbers": (numbers, "select l_orderkey, cast(sum(floor(rate * ms / 8000 + 0.5)) as bigint) as bytes, cast(sum(floor(rate / 1000 + 0.5)) as bigint) as kbit, cast(max(case when ms > 0 then floor(rate * 8000 / ms + 0.5) end) as bigint) as rate, cast(sum(floor(ms / 1000 + 0.5)) as bigint) as seconds from (select l_orderkey, cast(round(l_extendedprice) as double) as rate, cast(cast(l_quantity as bigint) * 1000 as double) as ms from lineitem) group by 1"),
         "artist_names": (artist_names, ARTIST_SQL),
         "credits": (credits, CREDIT_SQL),
-        "cue_sheets": (cue_sheets, _q("select album_id, cast(ordinal as int) as track, 'Song ' || ordinal as title, case when ordinal % 2 = 0 then 'Guest' else 'Band' end as performer, 'Album' as sheet_title, 'a b.wav' as file, cast(ordinal * 60000 as bigint) as pregap_ms, cast(ordinal * 60000 + 1000 + floor(ordinal * 5 * 1000 / 75.0 + 0.5) as bigint) as start_ms from track")),
+        "cue_sheets": (cue_sheets, _q("select album_id, cast(row_number() over w as int) as place, cast((ordinal - 1) % 3 + 1 as int) as track, 'Song ' || ordinal as title, case when ordinal % 2 = 0 then 'Guest' else 'Band' end as performer, 'Album' as sheet_title, case when ordinal >= 4 and bool_or(ordinal = 4) over (partition by album_id) then 'b.wav' else 'a b.wav' end as file, cast(ordinal * 60000 as bigint) as pregap_ms, cast(ordinal * 60000 + 1000 + floor(ordinal * 5 * 1000 / 75.0 + 0.5) as bigint) as start_ms from track window w as (partition by album_id order by ordinal)")),
         "playlist_files": (playlist_files, r"select conv_id, row_number() over (partition by conv_id order by turn) - 1 as position, case turn % 3 when 0 then '../up/' || turn || '.flac' when 1 then 'http://radio/' || turn else 'sub\./' || turn || '.mp3' end as entry, case turn % 3 when 0 then 'lists/up/' || turn || '.flac' when 2 then 'lists/l' || conv_id || '/sub/' || turn || '.mp3' end as path from conversations"),
         "search_songs": (search_songs, s + "select id, round(rank, 6) as rank from k order by round(rank, 9), id limit 100"),
         "search_scanned": (search_scanned, s + "select id, round(rank, 6) as rank from k order by round(rank, 9), id limit 100"),
@@ -355,15 +320,15 @@ def queries() -> dict:
         "export_restore": (exported, "select case when turn < 3 then 'placed' else 'skipped' end as state, role, count(*) as n from conversations group by 1, 2"),
         "stats": (stats, _q("select 'album' as name, count(*) as n from album union all select 'artist', count(*) from artist union all select 'file', count(*) from file union all select 'play', count(*) from play union all select 'release', count(*) from release union all select 'root', count(*) from root union all select 'track', count(*) from track")),
         "event_kinds": (event_kinds, "select coalesce(event_type, 'none') as kind, count(*) as n from events group by 1 order by n desc, kind limit 3"),
-        "asked_in_order": (asked_in_order, _q("select cast(x.place as int) as place, s.id, s.title, s.year from (values (0, 44), (1, 3), (2, 17), (3, 999999999), (4, 3)) x(place, id) join album_select s on s.id = x.id")),
+        "asked_in_order": (asked_in_order, _q("select x.place, s.id, s.title, s.year from (select -id as place, id from album where id % 97 = 1 and release_id is null union all select id, id from album where id % 97 = 1 and id % 2 = 0 and release_id is null) x join album_select s on s.id = x.id")),
         "files_with_genre": (with_genre, _q("select id, exists (select 1 from file_tag t where t.file_id = f.id and t.name = 'genre' and trim(t.value) <> '') as has_genre from file f")),
         "files_at": (files_at, _q("select r.id as release_id, count(*) as files, min(f.id) as first from release r join file f on r.rel_path = 'c' || (f.id % 50) or r.rel_path = 'c' || (f.id % 40) group by 1")),
         "common_artists": (album_artists, _q("select release_id, min(x) as artist, count(*) as common from (select release_id, artist_id as x, id from album where release_id is not null and artist_id is not null union select release_id, cast(artist_id + id % 2 as int), id from album where release_id is not null and artist_id is not null) s where not exists (select 1 from album b where b.release_id = s.release_id and b.artist_id is not null and s.x <> b.artist_id and s.x <> b.artist_id + b.id % 2) group by release_id, x").replace("select release_id, min(x) as artist, count(*) as common from", "select release_id, min(x) as artist, count(*) as common from (select release_id, x from") + ") group by 1"),
         "homonyms": (homonyms, _q("select id, artist_id || '-' || year || case when k > 1 then '#' || k else '' end as key from (select *, row_number() over (partition by artist_id, year order by root_id, rel_path) as k from release)")),
-        "covers": (covers, _q("select folder_rel_path, id from (select *, row_number() over (partition by folder_rel_path order by case id % 6 when 0 then 1 when 1 then 2 when 2 then 3 when 3 then 4 else 9 end, rel_path, id) as k from file) where k = 1")),
+        "covers": (covers, _q("select folder, name from (select *, row_number() over (partition by folder order by case when id % 6 < 4 then id % 6 else 9 end, folder_rel_path || '/' || name, id) as k from (select id, folder_rel_path, folder_rel_path || '/' || id % 50 as folder, case id % 6 when 0 then 'Front scan' when 1 then 'cover-2' when 2 then 'folder' when 3 then 'ALBUM art' when 4 then 'back cover' else 'discovery' end || ' ' || id || '.jpg' as name from file)) where k = 1")),
         "natural_order": (naturally_ordered, _q("select id, row_number() over (partition by artist_id order by cast(substr(rel_path, 2) as bigint), id) as place from release")),
         "listing_order": (listed, _q("select id, year, title from album_select order by year is null, year, title, rel_path, id limit 200")),
         "earliest": (earliest, _q("select artist_id, year, arm, id from (select *, row_number() over (partition by artist_id order by year, arm, id) as k from (select artist_id, year, 0 as arm, id from release union all select artist_id, year, 1, id from album where artist_id is not null)) where k = 1")),
         "first_dated": (first_dated, _q("select a.id, coalesce(s.said, a.year) as year from album a left join (select album_id, said from (select t.album_id, cast(900 + t.file_id % 400 as int) as said, row_number() over (partition by t.album_id order by f.rel_path, t.file_id) as k from track t join file f on f.id = t.file_id where 900 + t.file_id % 400 >= 1000) where k = 1) s on s.album_id = a.id")),
-        "matched_files": (matched_cues, _q("select id, file_id, score from (select a.id, f.id as file_id, case when f.id % 2 = 1 then 3 else 2 end as score, row_number() over (partition by a.id order by case when f.id % 2 = 1 then 0 else 1 end, f.rel_path, f.id) as k from album a join file f on f.root_id = a.id % 5 and f.id % 9 = a.id % 7) where k = 1")),
+        "matched_files": (matched_cues, _q("select id, file_id, score from (select a.id, f.id as file_id, case when a.id % 3 = 0 and f.id % 2 = 1 then 3 else 2 end as score, row_number() over (partition by a.id order by case when a.id % 3 = 0 and f.id % 2 = 1 then 0 else 1 end, f.rel_path, f.id) as k from album a join file f on f.root_id = a.id % 5 and f.id % 9 = a.id % 7) where k = 1")),
     }

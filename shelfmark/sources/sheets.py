@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.expressions import cue_time, resolved
+from shelfmark.functions.expressions import cue_time, resolved, unique_ordinals
 
 
 def lines(sheets: DataFrame, key: str, text: str) -> DataFrame:
@@ -22,17 +22,23 @@ def _unquoted(c) -> F.Column:
 
 
 def cue_tracks(sheets: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """One row a track of each cue sheet: number, title, performer (the sheet's where it has none), file, pregap and start in ms."""
+    """One row for each TRACK line of each cue sheet: its place, its number and a number of its own, title, performer (the sheet's where it has none), file, pregap and start in ms.
+
+    Numbers repeat where a sheet names several files, each with a first track. Songs are told apart by their place;
+    ``ordinal`` is the number where it is the first to claim it, else the next that is free.
+    """
     told = lines(sheets, key, text).select(key, "line", F.upper(F.regexp_extract("said", r"^(\S+)", 1)).alias("word"), F.regexp_extract("said", r"^\S+\s+(.*)$", 1).alias("rest"))
     down = Window.partitionBy(key).orderBy("line")
     number = F.when(F.col("word") == "TRACK", F.regexp_extract("rest", r"^(\d+)", 1).try_cast("int"))
     file = F.when(F.col("word") == "FILE", _unquoted(F.regexp_replace("rest", r"\s+\S+$", "")))
-    told = told.withColumn("track", F.last(number, True).over(down)).withColumn("file", F.last(file, True).over(down))
+    told = told.withColumn("_n", number).withColumn("place", F.count("_n").over(down)).withColumn("file", F.last(file, True).over(down))
     said = lambda word: F.min_by(F.when(F.col("word") == word, _unquoted(F.col("rest"))), F.when(F.col("word") == word, F.col("line")))
     index = lambda n: F.min(F.when((F.col("word") == "INDEX") & F.col("rest").rlike(rf"^0*{n}\s"), cue_time(F.regexp_extract("rest", r"\s(\S+)$", 1))))
-    sheet = told.filter("track IS NULL").groupBy(key).agg(said("PERFORMER").alias("sheet_performer"), said("TITLE").alias("sheet_title"))
-    tracks = told.filter("track IS NOT NULL").groupBy(key, "track").agg(said("TITLE").alias("title"), said("PERFORMER").alias("performer"), F.max_by("file", F.when(F.col("word") == "INDEX", F.col("line")).otherwise(-1)).alias("file"), index(0).alias("pregap_ms"), index(1).alias("start_ms"))
-    return tracks.join(sheet, key, "left").select(key, "track", "title", F.coalesce("performer", "sheet_performer").alias("performer"), "sheet_title", "file", "pregap_ms", "start_ms")
+    sheet = told.filter("place = 0").groupBy(key).agg(said("PERFORMER").alias("sheet_performer"), said("TITLE").alias("sheet_title"))
+    tracks = told.filter("place > 0").groupBy(key, "place").agg(F.max("_n").alias("track"), said("TITLE").alias("title"), said("PERFORMER").alias("performer"), F.max_by("file", F.when(F.col("word") == "INDEX", F.col("line")).otherwise(-1)).alias("file"), index(0).alias("pregap_ms"), index(1).alias("start_ms"))
+    listed = tracks.groupBy(key).agg(unique_ordinals(F.transform(F.array_sort(F.collect_list(F.struct("place", "track"))), lambda x: x["track"])).alias("ordinals"))  # one sheet's numbers
+    both = tracks.join(listed, key).join(sheet, key, "left")
+    return both.select(key, F.col("place").cast("int").alias("place"), "track", F.get("ordinals", (F.col("place") - 1).cast("int")).alias("ordinal"), "title", F.coalesce("performer", "sheet_performer").alias("performer"), "sheet_title", "file", "pregap_ms", "start_ms")
 
 
 def playlist_entries(lists: DataFrame, key: str, folder: str, text: str = "text") -> DataFrame:

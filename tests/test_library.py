@@ -109,3 +109,25 @@ def test_nodes_gather_folders_of_one_artist_over_roots(spark):
     assert got == {"big band": (1, "Big Band", "Big Band", 3, 3), "/1/Bigger": (None, "Bigger", "Bigger", 1, 1), "big": (2, "Big", "Big, The", 1, 1)}
     inside = told(nodes.nested(t, records, artists), "root_id", "rel_path", "records")
     assert inside[2, "BIG BAND!/A"] == 1 and inside[1, "Big Band/1990 - A"] == 1 and (2, "Junk") not in inside
+
+
+FOLDERS = {
+    "1987 - Ann & Bob + Carl - Halves (Cass, C60)": (1987, "Ann & Bob + Carl", "Halves", "Cass, C60"), "Some Group - Tunes - 1985 (7CD FLAC)": (1985, "Some Group", "Tunes", "7CD FLAC"), "1995 - Sum (1234-5)": (1995, None, "Sum (1234-5)", None),
+    "2003 - Short - ep": (2003, None, "Short", None), "2012 - Light - CD 1 [XX-1]": (2012, None, "Light", "XX-1"), "Shelf - 2015 - Name - More (one two)": (2015, None, "Name - More (one two)", None), "xxxx - Hidden (Tape, Cass)": (None, None, "Hidden", "Tape, Cass"),
+    "Only a Name - With One Dash": (None, None, "Only a Name - With One Dash", None), "Me_-_My-Tune-2010-Us": (2010, "Me", "My-Tune", None), "Me_-_Tune": (None, "Me", "Tune", None), "1998 - In (Live - Tape)": (1998, None, "In (Live - Tape)", None),
+    "1991. Dots": (1991, None, "Dots", None), "1991 ● Dots": (1991, None, "Dots", None), "Ann feat. Bob": (None, "Ann feat. Bob", None, None), "Years 2020/1980": (None, None, "Years 2020/1980", None), "1999": (None, None, "1999", None), "a -b- c": (None, None, "a -b- c", None),
+    "2000 - X (2 CD)": (2000, None, "X", "2 CD"), "2000 - X (BLU-RAY)": (2000, None, "X", "BLU-RAY"), "2000 - X (c60)": (2000, None, "X", "c60"), "2000 - X (100)": (2000, None, "X (100)", None), "Me_-_1999-2001": (2001, "Me", "1999", None),
+}
+FILES = {
+    ("01 - Group - Song.flac", "Group - Album"): "Song", ("07.Name.mp3", None): "Name", ("05-me_-_the_tune-mysite.com.ogg", "Me Mysite.com"): "the tune", ("12.wav", "x"): "12", ("A - B.ape", "a b"): "B", ("003 - Long.mp3", None): "003 - Long",
+    ("02) Tune.mp3", None): "Tune", ("9 -.mp3", None): "9 -", ("Me - Me - Tune - Me.mp3", "me"): "Tune - Me",
+}
+
+
+def test_names_of_folders_and_files(spark):
+    from shelfmark.functions import folders
+
+    rows = folders.folder_names(spark.createDataFrame([(n,) for n in FOLDERS], "n string"), "n").collect()
+    assert {r["n"]: tuple(r["said"]) for r in rows} == FOLDERS
+    files = spark.createDataFrame([(a, b) for a, b in FILES], "n string, a string")
+    assert {(r["n"], r["a"]): r["t"] for r in files.select("n", "a", folders.file_title("n", "a").alias("t")).collect()} == FILES

@@ -83,6 +83,36 @@ def test_odd_sheets(spark):
     assert [(r["position"], r["path"]) for r in sheets.playlist_entries(lists, "id", "folder").orderBy("position").collect()] == [(0, "f/g/a b.mp3"), (1, "f/c.mp3")]
 
 
+def test_repeated_track_numbers(spark):
+    from shelfmark.sources import sheets
+
+    text = 'FILE "a.wav" WAVE\nTRACK 01 AUDIO\nTITLE A1\nINDEX 01 00:00:00\nTRACK 02 AUDIO\nTITLE A2\nINDEX 01 01:00:00\nFILE "b.wav" WAVE\nTRACK 01 AUDIO\nTITLE B1\nINDEX 01 00:00:00\nTRACK 07 AUDIO\nTITLE B7\nINDEX 01 02:00:00'
+    rows = sheets.cue_tracks(spark.createDataFrame([(1, text)], "id int, text string"), "id").orderBy("place").collect()
+    assert [(r["place"], r["track"], r["ordinal"], r["title"], r["file"]) for r in rows] == [(1, 1, 1, "A1", "a.wav"), (2, 2, 2, "A2", "a.wav"), (3, 1, 3, "B1", "b.wav"), (4, 7, 7, "B7", "b.wav")]
+
+
+def test_files_by_reference(spark):
+    from shelfmark.plans.upkeep import file_matches
+
+    have = spark.createDataFrame([(1, "r", "A.wav", "x/A.wav"), (2, "r", "a.flac", "a/a.flac"), (3, "r", "b.ape", "b.ape"), (4, "s", "a.wav", "a.wav")], "file_id int, root string, name string, rel_path string")
+    wanted = spark.createDataFrame([(1, "r", "a.WAV"), (2, "r", "a.mp3"), (3, "r", "c.wav"), (4, "s", "A.ape"), (5, None, "a.wav"), (6, "r", None)], "id int, root string, reference string")
+    assert {tuple(r) for r in file_matches(wanted, have, ["root"]).collect()} == {(1, 1, 3), (2, 2, 2), (4, 4, 2)}
+
+
+def test_text_kernels(spark):
+    from datetime import datetime
+
+    df = spark.createDataFrame([(datetime(2024, 5, 1, 23, 30),)], "now timestamp")
+    row = df.select(
+        X.quiet("now", 22, 6).alias("a"), X.quiet("now", 6, 22).alias("b"), X.quiet("now", 3, 3).alias("c"), X.cut_path(F.lit("a/b.flac"), F.lit(3)).alias("d"), X.cut_path(F.lit("a.b/c"), F.lit(3)).alias("e"), X.cut_path(F.lit("x.mp3"), F.lit(None).cast("int")).alias("f"),
+        X.play_time(F.lit("1000"), "now").alias("g"), X.play_time(F.lit("x"), "now").alias("h"), X.play_time(F.lit("9" * 30), "now").alias("i"), X.listed_texts(F.lit('["a", 1, null, "b"]')).alias("j"), X.listed_texts(F.lit("{")).alias("k"),
+        X.replay_gain(F.lit("-6 dB"), F.lit("x"), F.lit("0.5"), F.lit("-1")).alias("l"), X.replay_gain(*[F.lit(None).cast("string")] * 4).alias("m"), X.first_word(F.lit("a/- Front.2.jpg")).alias("n"),
+        X.minutes_ago(F.lit("2024-05-01 23:00:30").cast("timestamp"), "now").alias("o"), X.is_text(F.lit("a\u0001b\u0002")).alias("p"), X.explicit_status(F.lit(None).cast("int"), F.lit(4)).alias("q"), X.parse_id(F.lit("al-12"))[1].alias("r"), X.parse_id(F.lit("xx-1"))[0].alias("s"),
+    ).first()
+    now = datetime(2024, 5, 1, 23, 30)
+    assert tuple(row) == (True, False, False, "a/b (track 3).flac", "a.b/c (track 3)", "x.mp3", datetime(1970, 1, 1, 0, 0, 1), now, now, ["a", "b"], [], {"trackGain": -6.0, "trackPeak": 0.5}, None, "front", 29, False, "explicit", 12, None)
+
+
 def test_odd_names(spark):
     from shelfmark.functions import folders
 
