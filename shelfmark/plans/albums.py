@@ -137,11 +137,15 @@ def representatives(v: Views) -> DataFrame:
     return v.grp.select("id", "group_id", "rep_id", "rn")
 
 
+def first_values(tags: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The first value of each tag that is not blank, of ``tags`` (file_id, name, position, value): a column for each name of ``columns``."""
+    said = tags.select("file_id", "name", "position", trimmed("value").alias("value")).filter((F.col("value") != "") & F.col("name").isin(*columns))
+    picked = [F.min(F.when(F.col("name") == n, F.struct("position", "value")))["value"].alias(c) for n, c in columns.items()]
+    return said.groupBy("file_id").agg(*picked)
+
+
 def first_tags(v: Views, names: tuple[str, ...] = ("artist", "genre")) -> DataFrame:
-    """The first value of each tag that is not blank, one column a name."""
-    tags = v.file_tag.select("file_id", "name", "position", trimmed("value").alias("value")).filter((F.col("value") != "") & F.col("name").isin(*names))
-    picked = [F.min(F.when(F.col("name") == n, F.struct("position", "value")))["value"].alias(f"first_{n}") for n in names]
-    return tags.groupBy("file_id").agg(*picked)
+    return first_values(v.file_tag, {n: f"first_{n}" for n in names})
 
 
 _PAGE = "order by {} limit {}"
