@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.expressions import col, marks_in
 from shelfmark.functions.names import artist_name, split_credit
 from shelfmark.operators.graph import groups
+from shelfmark.sources.kept import stage
 
 #: Sources of an album's credit, the strongest first.
 SOURCES = ("cue", "folder", "tag")
@@ -81,7 +82,7 @@ def artists_and_credits(credits: DataFrame, albums: DataFrame) -> tuple[DataFram
     and so on, by root path and folder, and albums outside of them go to the first. The name shown carries the most
     accents, then is the most frequent, the shortest, the first.
     """
-    names = credited(credits)
+    names = stage(credited(credits), "names")
     placed = names.join(artist_folders(names, albums), ["album_id", "key"], "left")
     homes = placed.filter("folder IS NOT NULL").select("key", "root_path", "folder").distinct()
     # The folders of one name; their number is how often a collector filed the artist anew.
@@ -89,7 +90,7 @@ def artists_and_credits(credits: DataFrame, albums: DataFrame) -> tuple[DataFram
     split = numbered.groupBy("key").agg((F.max("place") > 1).alias("split"))
     owned = placed.join(numbered, ["key", "root_path", "folder"], "left").join(split, "key", "left")
     qualified = F.when(F.col("place") > 1, F.concat("key", F.lit("#"), F.col("place").cast("string"))).otherwise(F.col("key"))
-    entries = owned.withColumn("base", F.col("key")).withColumn("key", qualified)
+    entries = stage(owned.withColumn("base", F.col("key")).withColumn("key", qualified).select("album_id", "position", "join_phrase", "name", "folded", "key", "base", "split"), "entries")
     spelt = entries.groupBy("key", "name").agg(F.count("*").alias("n"))
     shown = spelt.groupBy("key").agg(F.min_by("name", F.struct(-marks_in("name"), -F.col("n"), F.length("name"), "name")).alias("name"))
     folded = entries.groupBy("key", "folded").agg(F.lit(1).alias("_")).groupBy("key").agg(F.count("*").alias("forms"))

@@ -52,7 +52,7 @@ def credit_entries(v: Views) -> DataFrame:
 
 
 def artist_twins(v: Views) -> DataFrame:
-    return identity.twins(_people(v)[0])
+    return identity.twins(stage(_people(v)[0], "artists"))
 
 
 def artist_alphabets(v: Views) -> DataFrame:
