@@ -10,7 +10,7 @@ Defined results: rows whose vector is null or holds a null or non-finite compone
 empty one; with fewer rows than entries the codebooks have as many entries as there are rows; equal vec_ids are ordered
 by their vectors, a null vec_id is last and stays null; rows that repeat each count; null labels are one label. Vectors
 shorter than the longest, or not divisible by the parts, are filled up with zeros. A scaled component beyond
-``vectors.room`` (2**28 for parts of 16) is taken as that bound, so that distances fit a long. Columns other than the
+``vectors.room`` (2**27 for parts of 16) is taken as that bound, so that distances fit a long. Columns other than the
 three asked for are left alone, whatever their names.
 """
 

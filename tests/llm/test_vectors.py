@@ -100,12 +100,12 @@ def found(df):
     return sorted((tuple(r[c] for c in ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("block, gather", [(4096, 64), (3, 2)])
+@pytest.mark.parametrize("block, gather", [(4096, 64), (5, 2)])
 def test_negatives_against_plain_python(spark, monkeypatch, block, gather):
     monkeypatch.setattr(hard_negatives, "BLOCK", block)
     monkeypatch.setattr(hard_negatives, "GATHER", gather)
     rng = random.Random(3)
-    rows = [(i * 5 - 300, [rng.gauss(0.3, 0.5) for _ in range(6)], rng.choice([None, 1, 2, 3])) for i in range(500)]
+    rows = [(i * 5 - 300, [rng.gauss(0.3, 0.5) for _ in range(6)], rng.choice([None, 1, 2, 3])) for i in range(200)]
     rows += [(50, rows[5][1], 1)] * 3 + [(5000 + 3 * i, rows[7][1], 2) for i in range(200)] + [rows[9]] * 150
     rows += [(100, None, 1), (150, [0.5] * 5 + [None], 1), (200, [float("nan")] * 6, 1), (None, rows[7][1], 2), (None, rows[3][1], 1), (250, [0.0] * 6, 1), (300, [0.1] * 4, 2), (350, [1e3, -1e3] * 3, 3)]
     rng.shuffle(rows)
