@@ -21,17 +21,17 @@ def _base(c: str) -> str:
 
 
 #: Letters that are a base letter and marks, by rule, in Latin, Greek and Cyrillic, each with its base.
-_MARKED = {chr(i): b for a, e in ((0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x2000)) for i in range(a, e) if len(b := _base(chr(i))) == 1 and b != chr(i)}
+MARKED = {chr(i): b for a, e in ((0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x2000)) for i in range(a, e) if len(b := _base(chr(i))) == 1 and b != chr(i)}
 
 
 def without_marks(text) -> Column:
     """Letters without their accents, composed or not."""
-    return F.regexp_replace(F.translate(col(text), "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}", "")
+    return F.regexp_replace(F.translate(col(text), "".join(MARKED), "".join(MARKED.values())), r"\p{M}", "")
 
 
 def marks_in(text) -> Column:
     """How many letters of a text carry a mark, composed or not."""
-    return F.length(col(text)) - F.length(F.regexp_replace(F.translate(col(text), "".join(_MARKED), ""), r"\p{M}", ""))
+    return F.length(col(text)) - F.length(F.regexp_replace(F.translate(col(text), "".join(MARKED), ""), r"\p{M}", ""))
 
 
 def basename(path) -> Column:

@@ -20,20 +20,23 @@ def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def hits(rows: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
-    """Keys of the texts that hold all ``words``, the last as a prefix, with how often: only the asked words of a row are looked at."""
-    said = rows.select(key, words_of(F.col(text)).alias("_w"))
-    exact = lambda w: F.size(F.filter("_w", lambda x: x == w))
-    begun = lambda w: F.size(F.filter("_w", lambda x: x.startswith(w)))
-    n = [begun(w) if i == len(words) - 1 else exact(w) for i, w in enumerate(words)]
-    counted = said.select(key, *(x.alias(f"_{i}") for i, x in enumerate(n)))
-    twice = [F.lit(0), *(F.when(F.lit(w.startswith(words[-1])), F.col(f"_{i}")).otherwise(0) for i, w in enumerate(words[:-1]))]
-    once = reduce(lambda a, b: a + b, [F.col(f"_{i}") for i in range(len(words))])  # a word that the prefix covers as well counts once
-    return counted.filter(reduce(lambda a, b: a & b, [F.col(f"_{i}") > 0 for i in range(len(words))])).select(key, (once - reduce(lambda a, b: a + b, twice)).cast("bigint").alias("hits"))
+    """Keys of the texts that hold all ``words``, the last as a prefix, with how often: only the asked words of a row are looked at.
+
+    A row's words are bound once and its counts leave the row only if none is zero: a filter beside them would cut the text again.
+    """
+    exact = lambda said, w: F.size(F.filter(said, lambda x: x == w))
+    begun = lambda said, w: F.size(F.filter(said, lambda x: x.startswith(w)))
+    counts = lambda said: F.array(*(begun(said, w) if i == len(words) - 1 else exact(said, w) for i, w in enumerate(words)))
+    each = F.filter(F.transform(F.array(words_of(F.col(text))), counts), lambda n: F.forall(n, lambda x: x > 0))
+    found = rows.select(key, F.explode(each).alias("n"))
+    once = [i for i, w in enumerate(words) if i == len(words) - 1 or not w.startswith(words[-1])]  # a word that the prefix covers counts with it
+    return found.select(key, reduce(lambda a, b: a + b, [F.get("n", F.lit(i)) for i in once]).cast("bigint").alias("hits"))
 
 
 def words_of(text) -> F.Column:
-    """Lower-case words without accents, in order."""
-    return F.regexp_extract_all(without_marks(F.lower(F.coalesce(text, F.lit("")))), F.lit(f"({WORD})"))
+    """Lower-case words without accents, in order; texts of ASCII alone have none to lose."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.regexp_extract_all(F.when(F.octet_length(low) == F.length(low), low).otherwise(without_marks(low)), F.lit(f"({WORD})"))
 
 
 #: Constants of BM25: saturation of repeats, and how much length counts.

@@ -28,8 +28,8 @@ class SearchIndex:
     def __init__(self, spark: SparkSession, folder: str, key: DataType | None = None, buckets: int = BUCKETS, files: int = FILES):
         self.spark, self.n, self.files = spark, buckets, files
         k = StructField("key", key or LongType())
-        of_word = F.pmod(F.crc32(F.encode(F.left("word", F.lit(HEAD)), "UTF-8")), F.lit(buckets))
-        self.postings = Buckets(spark, f"{folder}/postings", StructType([StructField("word", StringType()), k, StructField("hits", LongType()), StructField("length", LongType())]), of_word, buckets, ("word", "key"))
+        self.bucket_of = lambda word: F.pmod(F.crc32(F.encode(F.left(word, F.lit(HEAD)), "UTF-8")), F.lit(buckets)).cast("int")
+        self.postings = Buckets(spark, f"{folder}/postings", StructType([StructField("word", StringType()), k, StructField("hits", LongType()), StructField("length", LongType())]), self.bucket_of(F.col("word")), buckets, ("word", "key"))
         self.rows = Buckets(spark, f"{folder}/rows", StructType.fromDDL("length bigint, buckets array<int>").add(k), F.pmod(F.xxhash64("key"), F.lit(buckets)), buckets)
         self.totals = Buckets(spark, f"{folder}/totals", StructType.fromDDL("rows bigint, words bigint"), F.lit(0), 1)
 
@@ -37,14 +37,13 @@ class SearchIndex:
         """Put ``rows`` in, in place of what their keys had, and take the keys of ``gone`` (``key``) out. Versions rise; one may be repeated."""
         said = rows.select(F.col(key).alias("key"), words_of(F.concat_ws(" ", *columns)).alias("w")).withColumn("length", F.size("w").cast("bigint"))
         new = said.select("key", "length", F.explode("w").alias("word")).groupBy("word", "key", "length").agg(F.count("*").alias("hits"))
-        new = new.withColumn("_b", self.postings.bucket).persist()
-        beside = said.select("key", "length").join(new.groupBy("key").agg(F.collect_set("_b").alias("buckets")), "key", "left")
-        forward = beside.select("key", "length", F.coalesce("buckets", F.array().cast("array<int>")).alias("buckets")).persist()
+        new = new.persist()
+        forward = said.select("key", "length", F.array_distinct(F.transform("w", self.bucket_of)).alias("buckets")).persist()
         changed = forward.select("key") if gone is None else forward.select("key").union(gone.select(F.col(key).alias("key"))).distinct()
         places = self.rows.touched(changed)
         was = self.rows.read(version, places)
         lost = {r[0] for r in was.join(changed, "key", "left_semi").select(F.explode("buckets")).distinct().collect()}  # at most n
-        touched = lost | {r[0] for r in new.select("_b").distinct().collect()}
+        touched = lost | {r[0] for r in forward.select(F.explode("buckets")).distinct().collect()}
         names = self.postings.schema.fieldNames()
         kept = self.postings.read(version, touched).join(changed, "key", "left_anti").select(*names)
         self.postings.write(kept.unionByName(new.select(*names)), version, touched, self.files)
