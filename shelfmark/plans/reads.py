@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.names import artist_name, names_in_tag
-from shelfmark.operators import lists, nodes, tags
+from shelfmark.operators import identity, issues, lists, nodes, tags
+from shelfmark.plans import live, people
 from shelfmark.plans.albums import first_values
 from shelfmark.plans.library import FILES_SQL, Library
 from shelfmark.plans.views import Views
+from shelfmark.sources.kept import stage
 from shelfmark.sources.tables import TABLES_SQL
 
 
@@ -166,6 +168,14 @@ def numbered_records(v: Views) -> DataFrame:
     return lists.numbered(rows)
 
 
+def stage_issues(v: Views) -> DataFrame:
+    """The ledger after a scan, a playlist import and the artists' stage: an older ledger's rows of these go, those of other stages stay."""
+    artists = stage(people.credited_artists(v), "artists")
+    found = issues.together(issues.of_artists(artists, identity.twins(artists)), issues.of_playlists(playlist_verdicts(v)), issues.of_scan(live.change_feed(v)))
+    old = issues.issue(v.read("supplier"), "tags", "tag-unreadable", "error", F.col("s_name")).unionByName(issues.issue(v.read("supplier"), "scan", "file-unsettled", "info", F.col("s_name")))
+    return issues.taken_in(old, found, ["artists", "playlists", "scan"])
+
+
 def queries() -> dict:
     q = lambda text: TABLES_SQL + text
     record, song = ", ".join(_RECORD), ", ".join(_SONG)
@@ -200,5 +210,9 @@ def queries() -> dict:
         "playlist_verdicts": (playlist_verdicts, entry + "select root_id, list_id, entries, folders, missing, verdict from l"),
         "imported_entries": (imported_entries, entry + "select root_id, list_id, row_number() over (partition by root_id, list_id order by position) - 1 as position, n as file_id from m where folder is not null and not missing and list_id in (select list_id from l where verdict = 'curated')"),
         "hidden_records": (hidden_records, q("select r.path as root_path, a.rel_path, a.title, a.junk_reason, case when a.id % 6 = 0 then 'hand' else 'scan' end as source from album a join root r on r.id = a.root_id where a.junk_reason is not null")),
+        "stage_issues": (stage_issues, f"""select 'tags' as stage, 'tag-unreadable' as kind, 'error' as severity, cast(null as bigint) as root_id, cast(null as varchar) as rel_path, s_name as detail from supplier
+          union all select 'artists', kind, 'warn', null, null, detail from ({people.PEOPLE_SQL} select 'artist-homonym' as kind, base as detail from artist where homonym and key = base union all select 'artist-transliteration', latin || ' / ' || key from twin)
+          union all select 'playlists', 'playlist-entries-missing', 'warn', root_id, null, list_id || ': ' || missing from ({entry} select * from l where verdict = 'curated' and missing > 0)
+          union all select 'scan', case state when 'held' then 'file-unsettled' else 'folder-closed' end, case state when 'held' then 'info' else 'error' end, root_id, rel_path, state from ({live.FEED_SQL} select * from feed where state in ('held', 'closed'))"""),
         "numbered_records": (numbered_records, named + "select kind, id, base || ' (' || k || ')' as title from (select *, count(*) over (partition by artist, base, note) as c, row_number() over (partition by artist, base, note order by rel_path, id) as k from n) where c > 1"),
     }

@@ -37,3 +37,20 @@ def test_numbered_names(spark):
     ]
     got = lists.numbered(spark.createDataFrame(rows, "kind string, id int, artist_id int, title string, rel_path string"))
     assert {tuple(r) for r in got.collect()} == {("release", 1, "Songs (1)"), ("album", 1, "Songs (2)"), ("album", 8, "Songs (3)"), ("album", 3, "Songs (Cass) (1)"), ("album", 9, "Songs (Cass) (2)")}
+
+
+def test_ledger_of_issues(spark):
+    import pytest
+
+    from shelfmark.operators import issues
+
+    artists = spark.createDataFrame([("a", "a", False, True), ("b", "b", True, True), ("b#2", "b", True, True), ("c", "c", False, False)], "key string, base string, homonym boolean, ambiguous boolean")
+    twins = spark.createDataFrame([("я", "ya")], "key string, latin string")
+    found = issues.of_artists(artists, twins)
+    assert {(r["kind"], r["detail"]) for r in found.collect()} == {("artist-homonym", "b"), ("artist-ambiguous", "a"), ("artist-transliteration", "ya / я")}
+    old = issues.issue(artists, "artists", "old", "info", artists["key"]).unionByName(issues.issue(twins, "tags", "kept", "error", twins["key"]))
+    after = issues.taken_in(old, found, ["artists"])
+    assert {r["kind"] for r in after.collect()} == {"artist-homonym", "artist-ambiguous", "artist-transliteration", "kept"}
+    assert {r["stage"] for r in issues.taken_in(after, found.limit(0), ["artists"]).collect()} == {"tags"}
+    with pytest.raises(ValueError):
+        issues.issue(artists, "x", "y", "fatal", artists["key"])
