@@ -48,7 +48,7 @@ def test_odd_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == warc.round_trip(pages.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_jaccard_join", "op4_warc", "op7_decontamination", "op10_mixing"])
+@pytest.mark.parametrize("name", ["op1_jaccard_join", "op4_warc", "op7_decontamination", "op10_mixing", "op11_vector_codes", "op13_hard_negatives"])
 def test_query_agrees_with_sql(spark, duck, name):
     same(__spark_entry__.queries()[name](spark, SF), duck, __spark_entry__.oracle_sql()[name])
 
