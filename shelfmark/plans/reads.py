@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.names import artist_name, names_in_tag
-from shelfmark.operators import identity, issues, lists, nodes, tags
+from shelfmark.operators import identity, issues, lists, nodes, segments, tags
 from shelfmark.plans import live, people
 from shelfmark.plans.albums import first_values
 from shelfmark.plans.library import FILES_SQL, Library
@@ -176,6 +176,19 @@ def stage_issues(v: Views) -> DataFrame:
     return issues.taken_in(old, found, ["artists", "playlists", "scan"])
 
 
+def planned_songs(v: Views) -> DataFrame:
+    """Parts as audio files; a third has a sheet that names its stem, half of these another with its very name; each sheet has three songs."""
+    p, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    folder = F.concat("p_type", F.lit("/"), "p_brand")
+    part = v.read("part")
+    audio = part.select(p.alias("file_id"), folder.alias("folder"), F.concat(F.lit("p"), n, F.lit(".wav")).alias("name"), F.col("p_type").alias("album"), F.when(p % 4 == 0, F.col("p_name")).alias("tag_title"), F.lit(9000).alias("duration_ms"))
+    named = F.when(p % 3 == 0, F.array(F.struct(p.alias("sheet_id"), F.concat(F.lit("P"), n, F.lit(".ape")).alias("reference")), F.struct((p + 100_000).alias("sheet_id"), F.concat(F.lit("P"), n, F.lit(".WAV")).alias("reference"))))
+    sheets = part.select(p.alias("p"), folder.alias("folder"), F.inline(named)).filter("sheet_id = p OR p % 2 = 0").select("sheet_id", "folder", F.concat("folder", F.lit("/"), F.col("sheet_id").cast("string"), F.lit(".cue")).alias("rel_path"), "reference")
+    k = F.explode(F.sequence(F.lit(1), F.lit(3)))
+    tracks = sheets.select("sheet_id", F.col("reference").alias("file"), k.alias("place")).select("sheet_id", "file", "place", F.when(F.col("place") != 2, F.concat(F.lit("Song "), F.col("place").cast("string"))).alias("title"), ((F.col("place") - 1) * 1000).alias("start_ms"))
+    return segments.songs(tracks, sheets, audio)
+
+
 def queries() -> dict:
     q = lambda text: TABLES_SQL + text
     record, song = ", ".join(_RECORD), ", ".join(_SONG)
@@ -210,6 +223,8 @@ def queries() -> dict:
         "playlist_verdicts": (playlist_verdicts, entry + "select root_id, list_id, entries, folders, missing, verdict from l"),
         "imported_entries": (imported_entries, entry + "select root_id, list_id, row_number() over (partition by root_id, list_id order by position) - 1 as position, n as file_id from m where folder is not null and not missing and list_id in (select list_id from l where verdict = 'curated')"),
         "hidden_records": (hidden_records, q("select r.path as root_path, a.rel_path, a.title, a.junk_reason, case when a.id % 6 = 0 then 'hand' else 'scan' end as source from album a join root r on r.id = a.root_id where a.junk_reason is not null")),
+        "planned_songs": (planned_songs, """select p_partkey as file_id, case when p_partkey % 6 = 0 then p_partkey + 100000 else p_partkey end as sheet_id, k as ordinal, case when k = 2 then 'p' || p_partkey else 'Song ' || k end as title, case when k = 2 then 'name' else 'cue' end as title_source, (k - 1) * 1000 as start_ms, case when k = 3 then 9000 else k * 1000 end as end_ms
+          from part, (select unnest([1, 2, 3]) as k) where p_partkey % 3 = 0 union all select p_partkey, null, 1, case when p_partkey % 4 = 0 then p_name else 'p' || p_partkey end, case when p_partkey % 4 = 0 then 'tag' else 'name' end, null, null from part where p_partkey % 3 > 0"""),
         "stage_issues": (stage_issues, f"""select 'tags' as stage, 'tag-unreadable' as kind, 'error' as severity, cast(null as bigint) as root_id, cast(null as varchar) as rel_path, s_name as detail from supplier
           union all select 'artists', kind, 'warn', null, null, detail from ({people.PEOPLE_SQL} select 'artist-homonym' as kind, base as detail from artist where homonym and key = base union all select 'artist-transliteration', latin || ' / ' || key from twin)
           union all select 'playlists', 'playlist-entries-missing', 'warn', root_id, null, list_id || ': ' || missing from ({entry} select * from l where verdict = 'curated' and missing > 0)
