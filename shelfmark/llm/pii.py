@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates of the same type, format, script and gender.
 
-Found are e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers and names: those after a title, and in
-the same text every other mention of their parts. A value is normalised (digits only, lower case), and its surrogate
+Found are e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, payment card numbers, bank accounts (IBAN with a right
+check), social security numbers of the form 123-45-6789 and names: those after a title, and in the same text every other
+mention of their parts. A value is normalised (digits only, lower case), and its surrogate
 follows from a secret key and the normalised value alone. Names go part by part, and by what hyphens join: a surname has
 one surrogate whatever title or given name stands before it, so that one person stays one person in all documents; given
 names end by gender, which the title tells, or else the name's own ending. Digits go through a keyed permutation of all
@@ -10,9 +11,11 @@ a right check digit get one. E-mail parts keep their lengths and alphabets. Capi
 
 Collisions are looked for over the distinct values of the whole corpus: where two values of a type share a surrogate,
 or a surrogate is itself a value of the corpus, all but the smallest of the former, and the latter, draw again until none
-is left. Later draws of names and addresses are longer, so that there always are free ones; digit strings keep their
-length, and a format with hardly any free ones left is an error. Values that drew again are broadcast while fewer than
-``BROADCAST``; beyond that they are joined by document.
+is left. Later draws of names and addresses are longer, so that there always are free ones. Digit strings keep their
+length, so a format can be too full for that: one of which the corpus holds more than a quarter of all there can be (short
+telephone numbers first). There every value takes a keyed permutation of the format that leaves none in place: surrogates
+stay different from one another and from their own value, but may be another's. Elsewhere each draw is free with a chance of
+a half or more. Values that drew again are broadcast while fewer than ``BROADCAST``; beyond that they are joined by document.
 
 Defined results: null text stays null with no entities; texts without entities stay as they are; rows that repeat a
 doc_id are each rewritten; an empty table gives an empty one. Identifiers keep all their bits beside nulls. Extra columns
@@ -22,6 +25,7 @@ are left alone, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 import pandas as pd
@@ -34,6 +38,8 @@ from .kernels import apart_from
 from .shared import keep
 
 KEY, BROADCAST, ROUNDS = "shelfmark-surrogates", 50_000, 64
+#: The draw of values whose format is too full to draw from.
+FULL = -1
 # Titles by gender, and syllables by script.
 TITLES = {"m": "Mr Herr Señor Sr Monsieur Don Господин".split(), "f": "Mrs Ms Miss Frau Señora Sra Mme Madame Doña Госпожа".split(), "n": "Dr Prof Mx".split()}
 GENDER = {t: g for g, ts in TITLES.items() for t in ts}
@@ -42,6 +48,9 @@ LAST = {("latin", "m"): "n", ("latin", "f"): "a", ("latin", "n"): "s", ("cyrilli
 
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)")
+_IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{6,39}(?![\w:]|\.\w)")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_SSN = re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
 _CARD = re.compile(r"(?<![\dA-Za-z])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])")
 _PHONE = re.compile(r"(?<![\dA-Za-z+])(?:\+(\d{1,3})[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\) ?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\dA-Za-z])")
 _PART = "(?:[A-ZÀ-ÖØ-Þ](?:['’-]?[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+)+|[А-ЯЁ](?:-?[А-ЯЁ]?[а-яё]+)+)"
@@ -56,6 +65,30 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def _ip6(text: str) -> str | None:
+    """The address that a text of hexadecimal digits and colons is, in its short form; None for times, scopes and the like."""
+    if text.count(":") < 2 or not any(len(g) > 2 and _DIGIT.search(g) for g in text.split(":")):
+        return None
+    try:
+        return str(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+
+
+def _check97(country: str, rest: str) -> int:
+    """The two check digits of an account number."""
+    return 98 - int("".join(str(int(c, 36)) for c in f"{rest}{country}00")) % 97
+
+
+def _iban(m: re.Match) -> str | None:
+    value = m[0].replace(" ", "")
+    return value if 15 <= len(value) <= 34 and int(value[2:4]) == _check97(value[:2], value[4:]) else None
+
+
+def _is_ssn(digits: str) -> bool:
+    return _SSN.fullmatch(f"{digits[:3]}-{digits[3:5]}-{digits[5:]}") is not None
+
+
 def _phone(m: re.Match) -> str:
     digits = re.sub(r"\D", "", m[0])
     code = m[1] if m[1] and not m[0][len(m[1]) + 1].isdigit() else ""
@@ -71,13 +104,17 @@ def _given(part: str, title: str) -> str:
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normalised value) of each entity in order; of overlapping ones the earlier kind stays.
 
-    Kinds are email, ip, card, phone, and of names surname, given-m and given-f.
+    Kinds are email, ip6, ip, iban, ssn, card, phone, and of names surname, given-m and given-f.
     """
     kinds: list[list[tuple[int, int, str, str]]] = []
     if "@" in text:
         kinds.append([(*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text)])
     if _DIGIT.search(text):
+        if ":" in text:
+            kinds.append([(*m.span(), "ip6", v) for m in _IP6.finditer(text) if (v := _ip6(m[0]))])
         kinds.append([(*m.span(), "ip", m[0]) for m in _IP.finditer(text)])
+        kinds.append([(*m.span(), "iban", v) for m in _IBAN.finditer(text) if (v := _iban(m))])
+        kinds.append([(*m.span(), "ssn", re.sub(r"\D", "", m[0])) for m in _SSN.finditer(text)])
         kinds.append([(*m.span(), "card", re.sub(r"\D", "", m[0])) for m in _CARD.finditer(text)])
         kinds.append([(*m.span(), "phone", _phone(m)) for m in _PHONE.finditer(text)])
     titled, known = [], {}
@@ -102,19 +139,26 @@ def _number(key: str, *parts) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode(), key=key.encode()[:64], digest_size=16).digest(), "big")
 
 
-def permute(n: int, size: int, key: str, what: str) -> int:
-    """A keyed permutation of range(size): a Feistel network over the next power of four, walked until inside."""
+def permute(n: int, size: int, key: str, what: str, back: bool = False) -> int:
+    """A keyed permutation of range(size), or its inverse: a Feistel network over the next power of four, walked until inside."""
     half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
     while True:
         a, b = n >> half, n & mask
-        for i in range(6):
-            a, b = b, a ^ (_number(key, what, i, b) & mask)
+        for i in reversed(range(6)) if back else range(6):
+            a, b = (b ^ (_number(key, what, i, a) & mask), a) if back else (b, a ^ (_number(key, what, i, b) & mask))
         n = (a << half) | b
         if n < size:
             return n
 
 
+def drawn(n: int, size: int, key: str, what: str, draw: int) -> int:
+    """The permutation of a draw; that of ``FULL`` leaves nothing in place."""
+    if draw != FULL:
+        return permute(n, size, key, f"{what}:{draw}")
+    return permute((permute(n, size, key, what) + 1) % size, size, key, what, back=True)
+
+
 def _word(key: str, shape: str, *what) -> str:
     """Letters for letters and digits for digits, drawn by key."""
     n, out = _number(key, *what), []
@@ -131,7 +175,7 @@ def _word(key: str, shape: str, *what) -> str:
 
 
 def _digits(kind: str, value: str, key: str, draw: int) -> str:
-    return f"{permute(int(value), 10 ** len(value), key, f'{kind}{len(value)}:{draw}'):0{len(value)}d}"
+    return f"{drawn(int(value), 10 ** len(value), key, f'{kind}{len(value)}', draw):0{len(value)}d}"
 
 
 def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
@@ -148,8 +192,22 @@ def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
         n = 0
         for x in value.split("."):
             n = n * 256 + int(x)
-        n = permute(n, 1 << 32, key, f"ip:{draw}")
+        n = drawn(n, 1 << 32, key, "ip", draw)
         return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "ip6":
+        return str(ipaddress.IPv6Address(drawn(int(ipaddress.IPv6Address(value)), 1 << 128, key, "ip6", draw)))
+    if kind == "ssn":
+        value = _digits(kind, value, key, draw)
+        while not _is_ssn(value):  # walks on to the next that can be one, so different ones stay different
+            value = _digits(kind, value, key, draw)
+        return value
+    if kind == "iban":
+        country, rest = value[:2], value[4:]
+        letters = iter(_word(key, re.sub(r"\d", "", rest), "bank", re.sub(r"\d", "", rest)).upper())
+        digits = re.sub(r"\D", "", rest)
+        new = iter(_digits(f"{kind}{country}", digits, key, draw)) if digits else iter(())
+        rest = "".join(next(new) if c.isdigit() else next(letters) for c in rest)
+        return f"{country}{_check97(country, rest):02d}{rest}"
     if kind == "email":
         local, _, domain = value.partition("@")
         site, dot, top = domain.rpartition(".")
@@ -171,27 +229,50 @@ def _cased(new: str, shown: str) -> str:
 
 def laid_out(shown: str, kind: str, new: str) -> str:
     """The surrogate in the original's punctuation and letter case."""
-    if kind in ("card", "phone"):
+    if kind == "iban":
+        signs = iter(new)
+        return "".join(c if c == " " else next(signs) for c in shown)
+    if kind in ("card", "phone", "ssn"):
         digits = iter(new.replace(":", ""))
         return re.sub(r"\d", lambda _: next(digits), shown)
     if kind == "email":
         return "@".join(_cased(x, y) for x, y in zip(new.split("@"), shown.split("@"), strict=True))
-    return new if kind == "ip" else "-".join(_cased(x, y) for x, y in zip(new.split("-"), shown.split("-"), strict=True))
+    return new.upper() if kind == "ip6" and shown.isupper() else new if kind in ("ip", "ip6") else "-".join(_cased(x, y) for x, y in zip(new.split("-"), shown.split("-"), strict=True))
+
+
+#: Valid social security numbers.
+SSNS = (999 - 100 - 1) * 99 * 9999
+
+
+def layout(kind: str, value: str) -> str:
+    """What a surrogate shares with its value, of kinds of which a corpus may hold a large part; empty for the others."""
+    return f"{value.partition(':')[0]}:{len(value)}" if kind == "phone" else kind if kind in ("ip", "ssn") else ""
 
 
-def _exceptions(documents: DataFrame, key: str) -> DataFrame | None:
-    """Values that must draw again: kind, value, draw; None if there are none."""
+def room(kind: str, value: str) -> int:
+    """How many values there can be of a value's layout."""
+    return 10 ** len(value.partition(":")[2]) if kind == "phone" else {"ip": 1 << 32, "ssn": SSNS}.get(kind, 0)
+
+
+def _exceptions(documents: DataFrame, key: str) -> tuple[DataFrame | None, set[tuple[str, str]]]:
+    """Values that must draw again (kind, value, draw; None if there are none), and the layouts that are full.
+
+    Full layouts are collected: a country code has three digits at most and a full layout ten, so there are few.
+    """
     def find(batches):
         for b in batches:
             rows = {(k, v) for t in b["text"] if isinstance(t, str) for _, _, k, v in entities(t)}
-            yield pd.DataFrame(sorted(rows), columns=["kind", "value"])
+            yield pd.DataFrame([(k, v, layout(k, v), float(room(k, v))) for k, v in sorted(rows)], columns=["kind", "value", "layout", "room"])
 
     def draws(batches):
         for b in batches:
             yield b.assign(new=[surrogate(k, v, key, int(d)) for k, v, d in zip(b["kind"], b["value"], b["draw"], strict=True)])
 
     schema = "kind string, value string, draw int, new string"
-    values = keep(documents.select("text").mapInPandas(find, "kind string, value string").distinct(), "entities")
+    every = keep(documents.select("text").mapInPandas(find, "kind string, value string, layout string, room double").distinct(), "entities")
+    tight = every.filter("layout <> ''").groupBy("kind", "layout").agg(F.count("*").alias("n"), F.max("room").alias("room")).filter("4 * n > room").select("kind", "layout")
+    full = {(r["kind"], r["layout"]) for r in tight.collect()}
+    values = (every.join(F.broadcast(tight), ["kind", "layout"], "left_anti") if full else every).select("kind", "value")
     now = keep(values.withColumn("draw", F.lit(0)).mapInPandas(draws, schema), "surrogates")
     real = values.select("kind", F.col("value").alias("new")).withColumn("real", F.lit(True))
     for _ in range(ROUNDS):
@@ -200,15 +281,15 @@ def _exceptions(documents: DataFrame, key: str) -> DataFrame | None:
         judged = keep(judged.select("kind", "value", F.when(F.col("again"), F.col("draw") + 1).otherwise(F.col("draw")).alias("draw"), "new", "again"), "draws")
         if not judged.filter("again").take(1):
             found = now.filter("draw > 0").select("kind", "value", "draw")
-            return found if found.take(1) else None
+            return (found if found.take(1) else None), full
         redrawn = judged.filter("again").select("kind", "value", "draw").mapInPandas(draws, schema)
         now = keep(judged.filter("NOT again").select("kind", "value", "draw", "new").unionByName(redrawn), "surrogates")
-    raise ValueError(f"after {ROUNDS} draws some values still share surrogates: a format of digits has hardly any free ones left")
+    raise ValueError(f"after {ROUNDS} draws some values still share surrogates, which each draw leaves with a chance of a half at most")
 
 
 def replace(documents: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, n_entities, spans of the original, and the rewritten text of every row."""
-    again = _exceptions(documents, key)
+    again, full = _exceptions(documents, key)
     rows = documents.select("doc_id", "text")
     held = None
     if again is not None and again.count() <= BROADCAST:
@@ -238,7 +319,7 @@ def replace(documents: DataFrame, key: str = KEY) -> DataFrame:
                     draws = {tuple(x.split("\u0001")[:2]): int(x.split("\u0001")[2]) for x in own[i]}
                 pieces, at = [], 0
                 for a, e, k, v in found:
-                    pieces += [t[at:a], laid_out(t[a:e], k, surrogate(k, v, key, draws.get((k, v), 0)))]
+                    pieces += [t[at:a], laid_out(t[a:e], k, surrogate(k, v, key, FULL if full and (k, layout(k, v)) in full else draws.get((k, v), 0)))]
                     at = e
                 counts.append(len(found))
                 spans.append(",".join(f"{k}:{a}:{e}" for a, e, k, _ in found))
