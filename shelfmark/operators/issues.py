@@ -40,6 +40,15 @@ def of_scan(feed: DataFrame) -> DataFrame:
     return together(issue(feed.filter("state = 'held'"), "scan", "file-unsettled", "info", F.col("state"), "root_id", "rel_path"), issue(feed.filter("state = 'closed'"), "scan", "folder-closed", "error", F.col("state"), "root_id", "rel_path"))
 
 
+def of_sheets(unmatched: DataFrame, tracks: DataFrame, key: str) -> DataFrame:
+    """Sheets that speak for no file, numbers of songs that had to be mended, and songs whose sheet does not say where they begin."""
+    at = lambda what: F.concat(F.col(key).cast("string"), F.lit(": "), F.coalesce(F.col(what).cast("string"), F.lit("none")))
+    return together(
+        issue(unmatched, "cues", "cue-file-missing", "warn", F.col("reference"), rel_path="rel_path"), issue(tracks.filter("start_ms IS NULL"), "cues", "cue-start-missing", "error", at("place")),
+        issue(tracks.filter("NOT (track <=> ordinal)"), "cues", "cue-number-mended", "info", at("track")),
+    )
+
+
 def taken_in(ledger: DataFrame, found: DataFrame, stages: list[str]) -> DataFrame:
     """The ledger after ``stages`` ran: what they said before goes, also where they now say nothing."""
     return ledger.filter(~F.col("stage").isin(stages)).unionByName(found)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.names import artist_name, names_in_tag
 from shelfmark.operators import identity, issues, lists, nodes, segments, tags
-from shelfmark.plans import live, people
+from shelfmark.plans import live, people, upkeep
 from shelfmark.plans.albums import first_values
 from shelfmark.plans.library import FILES_SQL, Library
 from shelfmark.plans.views import Views
@@ -176,19 +176,32 @@ def stage_issues(v: Views) -> DataFrame:
     return issues.taken_in(old, found, ["artists", "playlists", "scan"])
 
 
-def planned_songs(v: Views) -> DataFrame:
-    """Parts as audio files; a third has a sheet that names its stem, half of these another with its very name; each sheet has three songs."""
+def _parts_with_sheets(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Parts as audio files; a third has a sheet that names its stem, half of these another with its very name."""
     p, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
     folder = F.concat("p_type", F.lit("/"), "p_brand")
     part = v.read("part")
     audio = part.select(p.alias("file_id"), folder.alias("folder"), F.concat(F.lit("p"), n, F.lit(".wav")).alias("name"), F.col("p_type").alias("album"), F.when(p % 4 == 0, F.col("p_name")).alias("tag_title"), F.lit(9000).alias("duration_ms"))
     named = F.when(p % 3 == 0, F.array(F.struct(p.alias("sheet_id"), F.concat(F.lit("P"), n, F.lit(".ape")).alias("reference")), F.struct((p + 100_000).alias("sheet_id"), F.concat(F.lit("P"), n, F.lit(".WAV")).alias("reference"))))
     sheets = part.select(p.alias("p"), folder.alias("folder"), F.inline(named)).filter("sheet_id = p OR p % 2 = 0").select("sheet_id", "folder", F.concat("folder", F.lit("/"), F.col("sheet_id").cast("string"), F.lit(".cue")).alias("rel_path"), "reference")
+    return sheets, audio
+
+
+def planned_songs(v: Views) -> DataFrame:
+    """Songs of all parts; each sheet has three."""
+    sheets, audio = _parts_with_sheets(v)
     k = F.explode(F.sequence(F.lit(1), F.lit(3)))
     tracks = sheets.select("sheet_id", F.col("reference").alias("file"), k.alias("place")).select("sheet_id", "file", "place", F.when(F.col("place") != 2, F.concat(F.lit("Song "), F.col("place").cast("string"))).alias("title"), ((F.col("place") - 1) * 1000).alias("start_ms"))
     return segments.songs(tracks, sheets, audio)
 
 
+def sheet_issues(v: Views) -> DataFrame:
+    """What the sheets' stage could not settle: sheets that speak for no part, and songs whose sheet repeats a number or gives no start."""
+    tracks = upkeep.cue_tracks(v)
+    tracks = tracks.withColumn("start_ms", F.when(F.col("album_id") % 9 > 0, F.col("start_ms")))
+    return issues.of_sheets(segments.unmatched(*_parts_with_sheets(v)), tracks, "album_id")
+
+
 def queries() -> dict:
     q = lambda text: TABLES_SQL + text
     record, song = ", ".join(_RECORD), ", ".join(_SONG)
@@ -229,5 +242,9 @@ def queries() -> dict:
           union all select 'artists', kind, 'warn', null, null, detail from ({people.PEOPLE_SQL} select 'artist-homonym' as kind, base as detail from artist where homonym and key = base union all select 'artist-transliteration', latin || ' / ' || key from twin)
           union all select 'playlists', 'playlist-entries-missing', 'warn', root_id, null, list_id || ': ' || missing from ({entry} select * from l where verdict = 'curated' and missing > 0)
           union all select 'scan', case state when 'held' then 'file-unsettled' else 'folder-closed' end, case state when 'held' then 'info' else 'error' end, root_id, rel_path, state from ({live.FEED_SQL} select * from feed where state in ('held', 'closed'))"""),
+        "sheet_issues": (sheet_issues, TABLES_SQL.replace("with ", "with recursive ", 1) + """, n as (select album_id, (ordinal - 1) % 3 + 1 as track, row_number() over (partition by album_id order by ordinal) as place from track),
+          r as (select album_id, place, track, [track] as taken from n where place = 1 union all select n.album_id, n.place, n.track, list_append(taken, case when list_contains(taken, n.track) then list_min(list_filter(range(n.place, 2 * n.place), lambda x: not list_contains(taken, x))) else n.track end) from r join n on n.album_id = r.album_id and n.place = r.place + 1)
+          select 'cues' as stage, 'cue-file-missing' as kind, 'warn' as severity, cast(null as bigint) as root_id, p_type || '/' || p_brand || '/' || p_partkey || '.cue' as rel_path, 'P' || p_partkey || '.ape' as detail from part where p_partkey % 6 = 0
+          union all select 'cues', 'cue-number-mended', 'info', null, null, album_id || ': ' || track from r where taken[place] <> track union all select 'cues', 'cue-start-missing', 'error', null, null, album_id || ': ' || place from n where album_id % 9 = 0"""),
         "numbered_records": (numbered_records, named + "select kind, id, base || ' (' || k || ')' as title from (select *, count(*) over (partition by artist, base, note) as c, row_number() over (partition by artist, base, note order by rel_path, id) as k from n) where c > 1"),
     }

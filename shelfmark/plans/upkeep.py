@@ -71,8 +71,12 @@ def _sheet(v: Views) -> DataFrame:
     return songs.select("album_id", F.concat(F.lit('﻿PERFORMER "Band"\r\nTITLE "Album"\r\nREM GENRE Rock\r\nFILE "a b.wav" WAVE\r\n'), "songs").alias("text"))
 
 
+def cue_tracks(v: Views) -> DataFrame:
+    return sheets.cue_tracks(_sheet(v), "album_id")
+
+
 def cue_sheets(v: Views) -> DataFrame:
-    return sheets.cue_tracks(_sheet(v), "album_id").drop("ordinal")
+    return cue_tracks(v).drop("ordinal")
 
 
 def playlist_files(v: Views) -> DataFrame:

@@ -1,6 +1,6 @@
 """Which sheet speaks for a file, where songs end, and where their titles come from."""
 
-from shelfmark.operators import segments
+from shelfmark.operators import issues, segments
 
 
 def tables(spark):
@@ -23,3 +23,13 @@ def test_songs(spark):
     assert got == {
         (10, 1): ("A", "cue", 0, 3000), (10, 2): ("image", "name", 3000, 4000), (10, 3): ("image", "name", 4000, 9000), (11, 1): ("Tagged", "tag", 0, 5000), (12, 1): ("Name", "name", None, None), (13, 1): ("Third", "tag", None, None),
     }
+
+
+def test_issues_of_sheets(spark):
+    _, sheets, audio = tables(spark)
+    tracks = spark.createDataFrame([(1, 1, 1, 1, 0), (1, 2, 1, 2, 5), (1, 3, None, 3, None)], "sheet_id int, place int, track int, ordinal int, start_ms int")
+    got = {(r["kind"], r["severity"], r["rel_path"], r["detail"]) for r in issues.of_sheets(segments.unmatched(sheets, audio), tracks, "sheet_id").collect()}
+    assert got == {
+        ("cue-file-missing", "warn", "f/a.cue", "image.flac"), ("cue-file-missing", "warn", "f/c.cue", "gone.wav"), ("cue-file-missing", "warn", "f/a2.cue", "image.ape"),
+        ("cue-number-mended", "info", None, "1: 1"), ("cue-number-mended", "info", None, "1: none"), ("cue-start-missing", "error", None, "1: 3"),
+    }
