@@ -14,10 +14,13 @@ def imported(entries: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame
 
     ``entries`` has root_id, list_id, position and path, null for streams; ``files`` has file_id, root_id and rel_path.
     A list whose files lie in one folder says what the folder says: it is redundant. Paths meet in letters of either case.
-    Entries keep their order, and files that are missing leave no gap.
+    Entries keep their order, and files that are missing leave no gap. Files are never sent whole to every task: they
+    meet entries where they were grouped, and entries without a path ask for none.
     """
-    known = files.groupBy("root_id", nocase_key("rel_path").alias("_key")).agg(F.min("file_id").alias("file_id"))
-    met = entries.withColumn("_key", nocase_key("path")).join(known, ["root_id", "_key"], "left")
+    known = files.groupBy("root_id", nocase_key("rel_path").alias("_key")).agg(F.min("file_id").alias("file_id")).hint("merge")
+    asked = entries.withColumn("_key", nocase_key("path"))
+    there = asked.filter("path IS NOT NULL").join(known, ["root_id", "_key"], "left")
+    met = there.unionByName(asked.filter("path IS NULL").withColumn("file_id", F.lit(None).cast(files.schema["file_id"].dataType)))
     on_disk = F.col("path").isNotNull()
     lists = met.groupBy("root_id", "list_id").agg(F.count("*").alias("entries"), F.countDistinct(F.when(on_disk, nocase_key(folder_of("path")))).alias("folders"), F.count_if(on_disk & F.col("file_id").isNull()).alias("missing"))
     told = lists.withColumn("verdict", F.when(F.col("folders") > 1, "curated").otherwise("redundant"))
