@@ -112,8 +112,8 @@ def artist_counts(v: Views, ids: list[int]) -> DataFrame:
 def artist_roles(v: Views) -> DataFrame:
     """What each artist is known as, sorted."""
     sung = v.track.join(v.file.select(F.col("id").alias("file_id")), "file_id", "left_semi").select(F.col("album_id").alias("id"))
-    said = v.release.select(F.col("id").alias("release_id"), F.col("artist_id").alias("said"))
-    with_songs = v.album.join(sung, "id", "left_semi").join(said, "release_id", "left").select(F.coalesce("said", "artist_id").alias("artist_id"))
+    said = v.release.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("group_id"), F.col("artist_id").alias("said"))  # by group: many albums have no release
+    with_songs = v.grouped.join(sung, "id", "left_semi").join(said, "group_id", "left").select(F.coalesce("said", "artist_id").alias("artist_id"))
     arms = [
         v.album.filter("artist_id IS NOT NULL").select("artist_id", F.lit("albumartist").alias("role")), v.release.select("artist_id", F.lit("albumartist").alias("role")),
         with_songs.filter("artist_id IS NOT NULL").select("artist_id", F.lit("artist").alias("role")),

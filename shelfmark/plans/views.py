@@ -27,6 +27,16 @@ class Views(Tables):
         """Albums with their group alone, where no representative is asked for: no window, no sort."""
         return self.album.withColumn("group_id", group_id())
 
+    @cached_property
+    def boxed(self) -> DataFrame:
+        """Albums as in ``grp`` with what their release says: b_root, b_path, b_title, b_artist, b_year, null where they have none.
+
+        Releases come by group, where albums are already; by release_id all albums without one would gather in one task.
+        """
+        said = {"root_id": "b_root", "rel_path": "b_path", "title": "b_title", "artist_id": "b_artist", "year": "b_year"}
+        boxes = self.release.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("group_id"), *(F.col(c).alias(b) for c, b in said.items()))
+        return self.grp.join(boxes, "group_id", "left")
+
     def totals(self, albums: DataFrame, tracks: DataFrame) -> DataFrame:
         """Songs and length of the groups of ``albums`` (id, group_id)."""
         per_album = tracks.groupBy("album_id").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms"))
@@ -53,13 +63,13 @@ class Views(Tables):
     @cached_property
     def records(self) -> DataFrame:
         """One row a record: what a release says before what its representative says. Nothing that needs its songs."""
-        g, r, a = self.grp.filter("rn = 1").alias("g"), self.release.alias("r"), self.artist.alias("a")
-        artist_id = F.coalesce("r.artist_id", "g.artist_id")
+        g, a = self.boxed.filter("rn = 1").alias("g"), self.artist.alias("a")
+        artist_id = F.coalesce("b_artist", "g.artist_id")
         return (
-            g.join(r, F.col("r.id") == F.col("g.release_id"), "left").join(a, F.col("a.id") == artist_id, "left")
+            g.join(a, F.col("a.id") == artist_id, "left")
             .select(
-                "g.id", "g.group_id", F.coalesce("r.root_id", "g.root_id").alias("root_id"), F.coalesce("r.rel_path", "g.rel_path").alias("rel_path"),
-                F.coalesce("r.title", "g.title").alias("title"), artist_id.alias("artist_id"), F.col("a.name").alias("artist_name"), F.coalesce("r.year", "g.year").alias("year"), "g.junk_reason",
+                "g.id", "g.group_id", F.coalesce("b_root", "g.root_id").alias("root_id"), F.coalesce("b_path", "g.rel_path").alias("rel_path"),
+                F.coalesce("b_title", "g.title").alias("title"), artist_id.alias("artist_id"), F.col("a.name").alias("artist_name"), F.coalesce("b_year", "g.year").alias("year"), "g.junk_reason",
             )
         )
 
@@ -85,14 +95,14 @@ class Views(Tables):
 
     def songs(self, tracks: DataFrame) -> DataFrame:
         """One row a song of ``tracks``; its artist's name is the representative's before the release's, its artist_id the reverse."""
-        t, f, ro, g, r = tracks.alias("t"), self.file.alias("f"), self.root.alias("ro"), self.grp.alias("g"), self.release.alias("r")
+        t, f, ro, g = tracks.alias("t"), self.file.alias("f"), self.root.alias("ro"), self.boxed.alias("g")
         a1, a2, x = self.artist.alias("a1"), self.artist.alias("a2"), self.file_genre.alias("x")
         on = lambda a, b: F.col(a) == F.col(b)
         return (
-            t.join(f, on("f.id", "t.file_id")).join(ro, on("ro.id", "f.root_id")).join(g, on("g.id", "t.album_id"), "left").join(r, on("r.id", "g.release_id"), "left")
-            .join(a1, on("a1.id", "g.artist_id"), "left").join(a2, on("a2.id", "r.artist_id"), "left").join(x, on("x.file_id", "t.file_id"), "left")
+            t.join(f, on("f.id", "t.file_id")).join(ro, on("ro.id", "f.root_id")).join(g, on("g.id", "t.album_id"), "left")
+            .join(a1, on("a1.id", "g.artist_id"), "left").join(a2, on("a2.id", "g.b_artist"), "left").join(x, on("x.file_id", "t.file_id"), "left")
             .select(
-                "t.id", "t.album_id", "t.ordinal", "t.duration_ms", "f.rel_path", F.col("ro.path").alias("root_path"), "g.rep_id", F.coalesce("r.title", "g.title").alias("album_title"),
-                F.coalesce("r.artist_id", "g.artist_id").alias("artist_id"), F.coalesce("a1.name", "a2.name").alias("artist_name"), F.coalesce("r.year", "g.year").alias("year"), F.col("x.value").alias("genre"), "g.junk_reason",
+                "t.id", "t.album_id", "t.ordinal", "t.duration_ms", "f.rel_path", F.col("ro.path").alias("root_path"), "g.rep_id", F.coalesce("g.b_title", "g.title").alias("album_title"),
+                F.coalesce("g.b_artist", "g.artist_id").alias("artist_id"), F.coalesce("a1.name", "a2.name").alias("artist_name"), F.coalesce("g.b_year", "g.year").alias("year"), F.col("x.value").alias("genre"), "g.junk_reason",
             )
         )
