@@ -72,8 +72,9 @@ def orphans(v: Views) -> DataFrame:
 
 
 def unused(artists: DataFrame, *references: DataFrame) -> DataFrame:
-    """``artists`` (id) that none of ``references`` (artist_id) names."""
+    """``artists`` (id) that none of ``references`` (artist_id) names; each name counts once before it is sent anywhere."""
     for used in references:
+        used = used.filter("artist_id IS NOT NULL").distinct()
         artists = artists.join(used, F.col("id") == F.col("artist_id"), "left_anti")
     return artists
 

@@ -26,3 +26,13 @@ def test_records_without_a_release_gather_nowhere(spark):
     v = Views(spark, SF)
     for df in (v.records, v.song_select, v.album_select, albums.artist_roles(v)):
         assert not [x for x in _plan(df).split("\n") if "Join" in x and "release_id" in x]
+
+
+def test_references_of_artists_count_once(spark):
+    """What is sent to every task, or gathered by name, is each name once and not each row."""
+    from shelfmark.plans.collections import unused
+
+    artists, rows = spark.range(4).selectExpr("cast(id as int) as id"), spark.range(1000).selectExpr("cast(if(id % 3 = 0, null, id % 3) as int) as artist_id")
+    left = unused(artists, rows)
+    assert "HashAggregate(keys=[artist_id" in _plan(left)
+    assert sorted(r[0] for r in left.collect()) == [0, 3]
