@@ -17,9 +17,10 @@ from pyspark.sql.types import DataType, LongType, StringType, StructField, Struc
 
 from shelfmark.operators.search import K1, B, words_of
 from shelfmark.sources.buckets import Buckets
+from shelfmark.sources.kept import stage
 
-#: Buckets of words and of rows; leading characters that decide a word's bucket; files of a bucket at most.
-BUCKETS, HEAD, FILES = 64, 2, 1
+#: Buckets of words and of rows; leading characters that decide a word's bucket; files of a bucket at least, and words from which on it has more.
+BUCKETS, HEAD, FILES, FILE_ROWS = 64, 2, 1, 2_000_000
 
 
 class SearchIndex:
@@ -35,22 +36,24 @@ class SearchIndex:
 
     def update(self, rows: DataFrame, key: str, columns: list[str], version: int, gone: DataFrame | None = None) -> None:
         """Put ``rows`` in, in place of what their keys had, and take the keys of ``gone`` (``key``) out. Versions rise; one may be repeated."""
-        said = rows.select(F.col(key).alias("key"), words_of(F.concat_ws(" ", *columns)).alias("w")).withColumn("length", F.size("w").cast("bigint"))
-        new = said.select("key", "length", F.explode("w").alias("word")).groupBy("word", "key", "length").agg(F.count("*").alias("hits"))
-        new = new.persist()
-        forward = said.select("key", "length", F.array_distinct(F.transform("w", self.bucket_of)).alias("buckets")).persist()
-        changed = forward.select("key") if gone is None else forward.select("key").union(gone.select(F.col(key).alias("key"))).distinct()
+        cut = rows.select(F.col(key).alias("key"), words_of(F.concat_ws(" ", *columns)).alias("w"))
+        said = stage(cut, "said").withColumn("length", F.size("w").cast("bigint"))  # texts are cut once, and words are counted from there
+        forward = said.select("key", "length", F.array_distinct(F.transform("w", self.bucket_of)).alias("buckets"))
+        changed = said.select("key") if gone is None else said.select("key").union(gone.select(F.col(key).alias("key"))).distinct()
         places = self.rows.touched(changed)
         was = self.rows.read(version, places)
         lost = {r[0] for r in was.join(changed, "key", "left_semi").select(F.explode("buckets")).distinct().collect()}  # at most n
-        touched = lost | {r[0] for r in forward.select(F.explode("buckets")).distinct().collect()}
+        each = said.select("key", "length", F.explode("w").alias("word"))
+        new = {r[0]: r[1] for r in each.groupBy(self.bucket_of(F.col("word"))).count().collect()}  # at most n
+        touched = lost | set(new)
         names = self.postings.schema.fieldNames()
         kept = self.postings.read(version, touched).join(changed, "key", "left_anti").select(*names)
-        self.postings.write(kept.unionByName(new.select(*names)), version, touched, self.files)
+        old = {r[0]: r[1] for r in kept.groupBy(self.bucket_of(F.col("word"))).count().collect()}
+        files = {b: max(self.files, -(-(new.get(b, 0) + old.get(b, 0)) // FILE_ROWS)) for b in touched}
+        once = each.withColumn("hits", F.lit(1).cast("bigint")).select(*names)
+        self.postings.write(kept.unionByName(once), version, touched, files, ["word", "key", "length"], "hits")
         self.rows.write(was.join(changed, "key", "left_anti").unionByName(forward, allowMissingColumns=True), version, places)
         self.totals.write(self.rows.read().agg(F.count("*").alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")), version, {0})
-        new.unpersist()
-        forward.unpersist()
 
     def read_for(self, words: list[str]) -> DataFrame:
         """The postings in the buckets that ``words``, the last as a prefix, can lie in."""

@@ -89,11 +89,10 @@ def playlist_files(v: Views) -> DataFrame:
 
 def _searched(v: Views) -> DataFrame:
     """What search looks into: a song's title, its artist and its record."""
-    s = v.track.join(v.file.select(F.col("id").alias("file_id"), "rel_path"), "file_id").join(v.grp.select(F.col("id").alias("album_id"), "group_id", "rep_id", "artist_id", F.col("title").alias("own"), "release_id"), "album_id", "left")
-    r = v.release.select(F.col("id").alias("release_id"), F.col("title").alias("said"), F.col("artist_id").alias("r_artist"))
-    a = v.artist.select(F.col("id").alias("a_id"), F.col("name").alias("artist"))
-    s = s.join(r, "release_id", "left").withColumn("by", F.coalesce("artist_id", "r_artist")).join(a, F.col("by") == F.col("a_id"), "left")
-    return s.select("id", "group_id", "rep_id", F.col("by").alias("artist_id"), F.col("rel_path").alias("title"), F.coalesce("artist", F.lit("")).alias("artist"), F.coalesce("said", "own", F.lit("")).alias("album"))
+    g = v.boxed.select(F.col("id").alias("album_id"), "group_id", "rep_id", F.coalesce("artist_id", "b_artist").alias("by"), F.coalesce("b_title", "title").alias("record"))
+    s = v.track.join(v.file.select(F.col("id").alias("file_id"), "rel_path"), "file_id").join(g, "album_id", "left")
+    s = s.join(v.artist.select(F.col("id").alias("a_id"), F.col("name").alias("artist")), F.col("by") == F.col("a_id"), "left")
+    return s.select("id", "group_id", "rep_id", F.col("by").alias("artist_id"), F.col("rel_path").alias("title"), F.coalesce("artist", F.lit("")).alias("artist"), F.coalesce("record", F.lit("")).alias("album"))
 
 
 WORDS = ["customer", "ec"]
@@ -115,7 +114,8 @@ def song_index(v: Views) -> SearchIndex:
 def _hits(v: Views) -> DataFrame:
     """Songs that the index finds, with their record and artist."""
     found = song_index(v).search(WORDS).withColumnRenamed("key", "id")
-    return _searched(v).select("id", "group_id", "rep_id", "artist_id").join(found, "id")
+    albums = v.boxed.select(F.col("id").alias("album_id"), "group_id", "rep_id", F.coalesce("artist_id", "b_artist").alias("artist_id"))
+    return v.track.select("id", "album_id").join(found, "id").join(albums, "album_id", "left")
 
 
 def search_songs(v: Views) -> DataFrame:

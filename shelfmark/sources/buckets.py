@@ -49,14 +49,22 @@ class Buckets:
         """The buckets of ``rows``: at most ``n``."""
         return {r[0] for r in rows.select(self.bucket).distinct().collect()}
 
-    def write(self, rows: DataFrame, version: int, buckets: set[int], files: int = 1) -> None:
-        """Make ``rows`` all there is of ``buckets``, as ``version``; each bucket is at most so many files."""
+    def write(self, rows: DataFrame, version: int, buckets: set[int], files: int | dict[int, int] = 1, keys: list[str] | None = None, added: str | None = None) -> None:
+        """Make ``rows`` all there is of ``buckets``, as ``version``; each bucket is at most so many ``files``, for all alike or by bucket.
+
+        Rows of equal ``keys``, if given, become one, with the sum of ``added``. What goes to a file meets in one task, so large buckets take several.
+        """
         if not buckets:
             return
-        placed = rows.select(*self.schema.fieldNames(), self.bucket.alias("bucket"))
-        part = F.pmod(F.xxhash64(*self.schema.fieldNames()), F.lit(files))
-        dealt = placed.repartition(len(buckets) * files, "bucket", part) if files > 1 else placed.repartition(len(buckets), "bucket")
-        dealt.sortWithinPartitions("bucket", *self.order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={version}")
+        names = self.schema.fieldNames()
+        most = {b: max(1, files if isinstance(files, int) else files.get(b, 1)) for b in sorted(buckets)}
+        first = {b: sum(list(most.values())[:i]) for i, b in enumerate(most)}
+        of = lambda d: F.element_at(F.create_map(*(F.lit(x) for pair in d.items() for x in pair)), F.col("bucket"))
+        part = F.pmod(F.xxhash64(*(keys or names)), of(most).cast("bigint")).cast("int")
+        dealt = rows.select(*names, self.bucket.alias("bucket")).withColumn("_file", of(first) + part).repartition(sum(most.values()), "_file")
+        if keys:
+            dealt = dealt.groupBy("_file", "bucket", *keys).agg(F.sum(added).alias(added))
+        dealt.select(*names, "bucket").sortWithinPartitions("bucket", *self.order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={version}")
         fs, path, _ = self._files()
         for bucket in buckets:  # a bucket that lost its last row is empty, not what it was
             empty = path(f"{self.path}/version={version}/bucket={bucket}")

@@ -36,3 +36,24 @@ def test_references_of_artists_count_once(spark):
     left = unused(artists, rows)
     assert "HashAggregate(keys=[artist_id" in _plan(left)
     assert sorted(r[0] for r in left.collect()) == [0, 3]
+
+
+def test_a_large_bucket_of_words_is_several_files(spark, tmp_path, monkeypatch):
+    from shelfmark.operators import search_index
+
+    monkeypatch.setattr(search_index, "FILE_ROWS", 10, raising=False)
+    index = search_index.SearchIndex(spark, str(tmp_path))
+    index.update(spark.range(100).selectExpr("id", "'same word word' as text"), "id", ["text"], 0)
+    files = list((tmp_path / "postings").glob("version=0/bucket=*/*.parquet"))
+    assert len(files) > 4 and len({f.parent for f in files}) == 2
+    assert {(r["hits"], r["length"]) for r in index.postings.read().filter("word = 'word'").collect()} == {(2, 3)}
+    assert index.search(["same", "wor"]).count() == 100
+
+
+def test_sheets_are_read_within_their_rows(spark):
+    from shelfmark.sources.sheets import cue_tracks
+
+    text = 'PERFORMER Band\nTITLE All\nFILE "a.wav" WAVE\nTRACK 01 AUDIO\nTITLE One\nINDEX 00 00:01:00\nINDEX 01 00:02:00\nTRACK x\nFILE "b.wav" WAVE\nTRACK 01 AUDIO\nPERFORMER Guest\nINDEX 01 00:00:00'
+    found = cue_tracks(spark.createDataFrame([(1, text), (2, None), (3, "TITLE none")], "id int, text string"), "id")
+    assert "Exchange" not in _plan(found)
+    assert [tuple(r) for r in found.orderBy("place").collect()] == [(1, 1, 1, 1, "One", "Band", "All", "a.wav", 1000, 2000), (1, 2, 1, 2, None, "Guest", "All", "b.wav", None, 0)]
