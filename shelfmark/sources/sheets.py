@@ -1,7 +1,4 @@
-"""Cue sheets and playlist files as tables: texts are cut into lines, and what a line stands under is carried down by windows.
-
-A sheet is a small text; windows are partitioned by sheet.
-"""
+"""Cue sheets and playlist files as tables: texts are cut into lines. A sheet is a small text, and read within its row."""
 
 from __future__ import annotations
 
@@ -11,10 +8,15 @@ from pyspark.sql import functions as F
 from shelfmark.functions.expressions import cue_time, resolved, unique_ordinals
 
 
-def lines(sheets: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, said): numbered lines without a byte order mark and outer white space."""
+def _cut(text: str) -> F.Column:
+    """The lines of a text without a byte order mark and outer white space."""
     cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "^\ufeff", ""), r"\r\n|\n|\r")
-    return sheets.select(key, F.posexplode(cut).alias("line", "said")).withColumn("said", F.btrim(F.col("said"), F.lit(" \t\f\u00a0")))
+    return F.transform(cut, lambda x: F.btrim(x, F.lit(" \t\f\u00a0")))
+
+
+def lines(sheets: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, said): numbered lines."""
+    return sheets.select(key, F.posexplode(_cut(text)).alias("line", "said"))
 
 
 def _unquoted(c) -> F.Column:
@@ -27,18 +29,26 @@ def cue_tracks(sheets: DataFrame, key: str, text: str = "text") -> DataFrame:
     Numbers repeat where a sheet names several files, each with a first track. Songs are told apart by their place;
     ``ordinal`` is the number where it is the first to claim it, else the next that is free.
     """
-    told = lines(sheets, key, text).select(key, "line", F.upper(F.regexp_extract("said", r"^(\S+)", 1)).alias("word"), F.regexp_extract("said", r"^\S+\s+(.*)$", 1).alias("rest"))
-    down = Window.partitionBy(key).orderBy("line")
-    number = F.when(F.col("word") == "TRACK", F.regexp_extract("rest", r"^(\d+)", 1).try_cast("int"))
-    file = F.when(F.col("word") == "FILE", _unquoted(F.regexp_replace("rest", r"\s+\S+$", "")))
-    told = told.withColumn("_n", number).withColumn("place", F.count("_n").over(down)).withColumn("file", F.last(file, True).over(down))
-    said = lambda word: F.min_by(F.when(F.col("word") == word, _unquoted(F.col("rest"))), F.when(F.col("word") == word, F.col("line")))
-    index = lambda n: F.min(F.when((F.col("word") == "INDEX") & F.col("rest").rlike(rf"^0*{n}\s"), cue_time(F.regexp_extract("rest", r"\s(\S+)$", 1))))
-    sheet = told.filter("place = 0").groupBy(key).agg(said("PERFORMER").alias("sheet_performer"), said("TITLE").alias("sheet_title"))
-    tracks = told.filter("place > 0").groupBy(key, "place").agg(F.max("_n").alias("track"), said("TITLE").alias("title"), said("PERFORMER").alias("performer"), F.max_by("file", F.when(F.col("word") == "INDEX", F.col("line")).otherwise(-1)).alias("file"), index(0).alias("pregap_ms"), index(1).alias("start_ms"))
-    listed = tracks.groupBy(key).agg(unique_ordinals(F.transform(F.array_sort(F.collect_list(F.struct("place", "track"))), lambda x: x["track"])).alias("ordinals"))  # one sheet's numbers
-    both = tracks.join(listed, key).join(sheet, key, "left")
-    return both.select(key, F.col("place").cast("int").alias("place"), "track", F.get("ordinals", (F.col("place") - 1).cast("int")).alias("ordinal"), "title", F.coalesce("performer", "sheet_performer").alias("performer"), "sheet_title", "file", "pregap_ms", "start_ms")
+    said = F.transform(_cut(text), lambda x: F.struct(F.upper(F.regexp_extract(x, r"^(\S+)", 1)).alias("word"), F.regexp_extract(x, r"^\S+\s+(.*)$", 1).alias("rest")))
+    number = lambda x: F.when(x["word"] == "TRACK", F.regexp_extract(x["rest"], r"^(\d+)", 1).try_cast("int"))
+    first = lambda rows, word: _unquoted(F.get(F.filter(rows, lambda x: x["word"] == word), F.lit(0))["rest"])
+    told = sheets.select(key, F.filter(said, lambda x: x["word"].isin("TRACK", "FILE", "TITLE", "PERFORMER", "INDEX")).alias("said"))
+    of = lambda what: F.filter(F.transform("said", what), lambda x: x.isNotNull())
+    told = told.withColumn("starts", of(lambda x, i: F.when(number(x).isNotNull(), F.struct(i.alias("at"), number(x).alias("track")))))
+    told = told.withColumn("files", of(lambda x, i: F.when(x["word"] == "FILE", F.struct(i.alias("at"), _unquoted(F.regexp_replace(x["rest"], r"\s+\S+$", "")).alias("file")))))
+    head = F.slice("said", 1, F.coalesce(F.get("starts", F.lit(0))["at"], F.size("said")))
+    songs = F.transform("starts", lambda s, i: F.struct(s["at"].alias("at"), s["track"].alias("track"), F.slice("said", s["at"] + 1, F.coalesce(F.get("starts", i + 1)["at"], F.size("said")) - s["at"]).alias("rows")))
+    ordinals = unique_ordinals(F.transform("starts", lambda s: s["track"]))
+    each = told.select(key, "files", first(head, "PERFORMER").alias("by"), first(head, "TITLE").alias("sheet_title"), ordinals.alias("ordinals"), F.posexplode(songs).alias("i", "song"))
+    rows = F.col("song.rows")
+    last = F.size(rows) - F.array_position(F.reverse(F.transform(rows, lambda x: x["word"])), "INDEX").cast("int")  # its last INDEX; its last row where it has none
+    last = F.col("song.at") + F.when(F.exists(rows, lambda x: x["word"] == "INDEX"), last).otherwise(F.size(rows) - 1)
+    file = F.try_element_at(F.filter("files", lambda f: f["at"] <= last), F.lit(-1))["file"]
+    index = lambda n: F.array_min(F.transform(F.filter(rows, lambda x: (x["word"] == "INDEX") & x["rest"].rlike(rf"^0*{n}\s")), lambda x: cue_time(F.regexp_extract(x["rest"], r"\s(\S+)$", 1))))
+    return each.select(
+        key, (F.col("i") + 1).alias("place"), "song.track", F.get("ordinals", F.col("i")).alias("ordinal"), first(rows, "TITLE").alias("title"), F.coalesce(first(rows, "PERFORMER"), "by").alias("performer"),
+        "sheet_title", file.alias("file"), index(0).alias("pregap_ms"), index(1).alias("start_ms"),
+    )
 
 
 def playlist_entries(lists: DataFrame, key: str, folder: str, text: str = "text") -> DataFrame:
