@@ -106,7 +106,9 @@ def artists(root: DataFrame, file: DataFrame, album: DataFrame, artist: DataFram
     heads = _lines(owners, ARTISTS, head, unnamed=at["unnamed"], artist_key=at["artist_key"], level=F.lit(0), ordinal=F.col("artist_id"))
 
     songs = track.groupBy(F.col("album_id").alias("id")).agg(F.count("*").alias("n"), F.bool_or(F.col("start_ms").isNotNull()).alias("split"))
-    told = placed.join(songs, "id", "left").join(release.select(F.col("id").alias("release_id"), F.col("title").alias("box")), "release_id", "left").join(F.broadcast(marked(root)), "root_id", "left")
+    group = F.coalesce(F.concat(F.lit("r"), _text("release_id")), F.concat(F.lit("a"), _text("id")))  # albums without a release meet nothing, each in a place of its own
+    boxes = release.select(F.concat(F.lit("r"), _text("id")).alias("_group"), F.col("title").alias("box"))
+    told = placed.join(songs, "id", "left").withColumn("_group", group).join(boxes, "_group", "left").join(F.broadcast(marked(root)), "root_id", "left")
     n = F.coalesce("n", F.lit(0))
     disc, box = F.concat(F.lit("  disc "), _text("disc_number")), F.concat(F.lit(" of "), F.col("box"))
     facts = F.concat(_text(n), F.when(n == 1, " track").otherwise(" tracks"), F.when(F.col("split"), "  split").otherwise(""), F.coalesce(disc, F.lit("")), F.coalesce(box, F.lit("")))
