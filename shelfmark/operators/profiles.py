@@ -1,7 +1,7 @@
 """What clients can play: their capabilities as rules in data, asked of every song.
 
 A client states its capabilities as one JSON document. The documents of all clients asked for are one constant, read
-once when the plan is made; every song is then told beside each client without a join or shuffle. A rule on a value that
+once when the plan is made; every song is then told beside each client without a join. A rule on a value that
 a song lacks, or that cannot be understood, is neither met nor broken. Of each profile the first rule that the song
 breaks is the reason; of the profiles to convert to, the first that can be made is the target.
 """
@@ -118,7 +118,10 @@ def decisions(songs: DataFrame, clients: DataFrame) -> DataFrame:
     known = F.from_json(F.lit(json.dumps(bodies)), f"array<{CLIENT}>")
     song = {c: F.col(c) for c in ("container", "codec", "channels", "bitrate", "samplerate")} | {"container": container_of(F.col("container"))}
     client = F.col("_client")
-    rows = songs.select("id", "container", "codec", "channels", "bitrate", "samplerate").withColumn("_client", F.explode(known)).withColumn("_broken", broken_rule(client, song))
+    # songs are few bytes and much work: dealt out first, as one block of a file would be one task's
+    tasks = int(songs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = songs.select("id", "container", "codec", "channels", "bitrate", "samplerate").repartition(tasks, "id")
+    rows = dealt.withColumn("_client", F.explode(known)).withColumn("_broken", broken_rule(client, song))
     direct = some(client["directPlayProfiles"], "struct<containers: array<string>, audioCodecs: array<string>, protocols: array<string>, maxAudioChannels: int>")
     told = rows.withColumn("_why", F.transform(direct, lambda p: refusal(p, client, song, F.col("_broken"))))
     plays = F.exists("_why", lambda x: x.isNull())

@@ -57,3 +57,9 @@ def test_sheets_are_read_within_their_rows(spark):
     found = cue_tracks(spark.createDataFrame([(1, text), (2, None), (3, "TITLE none")], "id int, text string"), "id")
     assert "Exchange" not in _plan(found)
     assert [tuple(r) for r in found.orderBy("place").collect()] == [(1, 1, 1, 1, "One", "Band", "All", "a.wav", 1000, 2000), (1, 2, 1, 2, None, "Guest", "All", "b.wav", None, 0)]
+
+
+def test_songs_are_dealt_out_before_clients_are_asked(spark):
+    from shelfmark.plans import playing
+
+    assert "REPARTITION_BY_NUM" in _plan(playing.play_decisions(Views(spark, SF)))
