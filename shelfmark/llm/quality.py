@@ -4,8 +4,9 @@ Each labeller is a rule over a whole text that votes good (1), bad (-1) or nothi
 corpus is how often each pattern of votes occurs, counted over all documents; there are at most ``3 ** len(LABELLERS)``
 patterns, whatever the input. From these counts expectation-maximisation finds every labeller's chance of each vote on
 good and bad documents, and so each pattern's posterior. The scorer is logistic, over hashed byte trigrams and word
-shapes averaged over the document; it is fitted to the posteriors of a bounded sample of ``SAMPLE`` documents of
-smallest hash and applied to every document. The threshold keeps ``RECALL`` of the sample's documents whose posterior is good.
+shapes averaged over the document, and learns the posteriors of all documents: votes and features of every row are written
+once, and each of at most ``ROUNDS`` Newton steps is one pass over them that sums loss, gradient and curvature, whose size
+is fixed. The threshold, a multiple of ``1 / GRID``, keeps ``RECALL`` of all documents whose posterior is good.
 
 Defined results: null, empty and blank texts get no votes, score 0 and are not kept; rows that repeat a doc_id are
 each scored; with no documents, or none of one kind, the prior stands and the result is still defined; an empty table
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .arrow import beside, texts_of
+from .shared import keep, partitions
 
-SAMPLE, STEPS, RECALL, MISFIRE = 3000, 150, 0.998, 0.0005
-TRIGRAMS, SHAPES, RATIOS = 1 << 11, 1 << 6, 1 << 6
+ROUNDS, RIDGE, RECALL, GRID, MISFIRE = 10, 1e-6, 0.998, 1 << 16, 0.0005
+TRIGRAMS, SHAPES, RATIOS = 1 << 8, 1 << 6, 1 << 6
 FEATURES = TRIGRAMS + SHAPES + RATIOS
 
 
@@ -119,61 +121,119 @@ def features(texts):
         yield first, np.concatenate(ids), np.concatenate(weights), np.concatenate(docs), n
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic weights for soft labels by Adam over the whole sample."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    m, v, rate = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0.3
-    balance = np.where(y > 0.5, 0.5 / max(y.mean(), 0.02), 0.5 / max(1 - y.mean(), 0.02))
-    for t in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        d = balance * (p - y) / len(y)
-        g = np.append(x.T @ d + 1e-6 * w, d.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, b
-
-
-def train(documents: DataFrame, sample: int = SAMPLE):
-    """Posterior by pattern, and the scorer's weights, bias and threshold."""
-    seen = documents.select("text").mapInPandas(lambda bs: (pd.DataFrame({"votes": [votes(t) for t in b["text"]]}) for b in bs), "votes string")
-    patterns = {r["votes"]: r["n"] for r in seen.groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    posterior, _, prior = estimate(patterns)
-
-    def featured(batches):
+def _chance(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def observed(documents: DataFrame) -> DataFrame:
+    """doc_id, votes and features of every row, the features as 16-bit floats."""
+
+    def run(batches):
+        for b in batches:
+            texts, rows = texts_of(b), []
+            for _, ids, weights, docs, n in features(texts):
+                rows += [r.tobytes() for r in np.bincount(docs * FEATURES + ids, weights=weights, minlength=n * FEATURES).reshape(n, FEATURES).astype(np.float16)]
+            yield beside(b, ["doc_id"], votes=([votes(t) for t in texts], pa.string()), x=(rows, pa.binary()))
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return keep(documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, votes string, x binary"), "observed")
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """Features of a batch's rows, and a one for the bias."""
+    x = np.ones((batch.num_rows, FEATURES + 1), dtype=np.float32)
+    x[:, :-1] = np.frombuffer(b"".join(batch.column("x").to_pylist()), dtype=np.float16).reshape(batch.num_rows, FEATURES)
+    return x
+
+
+def _sums(rows: DataFrame, posterior: dict[str, float], balance: tuple[float, float], w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and curvature at ``w`` over all rows that have votes; a bad document weighs ``balance[0]``, a good one ``balance[1]``."""
+
+    def add(batches):
+        loss, gradient, curvature = 0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))
         for b in batches:
-            x = np.zeros((len(b), FEATURES), dtype=np.float32)
-            for first, ids, weights, docs, n in features(b["text"]):
-                x[first : first + n] = np.bincount(docs * FEATURES + ids, weights=weights, minlength=n * FEATURES).reshape(n, FEATURES)
-            yield pd.DataFrame({"x": [r.astype(np.float16).tobytes() for r in x], "votes": [votes(t) for t in b["text"]]})
-
-    chosen = documents.select("text", F.xxhash64("text").alias("h")).filter(F.length("text") > 0).select("h", "text")
-    edge = chosen.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    rows = chosen.filter(F.col("h") <= edge).dropDuplicates(["h"]).select("text").mapInPandas(featured, "x binary, votes string").collect() if edge is not None else []
-    rows = sorted((r["votes"], bytes(r["x"])) for r in rows if r["votes"])
-    if not rows:
-        return posterior, np.zeros(FEATURES), 0.0, 0.5
-    x = np.stack([np.frombuffer(r[1], dtype=np.float16) for r in rows]).astype(np.float32)
-    y = np.array([posterior.get(r[0], prior) for r in rows])
-    w, b = _fit(x, y)
-    scores = np.sort(1 / (1 + np.exp(-np.clip(x[y > 0.5] @ w + b, -30, 30))))
-    return posterior, w, float(b), float(min(0.5, scores[int((1 - RECALL) * len(scores))])) if len(scores) else 0.5
+            y = np.array([posterior.get(v, -1.0) for v in b.column("votes").to_pylist()])
+            x, y = _matrix(b)[y >= 0], y[y >= 0]
+            z, weight = x @ w, np.where(y > 0.5, balance[1], balance[0])
+            p = _chance(z)
+            loss += float(weight @ (np.logaddexp(0, z) - y * z))
+            gradient += (weight * (p - y)) @ x
+            curvature += (x * (weight * p * (1 - p)).astype(np.float32)[:, None]).T @ x
+        rows = [np.append(loss, gradient), *(curvature[i, i:] for i in range(len(w)))]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["i", "sums"])
+
+    def either(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b["i"], b["sums"], strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(x)
+        yield pd.DataFrame({"i": list(sums), "sums": [x.tobytes() for x in sums.values()]}).astype({"i": "int32"})
+
+    schema = "i int, sums binary"
+    n = partitions(rows.sparkSession)
+    found = {r["i"]: np.frombuffer(bytes(r["sums"])) for r in rows.select("votes", "x").mapInArrow(add, schema).repartition(min(n, 16), "i").mapInPandas(either, schema).collect()}
+    curvature = np.zeros((len(w), len(w)))
+    for i in range(len(w)):
+        curvature[i, i:] = curvature[i:, i] = found[i + 1]
+    return float(found[0][0]), found[0][1:], curvature
+
+
+def _fit(rows: DataFrame, posterior: dict[str, float], n: dict[str, int]) -> np.ndarray:
+    """Logistic weights for soft labels, the bias last: Newton steps, halved where the loss would rise, until they gain nothing."""
+    total = sum(n[v] for v in posterior)
+    mean = sum(n[v] * y for v, y in posterior.items()) / total
+    balance, ridge = (0.5 / max(1 - mean, 0.02), 0.5 / max(mean, 0.02)), np.append(np.full(FEATURES, RIDGE * total), 1e-9 * total)
+    best, w, step = None, np.zeros(FEATURES + 1), None
+    for _ in range(ROUNDS):
+        loss, gradient, curvature = _sums(rows, posterior, balance, w)
+        loss, gradient = loss + float(ridge @ (w * w)) / 2, gradient + ridge * w
+        if best is None or loss < best[0]:
+            gain = np.inf if best is None else best[0] - loss
+            best = loss, w
+            if gain < 1e-4 * loss:
+                break
+            step = np.linalg.solve(curvature + np.diag(ridge), gradient)
+        else:
+            step = step / 4
+        w = best[1] - step
+    return np.round(best[1], 6)  # sums of tasks meet in any order
+
+
+def train(rows: DataFrame) -> tuple[dict[str, float], np.ndarray, float]:
+    """Posterior by pattern, and the scorer's weights (the bias last) and threshold, from what was ``observed``."""
+    n = {r["votes"]: r["n"] for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    posterior, _, _ = estimate(n)
+    if not posterior:
+        return posterior, np.zeros(FEATURES + 1), 0.5
+    w = _fit(rows, posterior, n)
+
+    def binned(batches):
+        counts = np.zeros(GRID + 1, dtype=np.int64)
+        for b in batches:
+            good = np.array([posterior.get(v, 0.0) > 0.5 for v in b.column("votes").to_pylist()], dtype=bool)
+            counts += np.bincount((_chance(_matrix(b)[good] @ w) * GRID).astype(np.int64), minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], names=["at", "n"])
+
+    found = rows.select("votes", "x").mapInArrow(binned, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").collect()
+    if not found:
+        return posterior, w, 0.5
+    below = np.cumsum([0, *(r["n"] for r in found)])
+    return posterior, w, min(0.5, found[int(np.searchsorted(below, (1 - RECALL) * below[-1], side="right")) - 1]["at"] / GRID)
 
 
 def score(documents: DataFrame) -> DataFrame:
     """doc_id, votes, weak posterior, score and whether to keep, of every row."""
-    held = documents.sparkSession.sparkContext.broadcast(train(documents))
+    rows = observed(documents)
+    held = documents.sparkSession.sparkContext.broadcast(train(rows))
 
     def run(batches):
-        posterior, w, bias, threshold = held.value
-        for batch in batches:
-            out, texts = np.zeros(batch.num_rows), texts_of(batch)
-            for first, ids, weights, docs, n in features(texts):
-                out[first : first + n] = np.bincount(docs, weights=weights * w[ids], minlength=n)
-            said = [votes(t) for t in texts]
+        posterior, w, threshold = held.value
+        for b in batches:
+            said = b.column("votes").to_pylist()
             some = np.array([bool(s) for s in said], dtype=bool)
-            p = np.where(some, 1 / (1 + np.exp(-np.clip(out + bias, -30, 30))), 0.0)
-            yield beside(batch, ["doc_id"], votes=(said, pa.string()), posterior=([posterior.get(s, 0.0) for s in said], pa.float64()), score=(p, pa.float64()), keep=(some & (p >= threshold), pa.bool_()))
+            p = np.where(some, _chance(_matrix(b) @ w), 0.0)
+            yield beside(b, ["doc_id", "votes"], posterior=([posterior.get(s, 0.0) for s in said], pa.float64()), score=(p, pa.float64()), keep=(some & (p >= threshold), pa.bool_()))
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, votes string, posterior double, score double, keep boolean")
+    return rows.mapInArrow(run, f"doc_id {kind}, votes string, posterior double, score double, keep boolean")
