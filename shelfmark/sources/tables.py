@@ -55,11 +55,14 @@ class Tables:
     def track(self) -> DataFrame:
         return self.tracks()
 
-    def tracks(self, albums: DataFrame | None = None) -> DataFrame:
-        """One row for each (album, ordinal), which is what identifies a track; of ``albums`` (id) alone, if given, before anything is grouped."""
+    def tracks(self, albums: DataFrame | None = None, pieces: int | None = None) -> DataFrame:
+        """One row for each (album, ordinal), which is what identifies a track; of ``albums`` (id) alone, if given, before anything is grouped.
+
+        ``pieces``: so many that Spark does not put together to larger ones, for what holds many rows of each track in memory.
+        """
         rows = self.read("lineitem")
         rows = rows if albums is None else rows.join(albums.select(F.col("id").alias("l_orderkey")), "l_orderkey", "left_semi")
-        rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").repartition("l_orderkey")  # what goes by album next need not move again
+        rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").repartition(*([pieces] if pieces else []), "l_orderkey")  # what goes by album next need not move again
         return (
             rows.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("file_id"), (F.max("l_quantity").cast("bigint") * 1000).alias("duration_ms"))
             .select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("album_id"), F.col("l_linenumber").alias("ordinal"), "file_id", "duration_ms")

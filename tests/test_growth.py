@@ -63,3 +63,8 @@ def test_songs_are_dealt_out_before_clients_are_asked(spark):
     from shelfmark.plans import playing
 
     assert "REPARTITION_BY_NUM" in _plan(playing.play_decisions(Views(spark, SF)))
+
+
+def test_songs_of_genres_stay_in_small_pieces(spark):
+    """Pieces that Spark puts together are as large as it reads at once, and distinct counts hold many times that."""
+    assert "REPARTITION_BY_NUM" in _plan(albums.genres(Views(spark, SF)))
