@@ -326,6 +326,10 @@ def _hashed(column: str):
     return F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS))
 
 
+def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _of_classes(wanted: DataFrame, documents: DataFrame, classes: DataFrame, shingle: int, n: int, columns: str, make) -> DataFrame:
     """One row for each class in ``wanted`` (sig): ``make`` of its set and text.
 
@@ -337,7 +341,7 @@ def _of_classes(wanted: DataFrame, documents: DataFrame, classes: DataFrame, shi
     def run(batches):
         for b in batches:
             at = b.column("h").to_numpy()
-            b = b.filter(pa.array((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+            b = b.filter(pa.array(_is_set(held.value, at)))
             texts, rows = texts_of(b), []
             for first, sets in _sets(texts, shingle):
                 rows += [(_signature(s), *make(s, texts[first + i])) for i, s in enumerate(sets) if len(s)]
@@ -575,6 +579,9 @@ def keep_one_of_each(documents: DataFrame, shingle: int = SHINGLE, percent: int
 
     Rows are told apart by identifier and text: other texts under the same doc_id stay if they are linked with nothing,
     and of rows alike in both one stays. Rows without a word are linked with nothing, so all of them stay.
+
+    A bitmap of the rows to judge lets most others pass where they are read; only what it marks is shuffled, text and all,
+    and the join there is exact.
     """
     sized, known = _resolved(documents, shingle, percent)
     rows = keep(sized.filter("sig IS NOT NULL").groupBy("doc_id", "row", "sig").agg(F.count("*").alias("c")).join(known.select("sig", "label"), "sig").select("doc_id", "row", "label", "c"), "rows")
@@ -583,16 +590,24 @@ def keep_one_of_each(documents: DataFrame, shingle: int = SHINGLE, percent: int
     chosen = (rows["label"] == one["of"]) & rows["doc_id"].eqNullSafe(one["one_id"]) & (rows["row"] == one["one_row"])  # by all three: a label alone may be a third of all rows
     judged = rows.join(one, chosen, "left").withColumn("stays", F.col("one_row").isNotNull())
     judged = keep(judged.filter("NOT stays OR c > 1").select(F.col("doc_id").alias("id"), "row", "stays"), "judged")
-    whole = documents.select(F.struct("*").alias("it"), F.col("doc_id").alias("id"), row_key().alias("row"))
+    spark = documents.sparkSession
+    held = spark.sparkContext.broadcast(_bitmap(judged.select("row"), partitions(spark)))
+
+    @F.pandas_udf("boolean")
+    def marked(h: pd.Series) -> pd.Series:
+        return pd.Series(_is_set(held.value, h.to_numpy()))
+
+    whole = documents.select(F.struct("*").alias("it"), F.col("doc_id").alias("id"), row_key().alias("row")).withColumn("marked", marked(_hashed("row")))
+    asked = whole.filter("marked")
 
     def among(rows: DataFrame, of: DataFrame, how: str) -> DataFrame:
         of = of.select(F.col("id").alias("id_"), F.col("row").alias("row_"))
         return rows.join(of, (rows["row"] == of["row_"]) & rows["id"].eqNullSafe(of["id_"]), how)
 
-    out = among(whole, judged, "left_anti").select("it.*")
+    out = whole.filter("NOT marked").select("it.*").unionAll(among(asked, judged, "left_anti").select("it.*"))
     repeated = judged.filter("stays")
     if repeated.take(1):
-        out = out.unionAll(among(whole, repeated, "left_semi").groupBy("id", "row").agg(F.min_by("it", F.hash("it")).alias("it")).select("it.*"))
+        out = out.unionAll(among(asked, repeated, "left_semi").groupBy("id", "row").agg(F.min_by("it", F.hash("it")).alias("it")).select("it.*"))
     return out
 
 
