@@ -326,8 +326,10 @@ def _hashed(column: str):
     return F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS))
 
 
-def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+def _marks(rows: DataFrame) -> DataFrame:
+    """The same as a table (word, bits), for ``rows`` by ``row``: 64 bits a word, so at most 1 << BITMAP_BITS - 6 words however many rows there are."""
+    hashed = rows.select(_hashed("row").alias("h"))
+    return hashed.groupBy(F.shiftright("h", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits"))
 
 
 def _of_classes(wanted: DataFrame, documents: DataFrame, classes: DataFrame, shingle: int, n: int, columns: str, make) -> DataFrame:
@@ -341,7 +343,7 @@ def _of_classes(wanted: DataFrame, documents: DataFrame, classes: DataFrame, shi
     def run(batches):
         for b in batches:
             at = b.column("h").to_numpy()
-            b = b.filter(pa.array(_is_set(held.value, at)))
+            b = b.filter(pa.array((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
             texts, rows = texts_of(b), []
             for first, sets in _sets(texts, shingle):
                 rows += [(_signature(s), *make(s, texts[first + i])) for i, s in enumerate(sets) if len(s)]
@@ -590,14 +592,8 @@ def keep_one_of_each(documents: DataFrame, shingle: int = SHINGLE, percent: int
     chosen = (rows["label"] == one["of"]) & rows["doc_id"].eqNullSafe(one["one_id"]) & (rows["row"] == one["one_row"])  # by all three: a label alone may be a third of all rows
     judged = rows.join(one, chosen, "left").withColumn("stays", F.col("one_row").isNotNull())
     judged = keep(judged.filter("NOT stays OR c > 1").select(F.col("doc_id").alias("id"), "row", "stays"), "judged")
-    spark = documents.sparkSession
-    held = spark.sparkContext.broadcast(_bitmap(judged.select("row"), partitions(spark)))
-
-    @F.pandas_udf("boolean")
-    def marked(h: pd.Series) -> pd.Series:
-        return pd.Series(_is_set(held.value, h.to_numpy()))
-
-    whole = documents.select(F.struct("*").alias("it"), F.col("doc_id").alias("id"), row_key().alias("row")).withColumn("marked", marked(_hashed("row")))
+    whole = documents.select(F.struct("*").alias("it"), F.col("doc_id").alias("id"), row_key().alias("row"))
+    whole = whole.join(F.broadcast(_marks(judged)), F.shiftright(_hashed("row"), 6) == F.col("word"), "left").withColumn("marked", F.coalesce(F.getbit("bits", F.pmod(_hashed("row"), F.lit(64)).cast("int")) == 1, F.lit(False)))
     asked = whole.filter("marked")
 
     def among(rows: DataFrame, of: DataFrame, how: str) -> DataFrame:
