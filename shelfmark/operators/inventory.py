@@ -1,8 +1,8 @@
 """The whole catalogue as lines of text, in an order that makes the same report every time.
 
 Sections are roots, counters, what nothing accounts for, hidden records, artists with their records and songs, and issues.
-Each line carries the keys that it is sorted by, so a report of any size is one range sort, and its files, read one after
-another, are the report.
+Each line carries the keys that it is sorted by. What stands before the artists, the artists, and the issues are a range sort
+each, and follow one another, so the files of a report of any size, read one after another, are the report.
 """
 
 from __future__ import annotations
@@ -17,6 +17,10 @@ from shelfmark.functions.expressions import clock
 ROOTS, COUNTERS, UNACCOUNTED, HIDDEN, ARTISTS, ISSUES = range(1, 7)
 #: Sort keys of a line; nulls come first, but records of no artist last.
 ORDER = {"section": "int", "unnamed": "boolean", "artist_key": "string", "root_id": "bigint", "rel_path": "string", "level": "int", "ordinal": "bigint"}
+#: Sort keys of artists and records.
+AT = ("unnamed", "artist_key", "root_id", "rel_path")
+#: What rows of a place are: lines by their level, then credits of songs, and songs without a file, which only count.
+HEAD, RECORD, CREDIT, SONG, OWN, LOST = range(6)
 
 
 def padded(text, width: int) -> Column:
@@ -94,40 +98,74 @@ def performers(cue: DataFrame, cue_track: DataFrame) -> DataFrame:
     return first.select(F.col("audio_file_id").alias("file_id"), "ordinal", F.col("first.performer").alias("performer"))
 
 
-def artists(root: DataFrame, file: DataFrame, album: DataFrame, artist: DataFrame, release: DataFrame, track: DataFrame, album_credit: DataFrame, track_credit: DataFrame, performer: DataFrame) -> DataFrame:
-    """Artists by key, then records by root and path, each with its credit, where that has several names, and its songs."""
-    who = artist.select(F.col("id").alias("artist_id"), F.col("name").alias("artist_name"), F.col("name_key").alias("artist_key"))
-    placed = album.join(who, "artist_id", "left").withColumn("unnamed", F.col("artist_key").isNull())
-    at = {k: F.col(k) for k in ("unnamed", "artist_key", "root_id", "rel_path")}
+def places(album: DataFrame, artist: DataFrame) -> DataFrame:
+    """Artists (level 0) and their records (level 1), each with its ``place`` in the report, to be written before it is used.
 
-    owners = placed.groupBy("unnamed", "artist_key", "artist_id").agg(F.first("artist_name").alias("name"), F.count("*").alias("n"))
+    A place is a number that sorts as the keys do, the same for rows of the same keys, which ``nth`` tells apart; songs move with it
+    instead of the keys.
+    """
+    who = artist.select(F.col("id").alias("artist_id"), F.col("name").alias("artist_name"), F.col("name_key").alias("artist_key"))
+    rows = album.join(who, "artist_id", "left").withColumn("unnamed", F.col("artist_key").isNull())
+    owners = rows.groupBy("unnamed", "artist_key", "artist_id").agg(F.first("artist_name").alias("name"), F.count("*").alias("n"))
     split = F.when(F.contains("artist_key", F.lit("#")), F.concat(F.lit("  ["), "artist_key", F.lit("]"))).otherwise(F.lit(""))
     head = F.concat(padded(F.coalesce("name", F.lit("(unattributed)")), 40), F.lit("  "), _text("n"), F.when(F.col("n") == 1, " album").otherwise(" albums"), split)
-    heads = _lines(owners, ARTISTS, head, unnamed=at["unnamed"], artist_key=at["artist_key"], level=F.lit(0), ordinal=F.col("artist_id"))
+    heads = owners.select("unnamed", "artist_key", F.lit(0).alias("level"), F.col("artist_id").cast("bigint").alias("ordinal"), head.alias("title"))
+    records = rows.select(*AT, F.lit(1).alias("level"), F.col("id").cast("bigint").alias("ordinal"), "title", "release_id", "disc_number", "credit_raw")
+    ranked = heads.unionByName(records, allowMissingColumns=True).repartitionByRange(*AT).sortWithinPartitions(*AT, "level", "ordinal")
+    numbered = ranked.withColumn("row", F.monotonically_increasing_id()).withColumn("place", F.min("row").over(Window.partitionBy(*AT)))
+    return numbered.withColumn("nth", (F.col("row") - F.col("place")).cast("int")).drop("row")
+
+
+def in_places(track: DataFrame, place: DataFrame) -> DataFrame:
+    """Songs with the place of their record, null where there is none; ``again`` where a record has several and this is not the first."""
+    first = Window.partitionBy("album_id").orderBy("place", "nth")
+    at = place.filter("level = 1").select(F.col("ordinal").alias("album_id"), "place", "nth").withColumn("again", F.row_number().over(first) > 1)
+    return track.join(at, "album_id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
 
-    songs = track.groupBy(F.col("album_id").alias("id")).agg(F.count("*").alias("n"), F.bool_or(F.col("start_ms").isNotNull()).alias("split"))
-    group = F.coalesce(F.concat(F.lit("r"), _text("release_id")), F.concat(F.lit("a"), _text("id")))  # albums without a release meet nothing, each in a place of its own
-    boxes = release.select(F.concat(F.lit("r"), _text("id")).alias("_group"), F.col("title").alias("box"))
-    told = placed.join(songs, "id", "left").withColumn("_group", group).join(boxes, "_group", "left").join(F.broadcast(marked(root)), "root_id", "left")
-    n = F.coalesce("n", F.lit(0))
+
+def artists(root: DataFrame, file: DataFrame, place: DataFrame, release: DataFrame, track: DataFrame, album_credit: DataFrame, track_credit: DataFrame, performer: DataFrame) -> DataFrame:
+    """Artists by key, then records by root and path, each with its credit, where that has several names, and its songs; in order.
+
+    Songs meet their files by one shuffle, as text, and then go to their place; what records and credits say of them meets them there.
+    """
+    at = F.struct(*AT, "title", "credit_raw", "mark").alias("album")
     disc, box = F.concat(F.lit("  disc "), _text("disc_number")), F.concat(F.lit(" of "), F.col("box"))
-    facts = F.concat(_text(n), F.when(n == 1, " track").otherwise(" tracks"), F.when(F.col("split"), "  split").otherwise(""), F.coalesce(disc, F.lit("")), F.coalesce(box, F.lit("")))
-    record = F.concat(F.lit("  "), padded(F.coalesce("mark", F.lit("?")), 4), padded(facts, 30), F.lit("  "), _where("rel_path"), F.lit("  -  "), F.coalesce("title", F.lit("")))
-    records = _lines(told, ARTISTS, record, **at, level=F.lit(1), ordinal=F.col("id"))
-
-    shared = placed.join(credits(album_credit, "album_id").filter("names > 1").withColumnRenamed("album_id", "id"), "id")
-    credited = _lines(shared, ARTISTS, F.concat(F.lit("    credit  "), "credit"), **at, level=F.lit(2), ordinal=F.col("id"))
-
-    own = credits(track_credit, "track_id").select(F.col("track_id").alias("track"), "credit")
-    of = placed.select(F.col("id").alias("album_id"), *at, "credit_raw")
-    rows = track.withColumnRenamed("title", "song").join(of, "album_id").join(file.select(F.col("id").alias("file_id"), F.col("rel_path").alias("file_path")), "file_id")
-    rows = rows.join(performer, ["file_id", "ordinal"], "left").join(own, rows["id"] == own["track"], "left")
-    stranger = F.when((F.btrim("performer") != "") & ~F.col("performer").eqNullSafe(F.col("credit_raw")), F.col("performer"))
+    rows, boxes = place.withColumn("mark", F.lit(None).cast("string")), release.select(F.col("id").alias("release_id"), F.col("title").alias("box"))
+    heads = rows.filter("level = 0").select("place", "nth", F.lit(HEAD).alias("kind"), "ordinal", at, F.col("title").alias("text"))
+    albums = rows.filter("level = 1").drop("mark").join(F.broadcast(marked(root).select("root_id", "mark")), "root_id", "left")
+    alone = albums.filter("release_id IS NULL").withColumn("box", F.lit(None).cast("string"))
+    boxed = albums.filter("release_id IS NOT NULL").join(boxes, "release_id", "left")
+    records = alone.unionByName(boxed).select("place", "nth", F.lit(RECORD).alias("kind"), "ordinal", at, F.concat(F.coalesce(disc, F.lit("")), F.coalesce(box, F.lit(""))).alias("text"))
+
+    of = place.filter("level = 1").select(F.col("ordinal").alias("album_id"), "place", "nth")
+    shared = of.join(credits(album_credit, "album_id").filter("names > 1"), "album_id")
+    credited = shared.select("place", "nth", F.lit(CREDIT).alias("kind"), F.col("album_id").alias("ordinal"), F.concat(F.lit("    credit  "), "credit").alias("text"))
+
+    track = track.filter("place IS NOT NULL")
+    number = _text("ordinal")
+    song = F.concat(F.lit("    "), F.lpad(number, F.greatest(F.lit(2), F.length(number)), F.lit("0")), F.lit(". "), padded(clock("duration_ms"), 7), F.coalesce("title", F.lit("(untitled)")), F.lit("  "))
     segment = F.when(F.col("start_ms").isNotNull(), F.concat(F.lit("  ["), clock("start_ms"), F.lit("-"), clock("end_ms"), F.lit("]"))).otherwise("")
+    sung = track.select("place", "nth", "id", "file_id", "ordinal", song.alias("song"), segment.alias("segment"))
+    said = performer.filter("ordinal IS NOT NULL AND btrim(performer) <> ''").groupBy(F.col("file_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("ordinal").cast("bigint"), "performer"))).alias("said"))
+    copy = F.row_number().over(Window.partitionBy("id").orderBy("rel_path"))  # a song counts once, however many rows its file has
+    files = file.withColumn("copy", copy).select("id", F.col("rel_path").alias("path"), "copy").join(said, "id", "left").withColumnRenamed("id", "file_id")
+    found = sung.filter("file_id IS NOT NULL").join(files, "file_id", "left").unionByName(sung.filter("file_id IS NULL"), allowMissingColumns=True)
+    kind, counts = F.when(F.col("copy").isNotNull(), SONG).otherwise(LOST), F.coalesce("copy", F.lit(1)) == 1
+    songs = found.select("place", "nth", kind.alias("kind"), F.col("id").alias("ordinal"), F.concat("song", "path", "segment").alias("text"), F.element_at("said", F.col("ordinal").cast("bigint")).alias("by"), counts.alias("counts"), (F.col("segment") != "").alias("cut"))
+
+    own = credits(track_credit, "track_id").select(F.col("track_id").alias("ordinal"), F.col("credit").alias("by"))
+    owned = track.select("place", "nth", F.col("id").alias("ordinal")).join(own, "ordinal").withColumn("kind", F.lit(OWN))
+
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (heads, records, credited, songs, owned)).repartitionByRange("place")
+    record, one = Window.partitionBy("place", "nth"), Window.partitionBy("place", "nth", "ordinal")
+    met = every.withColumn("credit", F.max(F.when(F.col("kind") == OWN, F.col("by"))).over(one)).withColumns({"of": F.first("album", ignorenulls=True).over(record), "n": F.count_if("counts").over(record), "split": F.bool_or("cut").over(record)})
+    facts = F.concat(_text("n"), F.when(F.col("n") == 1, " track").otherwise(" tracks"), F.when(F.col("split"), "  split").otherwise(""), "text")
+    told = F.concat(F.lit("  "), padded(F.coalesce("album.mark", F.lit("?")), 4), padded(facts, 30), F.lit("  "), _where("album.rel_path"), F.lit("  -  "), F.coalesce("album.title", F.lit("")))
+    stranger = F.when(~F.col("by").eqNullSafe(F.col("of.credit_raw")), F.col("by"))
     by = F.coalesce(F.concat(F.lit("  by "), F.coalesce("credit", stranger)), F.lit(""))
-    number = _text("ordinal")
-    song = F.concat(F.lit("    "), F.lpad(number, F.greatest(F.lit(2), F.length(number)), F.lit("0")), F.lit(". "), padded(clock("duration_ms"), 7), F.coalesce("song", F.lit("(untitled)")), F.lit("  "), "file_path", segment, by)
-    return heads.union(records).union(credited).union(_lines(rows, ARTISTS, song, **at, level=F.lit(3), ordinal=F.col("id")))
+    line = F.when(F.col("kind") == RECORD, told).when(F.col("kind") == SONG, F.concat("text", by)).otherwise(F.col("text"))
+    lines = met.filter(F.col("kind") <= SONG).select("place", "kind", "ordinal", line.alias("line"), *(F.col(f"of.{k}") for k in AT)).sortWithinPartitions("place", "kind", "ordinal", "line")
+    return _lines(lines, ARTISTS, F.col("line"), **{k: F.col(k) for k in AT}, level=F.col("kind"), ordinal=F.col("ordinal"))
 
 
 def issues(root: DataFrame, issue: DataFrame) -> DataFrame:
@@ -139,7 +177,7 @@ def issues(root: DataFrame, issue: DataFrame) -> DataFrame:
 
 
 def in_order(*sections: DataFrame) -> DataFrame:
-    """All lines in the report's order; equal keys by the text itself."""
+    """All lines of some sections in the report's order; equal keys by the text itself."""
     keys = [k for k in ORDER if k != "level"]
     first = F.when(F.col("section") == ISSUES, F.col("level"))  # issues go by gravity before anything else
     return reduce(DataFrame.union, sections).orderBy("section", first, *keys[1:5], "level", "ordinal", "line")

@@ -17,10 +17,10 @@ def _album(v: Views) -> DataFrame:
     return v.album.withColumns({"credit_raw": F.when(F.col("id") % 2 == 0, F.lit("Solo 1")), "junk_source": F.when(F.col("id") % 2 == 0, "hand").otherwise("scan")})
 
 
-def _track(v: Views) -> DataFrame:
+def _track(rows: DataFrame) -> DataFrame:
     """Songs; those of every tenth album are cut from one file, every fifth has no title."""
     n, cut = F.col("ordinal").cast("bigint"), F.col("album_id") % 10 == 0
-    return v.track.withColumns({"title": F.when(F.col("id") % 5 > 0, F.concat(F.lit("Song "), F.col("id").cast("string"))), "start_ms": F.when(cut, (n - 1) * 70_000), "end_ms": F.when(cut & (F.col("id") % 3 > 0), n * 70_000)})
+    return rows.withColumns({"title": F.when(F.col("id") % 5 > 0, F.concat(F.lit("Song "), F.col("id").cast("string"))), "start_ms": F.when(cut, (n - 1) * 70_000), "end_ms": F.when(cut & (F.col("id") % 3 > 0), n * 70_000)})
 
 
 def _file(v: Views) -> DataFrame:
@@ -60,18 +60,21 @@ def _issue(v: Views) -> DataFrame:
 
 
 def full_report(v: Views) -> DataFrame:
-    """Every section over the whole catalogue; tables that several sections read are written once."""
-    album, track, file, folder = stage(_album(v), "report-albums"), stage(_track(v), "report-songs"), _file(v), stage(_folder(v), "report-folders")
+    """Every section over the whole catalogue; what takes a shuffle and several sections read is written once."""
+    album, file, folder = _album(v), _file(v), stage(_folder(v), "report-folders")
     artist = v.artist.withColumns({"ambiguous": F.col("id") % 4 == 0, "name_key": F.concat("name_key", F.when(F.col("id") % 4 == 0, "#2").otherwise(""))})
-    found, cue = _issue(v), _cue(v)
-    return inventory.in_order(
+    place = stage(inventory.places(album, artist), "report-places", tidy=True)
+    placed = _track(stage(inventory.in_places(v.track, place), "report-songs", tidy=True))
+    track, found, cue = placed.filter("NOT again"), _issue(v), _cue(v)
+    before = inventory.in_order(
         inventory.roots(v.root, folder, file, album), inventory.counter(folder, 0, "folders", F.col("role")), inventory.counter(file, 1, "files", F.col("kind")),
         inventory.counter(album, 2, "albums", hidden=F.col("junk_reason").isNotNull()), inventory.counter(track, 3, "tracks"), inventory.counter(v.release, 4, "releases"),
         inventory.counter(artist, 5, "artists", ambiguous=F.col("ambiguous")), inventory.counter(found, 6, "issues", F.col("severity")), inventory.counter(file, 7, "ledger", unmoved=F.col("unmoved")),
         inventory.unaccounted(folder, file, album, track, cue), inventory.hidden(v.root, album),
-        inventory.artists(v.root, file, album, artist, v.release, track, _credit(v.album, "album_id", 11), _credit(v.track, "track_id", 13), inventory.performers(cue, _cue_track(v))),
-        inventory.issues(v.root, found),
     )
+    credit = _credit(v.album, "album_id", 11), _credit(track, "track_id", 13)
+    artists = inventory.artists(v.root, file, place, v.release, placed, *credit, inventory.performers(cue, _cue_track(v)))
+    return before.union(artists).union(inventory.in_order(inventory.issues(v.root, found)))
 
 
 def performers(v: Views) -> DataFrame:

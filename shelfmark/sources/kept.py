@@ -19,8 +19,23 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as the table of a stage: written once, read by all that follow, and not lost with an executor."""
-    path = f"{shared_folder(df.sparkSession)}/shelfmark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Whether Spark removes what a query has shuffled as soon as it has ended, rather than when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """``df`` as the table of a stage: written once, read by all that follow, and not lost with an executor.
+
+    ``tidy``: small on disk, and what was shuffled for it goes as soon as it is written; for tables that nothing else is made with.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/shelfmark/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        if tidy:
+            spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path, compression="zstd" if tidy else None)
+    finally:
+        if tidy:
+            spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)

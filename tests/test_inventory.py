@@ -55,3 +55,57 @@ def test_written_report_reads_in_order(spark, tmp_path):
         assert after["level"] < 2 or after["rel_path"] == before["rel_path"]
     grave = [r["level"] for r in rows if r["section"] == inventory.ISSUES]
     assert grave == sorted(grave)
+
+
+def _moved(df) -> list[set]:
+    """The columns of each exchange in a plan."""
+    found, nodes = [], [df._jdf.queryExecution().executedPlan().initialPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Exchange":
+            found.append({node.output().apply(i).name() for i in range(node.output().length())})
+        nodes += [node.children().apply(i) for i in range(node.children().length())]
+    return found
+
+
+def test_songs_move_once_to_their_files_and_once_to_their_place(spark):
+    """Titles, and the keys that songs are sorted by, would fill the disks if each join moved them anew."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = _moved(full_report(Views(spark, SF)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len([x for x in moved if x & {"song", "title"} and "file_id" in x]) == 1
+    assert not [x for x in moved if {"artist_key", "rel_path"} <= x and x & {"song", "line"} and "section" not in x]
+    assert len([x for x in moved if "place" in x and "text" in x]) == 1
+
+
+def test_records_of_one_path_stand_together(spark):
+    """Equal keys: both records, then credits, then the songs of both by id; a song counts without a file, and once if its file is there twice."""
+    frame = spark.createDataFrame
+    root, artist = frame([(5, "/r")], "id bigint, path string"), frame([(1, "Ann", "ann")], "id int, name string, name_key string")
+    album = frame([(11, 5, "a", "One", 1, None, None, "N1"), (12, 5, "a", "Two", 1, 7, 2, None)], "id bigint, root_id bigint, rel_path string, title string, artist_id int, release_id bigint, disc_number bigint, credit_raw string")
+    track = frame([(21, 11, 1, 1, 1000, "x", None, None), (22, 12, 1, 2, 2000, None, 0, None), (23, 11, 2, 9, None, "gone", None, None), (24, 11, 3, None, None, "gone", None, None), (25, 99, 1, 1, 1000, "no record", None, None)],
+        "id bigint, album_id bigint, ordinal int, file_id bigint, duration_ms bigint, title string, start_ms bigint, end_ms bigint")
+    file, release = frame([(1, "f1"), (2, "f2"), (2, "f2b")], "id bigint, rel_path string"), frame([(7, "Box")], "id bigint, title string")
+    credit = lambda key: frame([(key, 1, "", "A"), (key, 2, " & ", "B")], "k bigint, position int, phrase string, name string")
+    said = frame([(1, 1, "N1"), (2, 1, "N2"), (1, None, "nobody")], "file_id bigint, ordinal int, performer string")
+    place = inventory.places(album, artist).localCheckpoint()
+    songs = inventory.in_places(track, place)
+    report = inventory.artists(root, file, place, release, songs, credit(12).withColumnRenamed("k", "album_id"), credit(21).withColumnRenamed("k", "track_id"), said)
+    assert [(r["level"], r["ordinal"], r["rel_path"], " ".join(r["line"].split())) for r in report.collect()] == [
+        (0, 1, None, "Ann 2 albums"), (1, 11, "a", "#1 3 tracks a - One"), (1, 12, "a", "#1 1 track split disc 2 of Box a - Two"), (2, 12, "a", "credit A & B"),
+        (3, 21, "a", "01. 0:01 x f1 by A & B"), (3, 22, "a", "01. 0:02 (untitled) f2 [0:00---:--] by N2"), (3, 22, "a", "01. 0:02 (untitled) f2b [0:00---:--] by N2"),
+    ]
+
+
+def test_a_tidy_stage_leaves_the_session_as_it_was(spark):
+    from shelfmark.sources import kept
+
+    for before in (None, "false"):
+        if before:
+            spark.conf.set(kept.CLEANUP, before)
+        was = spark.conf.get(kept.CLEANUP, None)
+        assert sorted(r[0] for r in kept.stage(spark.range(6).repartition(3, "id"), "tidy", tidy=True).collect()) == list(range(6))
+        assert spark.conf.get(kept.CLEANUP, None) == was
+    spark.conf.unset(kept.CLEANUP)
