@@ -130,12 +130,10 @@ def artists(root: DataFrame, file: DataFrame, place: DataFrame, release: DataFra
     """
     at = F.struct(*AT, "title", "credit_raw", "mark").alias("album")
     disc, box = F.concat(F.lit("  disc "), _text("disc_number")), F.concat(F.lit(" of "), F.col("box"))
-    rows, boxes = place.withColumn("mark", F.lit(None).cast("string")), release.select(F.col("id").alias("release_id"), F.col("title").alias("box"))
-    heads = rows.filter("level = 0").select("place", "nth", F.lit(HEAD).alias("kind"), "ordinal", at, F.col("title").alias("text"))
-    albums = rows.filter("level = 1").drop("mark").join(F.broadcast(marked(root).select("root_id", "mark")), "root_id", "left")
-    alone = albums.filter("release_id IS NULL").withColumn("box", F.lit(None).cast("string"))
-    boxed = albums.filter("release_id IS NOT NULL").join(boxes, "release_id", "left")
-    records = alone.unionByName(boxed).select("place", "nth", F.lit(RECORD).alias("kind"), "ordinal", at, F.concat(F.coalesce(disc, F.lit("")), F.coalesce(box, F.lit(""))).alias("text"))
+    rows, boxes = place.join(F.broadcast(marked(root).select("root_id", "mark")), "root_id", "left"), release.select(F.col("id").alias("release_id"), F.col("title").alias("box"))
+    boxed = rows.filter("release_id IS NOT NULL").join(boxes, "release_id", "left")
+    text = F.when(F.col("level") == HEAD, F.col("title")).otherwise(F.concat(F.coalesce(disc, F.lit("")), F.coalesce(box, F.lit(""))))
+    records = boxed.unionByName(rows.filter("release_id IS NULL"), allowMissingColumns=True).select("place", "nth", F.col("level").alias("kind"), "ordinal", at, text.alias("text"))
 
     of = place.filter("level = 1").select(F.col("ordinal").alias("album_id"), "place", "nth")
     shared = of.join(credits(album_credit, "album_id").filter("names > 1"), "album_id")
@@ -156,7 +154,7 @@ def artists(root: DataFrame, file: DataFrame, place: DataFrame, release: DataFra
     own = credits(track_credit, "track_id").select(F.col("track_id").alias("ordinal"), F.col("credit").alias("by"))
     owned = track.select("place", "nth", F.col("id").alias("ordinal")).join(own, "ordinal").withColumn("kind", F.lit(OWN))
 
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (heads, records, credited, songs, owned)).repartitionByRange("place")
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (records, credited, songs, owned)).repartitionByRange("place")
     record, one = Window.partitionBy("place", "nth"), Window.partitionBy("place", "nth", "ordinal")
     met = every.withColumn("credit", F.max(F.when(F.col("kind") == OWN, F.col("by"))).over(one)).withColumns({"of": F.first("album", ignorenulls=True).over(record), "n": F.count_if("counts").over(record), "split": F.bool_or("cut").over(record)})
     facts = F.concat(_text("n"), F.when(F.col("n") == 1, " track").otherwise(" tracks"), F.when(F.col("split"), "  split").otherwise(""), "text")
